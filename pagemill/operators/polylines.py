@@ -230,3 +230,10 @@ def as_lines(df: DataFrame, line: str = LINE) -> DataFrame:
     """Nest points for a document sink; a line is one value of a document there."""
     points = F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     return df.groupBy(line).agg(points.alias("line"))
+
+
+def nearest_vertex(points: DataFrame, vertices: DataFrame, by: Sequence[str], point_id: Sequence[str], vertex_id: Sequence[str]) -> DataFrame:
+    """Nearest vertex of each point and its distance; edge interiors are not considered."""
+    queries = points.select(*by, *point_id, *[F.col(c[0]).alias(f"q{c}") for c in ("x0", "y0", "x1", "y1")])
+    targets = vertices.select(*by, *vertex_id, *[F.col(c[0]).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return nearest(queries, targets, by, point_id, vertex_id)
