@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NUMBERS = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -21,3 +21,74 @@ def summarize(df: DataFrame) -> DataFrame:
 def channel_stats(df: DataFrame, channel: str, value: str) -> DataFrame:
     """Mean, population standard deviation and count per channel."""
     return df.groupBy(channel).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+
+
+def score_by_type(df: DataFrame, kind: str, score: str) -> DataFrame:
+    """Mean score per type and over all rows (type NULL)."""
+    means = df.rollup(kind).agg(F.avg(score).alias("mean"), F.count(F.lit(1)).alias("n"), F.grouping(kind).alias("overall"))
+    return means.select(kind, "mean", "n", (F.col("overall") == 1).alias("overall"))
+
+
+def having_min(a: DataFrame, b: DataFrame, by: str, item: str, n: int) -> DataFrame:
+    """Groups with at least ``n`` different items on both sides."""
+    enough = lambda df: df.groupBy(by).agg(F.countDistinct(item).alias("_n")).where(F.col("_n") >= n).select(by)
+    return enough(a).join(enough(b), by)
+
+
+def class_counts(df: DataFrame, classes: int, ignore: int = 255) -> DataFrame:
+    """Mergeable counts per class: predicted, true and hit. Ignored labels count nowhere."""
+    kept = df.where(F.col("gt") != ignore)
+    sides = F.array(
+        F.struct(F.col("pred").alias("class"), F.lit(1).alias("p"), F.lit(0).alias("t"), (F.col("pred") == F.col("gt")).cast("int").alias("tp")),
+        F.struct(F.col("gt").alias("class"), F.lit(0).alias("p"), F.lit(1).alias("t"), F.lit(0).alias("tp")),
+    )
+    rows = kept.select(F.inline(sides)).where(F.col("class").between(0, classes - 1))
+    return rows.groupBy("class").agg(F.sum("p").alias("p"), F.sum("t").alias("t"), F.sum("tp").alias("tp"))
+
+
+def class_scores(counts: DataFrame) -> DataFrame:
+    """IoU in percent, and the shares of false positives and negatives, per class."""
+    union = F.col("t") + F.col("p") - F.col("tp") + 1e-10
+    return counts.select(
+        "class", (F.col("tp") / union * 100).alias("iou"),
+        ((F.col("p") - F.col("tp")) / union).alias("fp_ratio"), ((F.col("t") - F.col("tp")) / union).alias("fn_ratio"),
+    )
+
+
+def class_iou(df: DataFrame, classes: int, ignore: int = 255) -> DataFrame:
+    """Scores of every class, then their means over all and over the foreground classes (class -1, -2)."""
+    spark = df.sparkSession
+    counts = spark.range(classes).select(F.col("id").cast("int").alias("class")).join(class_counts(df, classes, ignore), "class", "left").na.fill(0)
+    scores = class_scores(counts)
+    means = lambda rows, c: rows.agg(F.lit(c).alias("class"), *[F.avg(n).alias(n) for n in ("iou", "fp_ratio", "fn_ratio")])
+    return scores.unionByName(means(scores, -1)).unionByName(means(scores.where("class > 0"), -2))
+
+
+def stability(df: DataFrame, by: Sequence[str], value: str, threshold: float, offset: float) -> DataFrame:
+    """Cells above the high threshold over cells above the low one."""
+    high, low = F.count_if(F.col(value) > threshold + offset), F.count_if(F.col(value) > threshold - offset)
+    return df.groupBy(*by).agg(F.try_divide(high, low).alias("stability"))
+
+
+def interval_means(df: DataFrame, by: Sequence[str], step: str, every: int, values: Sequence[str]) -> DataFrame:
+    """Means over blocks of ``every`` steps, as a meter that is read and cleared."""
+    block = F.floor(F.col(step) / every).alias("block")
+    return df.groupBy(*by, block).agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("n"))
+
+
+def to_coco(images: DataFrame, annotations: DataFrame, order: Sequence[str], per_row: int = 10000) -> DataFrame:
+    """Nested image rows with running ids and category ids.
+
+    ``annotations`` has ``(image, category, bbox, area)``. Ids run over the whole set in order. An
+    image with more than ``per_row`` annotations is written as several rows (``part``).
+    """
+    from pagemill.operators.ordered import with_positions
+
+    image_ids = with_positions(images, [], ["image"], "image_id")
+    categories = with_positions(annotations.select("category").distinct(), [], ["category"], "category_id")
+    numbered = with_positions(annotations, [], ["image", *order], "id")
+    nth = with_positions(numbered, ["image"], ["id"], "_nth").withColumn("part", F.floor(F.col("_nth") / per_row))
+    rows = nth.join(categories, "category").join(image_ids, "image")
+    item = F.struct("id", "image_id", "category_id", "bbox", "area", F.lit(0).alias("iscrowd"))
+    nested = rows.groupBy("image", "part").agg(F.array_sort(F.collect_list(item)).alias("annotations"))
+    return image_ids.join(nested, "image", "left").select("image", "image_id", F.coalesce("part", F.lit(0)).alias("part"), "annotations")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.scalars import box_distance, box_intersection, box_iou
+from pagemill.operators.graphs import suppress
 from pagemill.operators.nearest import BOX, nearest
 
 
@@ -111,4 +112,34 @@ def box_similarity(a: DataFrame, b: DataFrame, by: Sequence[str], box: str) -> D
     return pairs.unionByName(near.select(*by, f"a_{box}", f"b_{box}", (-F.col("distance") + 0.0).alias("similarity")))
 
 
-__all__ = ["box_all", "box_cells", "box_distance", "box_intersection", "box_similarity", "filter_scores", "overlap_pairs", "sided", "uncrop"]
+def _ranked_conflicts(df: DataFrame, by: Sequence[str], box: str, rank: Sequence[str]) -> DataFrame:
+    """Overlapping pairs of different boxes with the better one first; ``rank`` columns rise from best to worst."""
+    ids = [*rank, box]
+    pairs = overlap_pairs(sided(df, "a", by, ids), sided(df, "b", by, ids), by)
+    order = lambda s: F.struct(*[F.col(f"{s}_{c}") for c in ids])
+    return pairs.where(order("a") < order("b")).select("*", F.col(f"a_{box}").alias("better"), F.col(f"b_{box}").alias("worse"))
+
+
+def suppress_boxes(df: DataFrame, by: Sequence[str], box: str, limit: float, category: str = "category") -> DataFrame:
+    """Keep boxes by falling score; drop a box whose IoU with a kept one of its category exceeds ``limit``.
+
+    Equal copies of a box always lose to their best copy. They are reduced to it by an
+    aggregate first, so a pile of copies never meets itself in the overlap join.
+    """
+    keys = [*by, category]
+    best = F.min(F.struct((-F.col("score")).alias("_s"), F.col(box).alias("_id"))).alias("_b")
+    single = df.groupBy(*keys, *BOX).agg(best).select(*keys, *BOX, F.col("_b._s").alias("_rank"), F.col("_b._id").alias(box))
+    hits = _ranked_conflicts(single, keys, box, ["_rank"]).where(box_iou(A_BOX, B_BOX) > limit)
+    kept = suppress(single, hits, keys, box)
+    return df.join(kept.select(*by, box), [*by, box], "left_semi")
+
+
+def suppress_contained(df: DataFrame, by: Sequence[str], box: str, share: float) -> DataFrame:
+    """Keep boxes by falling width; drop a box if a kept one covers at least ``share`` of it."""
+    wide = df.withColumn("_rank", -(F.col("x1") - F.col("x0")))
+    best = F.min(F.struct("_rank", F.col(box).alias("_id"))).alias("_b")
+    single = wide.groupBy(*by, *BOX).agg(best).select(*by, *BOX, F.col("_b._rank").alias("_rank"), F.col("_b._id").alias(box))
+    own = (F.col("bx1") - F.col("bx0")) * (F.col("by1") - F.col("by0"))
+    hits = _ranked_conflicts(single, by, box, ["_rank"]).where(box_intersection(A_BOX, B_BOX) >= share * own)
+    kept = suppress(single, hits, by, box)
+    return df.join(kept.select(*by, box), [*by, box], "left_semi")

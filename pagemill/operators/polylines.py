@@ -140,7 +140,7 @@ def interp_join(a: DataFrame, b: DataFrame, by: Sequence[str], x: str, values: S
     """
     by = list(by)
     extra = [c for c in a.columns if c not in (*by, x)]
-    payload = F.struct(F.col(x).cast("double").alias("_x"), *[F.col(v).cast("double").alias(f"_{v}") for v in values])
+    payload = F.struct(F.col(x).cast("double").alias("_key"), *[F.col(v).cast("double").alias(f"_{v}") for v in values])
     empty = F.lit(None)
     left = a.select(*by, x, *extra, F.lit(1).alias("_side"))
     points = b.groupBy(*by, x).agg(F.max(payload).alias("_b"))
@@ -150,7 +150,7 @@ def interp_join(a: DataFrame, b: DataFrame, by: Sequence[str], x: str, values: S
     rows = with_positions(rows.select("*", *tie), by, [x, "_side", "_tie"], "_pos")
     rows = scan(rows, by, "_pos", {"_p": before(F.col("_b")), "_n": after(F.col("_b"))})
     rows = rows.where("_side = 1")
-    share = (F.col(x) - F.col("_p._x")) / F.nullif(F.col("_n._x") - F.col("_p._x"), F.lit(0.0))
+    share = (F.col(x) - F.col("_p._key")) / F.nullif(F.col("_n._key") - F.col("_p._key"), F.lit(0.0))
 
     def value(v: str) -> Column:
         p, n = F.col(f"_p._{v}"), F.col(f"_n._{v}")
