@@ -175,7 +175,7 @@ def signal_extent(cells: DataFrame, by: str = KEY) -> DataFrame:
 def column_runs(cells: DataFrame, gap: int = 2, step: int = 1, by: str = KEY, single_only: bool = False) -> DataFrame:
     """Runs of set cells per column; a step of more than ``gap`` starts a new run."""
     picked = cells.where(F.col("x") % step == 0).select(by, "x", "y")
-    rows = neighbours(picked.withColumn("_y", F.col("y")), [by, "x"], "y", prev=["_y"])
+    rows = neighbours(picked.withColumn("_y", F.col("y")), [by, "x"], "y", prev=["_y"], reach=gap, keep_chunk=True)
     breaks = F.when(F.col("y") - F.col("prev__y") <= gap, 0).otherwise(1)
     rows = scan(rows.withColumn("_break", breaks), [by, "x"], "y", {"run": running_sum(F.col("_break"))})
     runs = rows.groupBy(by, "x", "run").agg(F.min("y").alias("start"), F.max("y").alias("end"))
@@ -198,7 +198,7 @@ def rle_encode(mask: DataFrame, by: str = KEY) -> DataFrame:
     Even runs are background; a mask that starts set gets a first run of length 0.
     """
     placed = mask.join(grid_size(mask, by), by).select(by, (F.col("x") * F.col("_h") + F.col("y")).cast("long").alias("_at"), "value")
-    rows = neighbours(placed, [by], "_at", prev=["value"])
+    rows = neighbours(placed, [by], "_at", prev=["value"], keep_chunk=True)
     change = (F.col("value") != F.coalesce("prev_value", F.lit(0))).cast("int")
     rows = scan(rows.withColumn("_change", change), [by], "_at", {"run_no": running_sum(F.col("_change"))})
     runs = rows.groupBy(by, "run_no").agg(F.count(F.lit(1)).alias("count"))
@@ -232,7 +232,7 @@ def rle_area(counts: Column | str) -> Column:
 def _fill_along(grid: DataFrame, by: Sequence[str], pos: str, name: str) -> DataFrame:
     """Linear inter- and extrapolation along one axis; lines with fewer than two values stay."""
     known = F.when(F.col("value").isNotNull(), F.struct(F.col(pos).alias("p"), F.col("value").alias("v")))
-    rows = scan(grid, by, pos, {"_p1": before(known), "_n1": after(known)})
+    rows = scan(grid, by, pos, {"_p1": before(known), "_n1": after(known)}, keep_chunk=True)
     left = F.when(F.col("value").isNotNull(), F.struct(F.col("_p1.p").alias("p"), F.col("_p1.v").alias("v")))
     right = F.when(F.col("value").isNotNull(), F.struct(F.col("_n1.p").alias("p"), F.col("_n1.v").alias("v")))
     rows = scan(rows, by, pos, {"_p2": before(left), "_n2": after(right)})

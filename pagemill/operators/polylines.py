@@ -59,7 +59,7 @@ def page_fit(df: DataFrame, key: str) -> DataFrame:
 
 def cum_length(df: DataFrame, line: str = LINE) -> DataFrame:
     """Add ``seg`` (length from the previous point, 0 at the start) and running ``cum``."""
-    rows = neighbours(df, [line], "seq", prev=["x", "y"])
+    rows = neighbours(df, [line], "seq", prev=["x", "y"], keep_chunk=True)
     seg = F.coalesce(F.hypot(F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y")), F.lit(0.0))
     rows = rows.withColumn("seg", seg).drop("prev_x", "prev_y")
     return scan(rows, [line], "seq", {"cum": running_sum(F.col("seg"))})
@@ -77,13 +77,19 @@ def filter_by_length(df: DataFrame, shortest: float, line: str = LINE) -> DataFr
 
 
 def segments(df: DataFrame, line: str = LINE) -> DataFrame:
-    """One row per segment: end points, distance of both ends from the start, is it the last."""
-    rows = neighbours(cum_length(df, line), [line], "seq", nxt=["x", "y", "cum"])
-    last = F.max("seq").alias("_last")
-    rows = rows.where("next_cum IS NOT NULL").join(df.groupBy(line).agg(last), line)
-    return rows.select(
+    """One row per segment: end points, distance of both ends from the start, is it the last.
+
+    The end of a segment is the start of the next one to the last bit.
+    """
+    rows = neighbours(df.select(line, "seq", "x", "y"), [line], "seq", nxt=["x", "y"], keep_chunk=True)
+    length = F.hypot(F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y"))
+    rows = scan(rows.withColumn("_len", length), [line], "seq", {
+        "d0": running_sum(F.col("_len"), inclusive=False), "d1": running_sum(F.col("_len")),
+    }, keep_chunk=True)
+    rows = scan(rows, [line], "seq", {"_more": after(F.col("_len"))})
+    return rows.where("next_x IS NOT NULL").select(
         line, "seq", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("next_x").alias("bx"), F.col("next_y").alias("by"),
-        F.col("cum").alias("d0"), F.col("next_cum").alias("d1"), (F.col("seq") + 1 == F.col("_last")).alias("is_last"),
+        "d0", "d1", F.col("_more").isNull().alias("is_last"),
     )
 
 

@@ -32,9 +32,9 @@ def best_so_far(df: DataFrame, by: Sequence[str], pos: str, metric: str, patienc
     gone ``patience`` steps without gain.
     """
     by = list(by)
-    rows = scan(df, by, pos, {"_best": running_max(F.col(metric), inclusive=False)})
+    rows = scan(df, by, pos, {"_best": running_max(F.col(metric), inclusive=False)}, keep_chunk=True)
     rows = rows.withColumn("saved", F.col("_best").isNull() | (F.col(metric) > F.col("_best"))).drop("_best")
-    rows = scan(rows, by, pos, {"_gain": before(F.when(F.col("saved"), F.col(pos)), inclusive=True)})
+    rows = scan(rows, by, pos, {"_gain": before(F.when(F.col("saved"), F.col(pos)), inclusive=True)}, keep_chunk=True)
     rows = rows.withColumn("since", F.col(pos) - F.col("_gain")).drop("_gain")
     over = F.when(F.col("since") >= patience, F.lit(1))
     rows = scan(rows, by, pos, {"_over": before(over)})

@@ -42,7 +42,7 @@ def lcs_align(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Seq
     pair = [*a_id, *b_id]
     matches = gram_matches(a, b, n, a_id, b_id, a_text, b_text).withColumn("diagonal", F.col("i") - F.col("j"))
     keys = [*pair, "diagonal"]
-    rows = neighbours(matches, keys, "i", prev=["j"])
+    rows = neighbours(matches, keys, "i", prev=["j"], keep_chunk=True)
     breaks = (F.col("prev_j").isNull() | (F.col("prev_j") + 1 != F.col("j"))).cast("int")
     rows = scan(rows.withColumn("_break", breaks), keys, "i", {"run": running_sum(F.col("_break"))})
     runs = rows.groupBy(*keys, "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + n - 1).alias("length"))
