@@ -50,7 +50,8 @@ def box_all(boxes: DataFrame, grid: DataFrame, holds: Column, by: str = "sample"
 
 def _leveled(df: DataFrame, prefix: str) -> DataFrame:
     size = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"), F.lit(1e-9))
-    return df.withColumn("_own", F.ceil(F.log2(size)).cast("int"))
+    # every second power of two: fewer levels to enter, cells at most four sizes wide
+    return df.withColumn("_own", (2 * F.ceil(F.log2(size) / 2)).cast("int"))
 
 
 def _registered(df: DataFrame, prefix: str, levels: Column) -> DataFrame:
@@ -75,9 +76,9 @@ def overlap_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
         a.select(*by, F.col("_la").alias("_l")).unionByName(b.select(*by, F.col("_lb").alias("_l")))
         .groupBy(*by).agg(F.max("_l").alias("_top"))
     )
-    a_all = _registered(a.join(top, by).withColumn("_up", F.sequence("_la", "_top")).drop("_top"), "a", F.col("_up")).drop("_up")
+    a_all = _registered(a.join(top, by).withColumn("_up", F.sequence(F.col("_la"), F.col("_top"), F.lit(2))).drop("_top"), "a", F.col("_up")).drop("_up")
     b_own = _registered(b, "b", F.array("_lb"))
-    b_all = _registered(b.join(top, by).withColumn("_up", F.expr("filter(sequence(_lb, _top), l -> l > _lb)")).drop("_top"), "b", F.col("_up")).drop("_up")
+    b_all = _registered(b.join(top, by).withColumn("_up", F.expr("filter(sequence(_lb, _top, 2), l -> l > _lb)")).drop("_top"), "b", F.col("_up")).drop("_up")
     a_own = _registered(a, "a", F.array("_la"))
     keys = [*by, "_level", "_cx", "_cy"]
     small_a = a_all.join(b_own.drop("_w"), keys)

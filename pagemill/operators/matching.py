@@ -53,10 +53,10 @@ def mutual_best(scores: DataFrame, by: Sequence[str], threshold: float | None =
     Two aggregates and a join of one row per item: the score table itself is not moved.
     """
     by = list(by)
-    best_i = scores.groupBy(*by, "i").agg(F.min(F.struct((-F.col("score")).alias("s"), "j")).alias("b"))
-    best_j = scores.groupBy(*by, "j").agg(F.min(F.struct((-F.col("score")).alias("s"), "i")).alias("b"))
-    left = best_i.select(*by, "i", F.col("b.j").alias("j"), (-F.col("b.s")).alias("score"))
-    both = left.join(best_j.select(*by, "j", F.col("b.i").alias("i")), [*by, "i", "j"])
+    best_i = scores.groupBy(*by, "i").agg(F.min(F.struct((-F.col("score")).alias("s"), "j")).alias("_b"))
+    best_j = scores.groupBy(*by, "j").agg(F.min(F.struct((-F.col("score")).alias("s"), "i")).alias("_b"))
+    left = best_i.select(*by, "i", F.col("_b.j").alias("j"), (-F.col("_b.s")).alias("score"))
+    both = left.join(best_j.select(*by, "j", F.col("_b.i").alias("i")), [*by, "i", "j"])
     return both.where(F.exp("score") > threshold) if threshold is not None else both
 
 
@@ -186,4 +186,4 @@ def greedy_pairs(scores: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def order_matches(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Add the 0-based ``rank`` of each match in its sample."""
-    return with_positions(df, by, order, "rank")
+    return with_positions(staged(df, "matches"), by, order, "rank")

@@ -9,28 +9,34 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.ordered import neighbours, running_sum, scan
 from pagemill.operators.words import substring_grams
+from pagemill.session import staged
+
+
+BROADCAST_GRAMS = 1 << 20
+
+
+def _probe_side(grams: DataFrame) -> DataFrame:
+    """Grams to look up. Staged and counted: up to a fixed number they are broadcast, so the much
+    longer other side is not shuffled; above it Spark joins by shuffle and splits hot grams."""
+    table = staged(grams, "grams")
+    return F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
 
 
 def text_overlap_join(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b") -> DataFrame:
-    """Id pairs of texts that share a run of at least ``n`` characters.
+    """Id pairs of texts that share a run of at least ``n`` characters; ``a`` is the smaller side.
 
     Two texts share such a run exactly if they share an n-gram, so this is an equi-join
-    on n-grams; every joined row is a true result. Repeats of a gram inside one
-    text are removed before the join, and grams found on one side only never leave
-    their task's combine step because ``b`` is first reduced to grams that ``a`` has.
+    on n-grams: every joined row is a true result, none is a mere candidate. Repeats of a pair
+    are combined in the tasks before the last shuffle.
     """
-    grams_a = substring_grams(a, a_text, n, a_id).select(*a_id, "gram").distinct()
-    grams_b = substring_grams(b, b_text, n, b_id).select(*b_id, "gram")
-    known = grams_a.select("gram").distinct()
-    hits = grams_b.join(known, "gram", "left_semi").distinct()
-    return hits.join(grams_a, "gram").select(*a_id, *b_id).distinct()
+    known = _probe_side(substring_grams(a, a_text, n, a_id).select(*a_id, "gram").distinct())
+    return substring_grams(b, b_text, n, b_id).join(known, "gram").select(*a_id, *b_id).distinct()
 
 
 def gram_matches(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b") -> DataFrame:
-    """All places ``(i, j)`` where an n-gram of ``a`` equals one of ``b``."""
-    grams_a = substring_grams(a, a_text, n, a_id).withColumnRenamed("pos", "i")
-    grams_b = substring_grams(b, b_text, n, b_id).withColumnRenamed("pos", "j")
-    return grams_b.join(grams_a, "gram").select(*a_id, *b_id, "i", "j")
+    """All places ``(i, j)`` where an n-gram of ``a`` equals one of ``b``; ``a`` is the smaller side."""
+    known = _probe_side(substring_grams(a, a_text, n, a_id).withColumnRenamed("pos", "i"))
+    return substring_grams(b, b_text, n, b_id).withColumnRenamed("pos", "j").join(known, "gram").select(*a_id, *b_id, "i", "j")
 
 
 def lcs_align(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b") -> DataFrame:

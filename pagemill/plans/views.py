@@ -26,7 +26,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    documents = property(lambda self: self.read("documents"))
+    @property
+    def documents(self) -> DataFrame:
+        """The texts; a table of fewer files than cores is spread before its texts are taken apart."""
+        rows, cores = self.read("documents"), self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores, "doc_id") if len(rows.inputFiles()) < cores else rows
+
     benchmark = property(lambda self: self.read("benchmark"))
     labels = property(lambda self: self.read("labels"))
     pages = property(lambda self: self.read("pages"))
