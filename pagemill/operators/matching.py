@@ -144,7 +144,7 @@ def average_precision(df: DataFrame, by: Sequence[str], order: Sequence[str], li
     form weights every step with the precision of the last row.
     """
     by = list(by)
-    rows = with_positions(df, by, [F.desc("score"), *order], "_pos")
+    rows = with_positions(staged(df, "ranked"), by, [F.desc("score"), *order], "_pos")
     hit, known, wanted = F.col("pred") == F.col("gt"), (F.col("pred") > -1) & (F.col("gt") >= -1), F.col("gt") > -1
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     rows = scan(rows.withColumn("_tp", one(hit & known)).withColumn("_p", one(known)).withColumn("_r", one(hit & wanted)), by, "_pos",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagemill.operators.matching import greedy_pairs
 from pagemill.operators.ordered import neighbours, with_positions
 from pagemill.operators.polylines import interp_join
+from pagemill.session import staged
 
 
 def fit_line(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -71,7 +72,7 @@ def top1(df: DataFrame, by: Sequence[str], measure: str, key: str) -> DataFrame:
 def _relative_agreement(a: DataFrame, b: DataFrame, by: Sequence[str], eps: DataFrame) -> DataFrame:
     """Weighted mean of ``1 - relative error`` of series ``a`` against ``b`` at the points of ``a``."""
     by = list(by)
-    rows = with_positions(a.select(*by, "x", F.col("y").alias("_own")), by, ["x", "_own"], "_pos")
+    rows = with_positions(staged(a.select(*by, "x", F.col("y").alias("_own")), "curve"), by, ["x", "_own"], "_pos")
     rows = neighbours(rows, by, "_pos", prev=["x"], nxt=["x"])
     x, p, n = F.col("x"), F.col("prev_x"), F.col("next_x")
     weight = F.when(p.isNull() & n.isNull(), F.lit(1.0)).otherwise((F.coalesce(n, x) - F.coalesce(p, x)) / 2)

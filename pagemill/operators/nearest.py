@@ -26,8 +26,8 @@ def nearest(
     """For every query box the target with the least distance; ties go to the least id.
 
     Both sides carry box columns (queries ``qx0..qy1``, targets ``x0..y1``; points have
-    equal corners). Targets are summarised by cell first. A cell is opened for a query only if
-    its lower distance bound does not exceed the least upper bound over all cells, so
+    equal corners). Both sides are summarised by cell first. A target cell is opened for a query only
+    if its lower distance bound does not exceed the least upper bound over all cells, so
     the answer is exact while most targets of a large group are never compared.
     ``distance`` may refine the box distance; it must not be smaller than it, nor
     exceed the distance to the farthest corner of the target box.
@@ -48,12 +48,28 @@ def nearest(
     placed = targets.join(extent, by).select(*targets.columns, cell("x0", "_xa", "_xb").alias("_cx"), cell("y0", "_ya", "_yb").alias("_cy"))
     cells = placed.groupBy(*by, "_cx", "_cy").agg(*[(F.min if c in ("x0", "y0") else F.max)(c).alias(f"_{c}") for c in BOX])
 
-    c = [F.col(f"_{n}") for n in BOX]
-    far_x = F.greatest(F.abs(c[2] - q[0]), F.abs(c[0] - q[0]), F.abs(c[2] - q[2]), F.abs(c[0] - q[2]))
-    far_y = F.greatest(F.abs(c[3] - q[1]), F.abs(c[1] - q[1]), F.abs(c[3] - q[3]), F.abs(c[1] - q[3]))
-    bounds = queries.join(cells, by).withColumn("_low", box_distance(q, c)).withColumn("_high", F.sqrt(far_x * far_x + far_y * far_y))
-    reach = bounds.groupBy(*by, *query_id).agg(F.min("_high").alias("_reach"))
-    opened = bounds.join(reach, [*by, *query_id]).where("_low <= _reach").select(*queries.columns, "_cx", "_cy")
+    # queries are put in the same cells; those outside the extent fall in the nearest edge cell
+    def edge(value: str, low: str, high: str) -> Column:
+        return F.greatest(F.lit(0), cell(value, low, high))
+
+    asked = queries.join(extent, by).select(*queries.columns, edge("qx0", "_xa", "_xb").alias("_qx"), edge("qy0", "_ya", "_yb").alias("_qy"))
+    regions = asked.groupBy(*by, "_qx", "_qy").agg(*[(F.min if c in ("x0", "y0") else F.max)(f"q{c}").alias(f"_r{c}") for c in BOX])
+
+    def bounds(box: list[Column]) -> tuple[Column, Column]:
+        c = [F.col(f"_{n}") for n in BOX]
+        spread = [F.greatest(*[F.abs(c[k] - box[m]) for k in (axis, axis + 2) for m in (axis, axis + 2)]) for axis in (0, 1)]
+        return box_distance(box, c), F.sqrt(spread[0] * spread[0] + spread[1] * spread[1])
+
+    def within_reach(pairs: DataFrame, box: list[Column], keys: list[str]) -> DataFrame:
+        low, high = bounds(box)
+        pairs = pairs.withColumn("_low", low).withColumn("_high", high)
+        reach = pairs.groupBy(*by, *keys).agg(F.min("_high").alias("_reach"))
+        return pairs.join(reach, [*by, *keys]).where("_low <= _reach").drop("_low", "_high", "_reach")
+
+    # first cell against cell, then each query against the cells left for its own cell
+    near = within_reach(regions.join(cells, by), [F.col(f"_r{c}") for c in BOX], ["_qx", "_qy"])
+    near = near.select(*by, "_qx", "_qy", "_cx", "_cy", *[f"_{c}" for c in BOX])
+    opened = within_reach(asked.join(near, [*by, "_qx", "_qy"]), q, query_id).select(*queries.columns, "_cx", "_cy")
 
     pairs = opened.join(placed, [*by, "_cx", "_cy"]).withColumn("_d", exact)
     best = F.min(F.struct(F.col("_d"), *target_id, F.struct(*BOX, *keep).alias("_t"))).alias("_best")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.scalars import project_point
 from pagemill.operators.nearest import nearest
 from pagemill.operators.ordered import after, before, neighbours, running_sum, scan, with_positions
+from pagemill.session import staged
 
 LINE = "line_id"
 
@@ -153,7 +154,7 @@ def interp_join(a: DataFrame, b: DataFrame, by: Sequence[str], x: str, values: S
     right = points.select(*by, F.col(x), *[empty.cast(t).alias(c) for c, t in a.dtypes if c in extra], F.lit(0).alias("_side"), "_b")
     rows = left.unionByName(right, allowMissingColumns=True)
     tie = [F.struct(*order).alias("_tie")] if order else [F.struct(*extra).alias("_tie")]
-    rows = with_positions(rows.select("*", *tie), by, [x, "_side", "_tie"], "_pos")
+    rows = with_positions(staged(rows.select("*", *tie), "merged"), by, [x, "_side", "_tie"], "_pos")
     rows = scan(rows, by, "_pos", {"_p": before(F.col("_b")), "_n": after(F.col("_b"))})
     rows = rows.where("_side = 1")
     share = (F.col(x) - F.col("_p._key")) / F.nullif(F.col("_n._key") - F.col("_p._key"), F.lit(0.0))
@@ -222,7 +223,7 @@ def densify(df: DataFrame, line: str = LINE) -> DataFrame:
     counted = df.groupBy(line, x).agg(F.count(F.lit(1)).alias("_c"), F.max(y).alias("y"))
     single = counted.where("_c = 1").select(line, "x", "y")
     enough = single.groupBy(line).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select(line)
-    rows = with_positions(single.join(enough, line, "left_semi"), [line], ["x"], "_pos")
+    rows = with_positions(staged(single.join(enough, line, "left_semi"), "single"), [line], ["x"], "_pos")
     rows = neighbours(rows, [line], "_pos", nxt=["x", "y"])
     stop = F.when(F.col("next_x").isNull(), F.col("x")).otherwise(F.col("next_x") - 1)
     filled = rows.withColumn("_x", F.explode(F.sequence("x", stop)))

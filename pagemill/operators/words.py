@@ -89,13 +89,12 @@ def trim_unmatched(words: DataFrame, by: Sequence[str], shortest: int = 3) -> Da
 def substring_grams(df: DataFrame, text: str, n: int, keep: Sequence[str], block: int = 64) -> DataFrame:
     """All character n-grams with their position, rows ``(keep, pos, gram)``.
 
-    A long text is cut into short overlapping blocks first, which are spread over the tasks: taking a
-    substring counts characters from the start, so blocks keep the work linear, and one huge text
-    does not stay in one task. Both steps are generated code, without lambda functions.
+    A long text is cut into short overlapping blocks first: taking a substring counts characters
+    from the start, so blocks keep the work linear. Both steps are generated code, without
+    lambda functions, and move no rows between tasks.
     """
     starts = F.explode(F.sequence(F.lit(0), F.length(text) - n, F.lit(block))).alias("_start")
     blocks = df.where(F.length(text) >= n).select(*keep, text, starts)
     blocks = blocks.select(*keep, "_start", F.substr(F.col(text), F.col("_start") + 1, F.lit(block + n - 1)).alias("_part"))
-    blocks = blocks.repartition(*keep, "_start")
     places = blocks.select("*", F.explode(F.sequence(F.lit(0), F.length("_part") - n)).alias("_i"))
     return places.select(*keep, (F.col("_start") + F.col("_i")).alias("pos"), F.substr(F.col("_part"), F.col("_i") + 1, F.lit(n)).alias("gram"))

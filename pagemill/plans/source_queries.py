@@ -24,7 +24,7 @@ LINE_COLUMNS = """SELECT doc_id, 'doc/' || doc_id AS image_path, 'text_line' AS
 def _(t):
     rows = ld.scan_line_docs(t.linedoc, "doc")
     return rows.select(
-        "doc_id", "image_path", "type", "id", F.col("line_pos").alias("line_no"),
+        "doc_id", "image_path", "type", "id", (F.col("part") * ld.LINES_PER_DOCUMENT + F.col("line_pos")).alias("line_no"),
         F.element_at("line", 1)["x"].alias("x0"), F.element_at("line", 1)["y"].alias("y0"), F.element_at("line", -1)["x"].alias("x1"),
         F.when(F.col("line").isNotNull(), F.size("line")).alias("n_points"), "width", "text",
     )

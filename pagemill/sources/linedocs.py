@@ -46,12 +46,17 @@ def scan_line_docs(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def nest_lines(lines: DataFrame, key: str, order: str) -> DataFrame:
-    """One JSON document per key. A document is one row here as in its source."""
+LINES_PER_DOCUMENT = 10000
+
+
+def nest_lines(lines: DataFrame, key: str, order: str, lines_per_document: int = LINES_PER_DOCUMENT) -> DataFrame:
+    """JSON documents ``(key, part, doc)``. ``order`` numbers the lines from 0; a key with more lines
+    than the limit is written as several parts, so no group grows without bound."""
     line = F.struct(F.col(order), F.col("type"), F.col("id"), points_wkt("line").alias("line"), F.col("width"), F.col("text"))
-    nested = lines.groupBy(key, "image_path").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    part = F.floor(F.col(order) / lines_per_document).cast("int").alias("part")
+    nested = lines.groupBy(key, part, "image_path").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     kept = F.transform("lines", lambda x: x.dropFields(order))
-    return nested.select(key, F.to_json(F.struct("image_path", kept.alias("lines"))).alias("doc"))
+    return nested.select(key, "part", F.to_json(F.struct("image_path", kept.alias("lines"))).alias("doc"))
 
 
 def export_line_docs(lines: DataFrame, key: str, order: str, variant: str) -> DataFrame:
