@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.ordered import running_sum, scan, with_positions
+from pagemill.session import prepare
 from pagemill.sources.manifest import derive_keys
 
 GRID = 8
@@ -21,7 +22,7 @@ class Tables:
     """The given tables by name, plus the views built from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+        self.spark, self.folder = prepare(spark), folder.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -30,7 +31,7 @@ class Tables:
     def documents(self) -> DataFrame:
         """The texts; a table of fewer files than cores is spread before its texts are taken apart."""
         rows, cores = self.read("documents"), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores, "doc_id") if len(rows.inputFiles()) < cores else rows
+        return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
     benchmark = property(lambda self: self.read("benchmark"))
     labels = property(lambda self: self.read("labels"))

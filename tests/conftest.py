@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pagemill.session import local_session
 
-    session = local_session(8, "tests", **{"spark.cleaner.referenceTracking.cleanCheckpoints": "true"})
+    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"})
     yield session
     session.stop()
 
