@@ -62,7 +62,12 @@ if __name__ == "__main__":
     from pagemill.session import local_session
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = local_session(8, **{"spark.cleaner.referenceTracking.cleanCheckpoints": "true"})
+    if os.environ.get("PLAIN_SESSION"):  # the settings of a stranger: only cores and partitions
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g").getOrCreate()
+    else:
+        spark = local_session(8)
     con = duck(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     picked = [n for n in queries if not sys.argv[1:] or any(n.startswith(p) for p in sys.argv[1:])]
