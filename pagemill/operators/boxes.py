@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.scalars import box_distance, box_intersection, box_iou
+from pagemill.functions.scalars import box_intersection, box_iou
 from pagemill.operators.graphs import suppress
 from pagemill.operators.nearest import BOX, nearest
+from pagemill.session import staged
 
 
 def uncrop(df: DataFrame, tiles: DataFrame, tile: str) -> DataFrame:
@@ -71,7 +72,9 @@ def overlap_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     the single cell that holds the corner of its intersection.
     """
     by = list(by)
-    a, b = _leveled(a, "a").withColumnRenamed("_own", "_la"), _leveled(b, "b").withColumnRenamed("_own", "_lb")
+    # each side is read three times below, so it is computed once
+    a = staged(_leveled(a, "a").withColumnRenamed("_own", "_la"), "left")
+    b = staged(_leveled(b, "b").withColumnRenamed("_own", "_lb"), "right")
     top = (
         a.select(*by, F.col("_la").alias("_l")).unionByName(b.select(*by, F.col("_lb").alias("_l")))
         .groupBy(*by).agg(F.max("_l").alias("_top"))

@@ -16,7 +16,6 @@ from pagemill.operators import polylines as pl
 from pagemill.operators import progress as pg
 from pagemill.operators import sampling as sp
 from pagemill.operators import scoring as so
-from pagemill.operators import words as wd
 from pagemill.operators.ordered import with_positions
 from pagemill.plans.registry import query, r6
 from pagemill.session import new_folder

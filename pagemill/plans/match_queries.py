@@ -14,6 +14,7 @@ from pagemill.operators import texts as tx
 from pagemill.operators import words as wd
 from pagemill.operators.aggregates import summarize
 from pagemill.plans.registry import query, r6
+from pagemill.session import staged
 
 PASSAGE = 12
 
@@ -236,6 +237,7 @@ def _(t):
     overlaps = bx.overlap_pairs(bx.sided(truth, "a", ["doc_id"], ["id", "text"]), bx.sided(found, "b", ["doc_id"], ["id", "text"]), ["doc_id"])
     iou = fn.box_iou(bx.A_BOX, bx.B_BOX)
     texts = overlaps.select("doc_id", F.col("a_id").alias("i"), F.col("b_id").alias("j"), iou.alias("score"), F.col("a_text").alias("truth_text"), F.col("b_text").alias("found_text"))
+    texts = staged(texts, "overlaps")
     pairs = mt.greedy_pairs(texts.where("score > 1e-10"), ["doc_id"]).join(texts.drop("score"), ["doc_id", "i", "j"])
     scores = tx.mncer(truth, pairs.withColumnRenamed("i", "id"), ["doc_id"], ["id"])
     return scores.select("doc_id", r6("mncer").alias("mncer"), "matched", "words")
@@ -306,8 +308,6 @@ def _(t):
 )
 def _(t):
     """Which document lines repeat a benchmark passage, and how well."""
-    from pagemill.session import staged
-
     matches = staged(classified(t).select("item_id", "doc_id", "line_no", "a", "b", "status"), "matches")
     kept = tx.text_errors(matches.where("status = 'kept'"), "a", "b")
     free = jn.unmatched(t.benchmark, matches, [], "item_id")

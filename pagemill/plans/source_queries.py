@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagemill.operators.aggregates import summarize
 from pagemill.plans.registry import query, r6
 from pagemill.session import new_folder
 from pagemill.sources import linedocs as ld
