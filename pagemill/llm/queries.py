@@ -25,3 +25,17 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.token_counts import token_counts
 
     return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.personal import personal_data
+
+    return personal_data(table(spark, folder, "documents"))
+
+
+@query
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.quality import score_quality
+
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
