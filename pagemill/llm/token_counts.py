@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import set_up, texts
+from pagemill.llm.common import set_up, slices, texts
 from pagemill.session import new_folder
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
-PIECES_KEPT = 1_500_000  # memory bound of a worker's memo of pieces, about 200 MB; it is emptied beyond
+PIECES_KEPT = 600_000  # memory bound of a worker's memo of pieces, about 80 MB; it is emptied beyond
 _OPEN_SPACE = re.compile(r" (?=\s|\Z)")
 
 
@@ -95,7 +95,9 @@ def _count(path: str):
             _counters[path] = Counter(path)
         counter = _counters[path]
         for b in batches:
-            yield pd.DataFrame({"digest": b["digest"], "n_tokens": counter([t or "" for t in b["text"]])})
+            column = [t or "" for t in b["text"]]
+            counts = [n for lo, hi in slices(column) for n in counter(column[lo:hi])]
+            yield pd.DataFrame({"digest": b["digest"], "n_tokens": counts})
 
     return run
 
