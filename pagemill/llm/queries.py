@@ -39,3 +39,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.quality import score_quality
 
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, folder, "documents"))
