@@ -46,3 +46,40 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.mixing import mix_sources
 
     return mix_sources(table(spark, folder, "documents"))
+
+
+@query
+def op6_curve_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.curve_shards import curve_shards
+
+    return curve_shards(table(spark, folder, "documents"))
+
+
+@query
+def op10_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.phrase_index import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op10_phrase_index"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS t
+  FROM documents),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS t
+  FROM benchmark),
+w AS (
+  SELECT DISTINCT item, least(len(t), 13) AS n, array_to_string(t[s : s + 12], ' ') AS win
+  FROM (SELECT item, t, unnest(generate_series(1, greatest(len(t) - 12, 1))) AS s FROM i WHERE len(t) > 0)),
+p AS (
+  SELECT r, s, n, array_to_string(t[s : s + n - 1], ' ') AS win
+  FROM (SELECT r, t, unnest(generate_series(1, len(t))) AS s FROM d), (SELECT DISTINCT n FROM w) WHERE s + n - 1 <= len(t)),
+m AS (SELECT r, item, s, p.n FROM p JOIN w USING (n, win)),
+h AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS pos FROM m) GROUP BY r),
+g AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY r)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)"""
