@@ -67,7 +67,7 @@ def ranked(rows: DataFrame, column: str, bits: int = BITS) -> DataFrame:
     order = Window.orderBy("_value")  # one row per distinct value
     values = staged(values.withColumn("_no", F.row_number().over(order)), "values")
     n = values.count()
-    cell = F.col("_no") if n < 1 << bits else F.ceil(F.col("_no") * ((1 << bits) - 1) / F.lit(n))
+    cell = F.ceil(F.col("_no") * ((1 << bits) - 1) / F.lit(n))  # the whole range, or the curve would cut other dimensions first
     values = values.select("_value", cell.cast("int").alias(f"_cell_{column}"))
     joined = rows.join(F.broadcast(values) if n <= SMALL_TABLE else values, F.col(column) == F.col("_value"), "left").drop("_value")
     return joined.withColumn(f"_cell_{column}", F.coalesce(f"_cell_{column}", F.lit(0)))
