@@ -83,3 +83,28 @@ g AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' O
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)"""
+
+
+@query
+def op9_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.near_copies import near_copies
+
+    return near_copies(table(spark, folder, "documents"), width=4, similarity=(80, 100))
+
+
+ORACLES["op9_near_copies"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), w -> w <> '') AS t
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(t) >= 4 THEN list_distinct(list_transform(generate_series(1, len(t) - 3), i -> array_to_string(t[i : i + 3], ' ')))
+    WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS g
+  FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node WHERE r.root < e.v)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM s JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) ON node = doc_id"""
