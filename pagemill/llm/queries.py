@@ -108,3 +108,29 @@ e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
 r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node WHERE r.root < e.v)
 SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM s JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) ON node = doc_id"""
+
+
+@query
+def op3_repeated_words(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.automata import repeated_words
+
+    return repeated_words(table(spark, folder, "documents"), window=13)
+
+
+@query
+def op8_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.suffix_arrays import repeated_bytes
+
+    return repeated_bytes(table(spark, folder, "documents"), window=50)
+
+
+ORACLES["op3_repeated_words"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), w -> w <> '') AS t FROM documents),
+p AS (SELECT r, doc_id, s, array_to_string(t[s : s + 12], ' ') AS win FROM (SELECT r, doc_id, t, unnest(generate_series(1, len(t) - 12)) AS s FROM d WHERE len(t) > 12)),
+f AS (SELECT win, min(doc_id) AS first FROM p GROUP BY win),
+x AS (SELECT DISTINCT r, unnest(generate_series(s, s + 12)) AS pos FROM p JOIN f USING (win) WHERE first < doc_id),
+g AS (SELECT r, list(pos) AS gone FROM x GROUP BY r),
+w AS (SELECT r, pos, t[pos] AS word FROM (SELECT r, t, unnest(generate_series(1, len(t))) AS pos FROM d)),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept FROM w ANTI JOIN x USING (r, pos) GROUP BY r)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)"""
