@@ -134,3 +134,10 @@ w AS (SELECT r, pos, t[pos] AS word FROM (SELECT r, t, unnest(generate_series(1,
 k AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS kept FROM w ANTI JOIN x USING (r, pos) GROUP BY r)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (r) LEFT JOIN k USING (r)"""
+
+
+@query
+def op4_curve_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.curve_neighbours import nearest
+
+    return nearest(table(spark, folder, "embeddings"))
