@@ -34,6 +34,18 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+LAST = (1 << 63) - 1  # stands for a missing doc_id in Python stages, where a null would turn ids into floats
+
+
+def known_ids(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+
+
+def null_ids(rows: DataFrame) -> DataFrame:
+    """Undo ``known_ids``."""
+    return rows.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

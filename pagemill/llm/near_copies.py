@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import byte_sums, grams, mix, seeds, set_up, slices, spans, texts, words_of
+from pagemill.llm.common import byte_sums, grams, known_ids, mix, null_ids, seeds, set_up, slices, spans, texts, words_of
 from pagemill.llm.components import connected
 from pagemill.session import staged
 
@@ -81,9 +81,7 @@ def _sketch(width: int):
                         rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), m.astype(np.uint8).tobytes(), bands.view(np.int64).tolist()))
                     else:
                         rows.append((doc_id, 0, None, None, None))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_id", "signature", "bands"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_id", "signature", "bands"])
 
     return run
 
@@ -91,7 +89,7 @@ def _sketch(width: int):
 def sketched(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, n_shingles, set_id, signature, bands``; the signature holds the low byte of every minimum."""
     set_up(docs.sparkSession)
-    return texts(docs).mapInPandas(_sketch(width), "doc_id long, n_shingles long, set_id binary, signature binary, bands array<long>")
+    return null_ids(known_ids(texts(docs)).mapInPandas(_sketch(width), "doc_id long, n_shingles long, set_id binary, signature binary, bands array<long>"))
 
 
 def forest(near, n: int) -> list[tuple[int, int]]:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pagemill.llm.common import set_up, texts
+from pagemill.llm.common import known_ids, null_ids, set_up, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 # fixed values: the patterns, as given
@@ -209,4 +209,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """Per document: counts of all spans by kind, digest of the base spans, all spans, and how many were disguised."""
     set_up(docs.sparkSession)
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return texts(docs).mapInPandas(_find, f"doc_id long, {counts}, base_sha256 string, spans string, n_disguised long")
+    found = known_ids(texts(docs)).mapInPandas(_find, f"doc_id long, {counts}, base_sha256 string, spans string, n_disguised long")
+    return null_ids(found)

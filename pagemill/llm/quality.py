@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import set_up, slices, texts, words_of
+from pagemill.llm.common import known_ids, null_ids, set_up, slices, texts, words_of
 from pagemill.session import staged
 
 STATISTICS = ["length", "word_length", "upper", "digit", "symbol", "high", "line_length", "distinct", "repeat", "marked", "plain", "spread"]
@@ -141,7 +141,7 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def measured(docs: DataFrame) -> DataFrame:
     """``doc_id, x`` with the statistics of every text."""
     set_up(docs.sparkSession)
-    return texts(docs).mapInPandas(_measure, "doc_id long, x array<double>")
+    return null_ids(known_ids(texts(docs)).mapInPandas(_measure, "doc_id long, x array<double>"))
 
 
 def in_fold(doc_id: Column | str = "doc_id") -> Column:
@@ -183,7 +183,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sh
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": model.score(np.stack(b["x"])) if len(b) else []})
 
-    scored = rows.mapInPandas(apply, "doc_id long, score double")
+    scored = null_ids(known_ids(rows).mapInPandas(apply, "doc_id long, score double"))
     return scored.select("doc_id", in_fold().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

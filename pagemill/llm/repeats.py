@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import byte_sums, grams, set_up, slices, spans, texts, words_of
+from pagemill.llm.common import byte_sums, grams, known_ids, null_ids, set_up, slices, spans, texts, words_of
 from pagemill.session import staged
 
 GROUP_BYTES = 8 << 20
@@ -40,7 +40,6 @@ BUCKET_BYTES = 16 << 20
 LEAST = 64  # groups, buckets and shards at least
 HOT_GROUPS = 32
 FLUSH = 1 << 20
-LAST = (1 << 63) - 1  # stands for a missing doc_id
 _MULTI = np.uint32(1 << 31)
 
 Runs = list[tuple[int, int, int]]  # first window, end of windows, smallest document
@@ -353,7 +352,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, match: Matcher, report: Callable
     row in ``schema`` for every text of a slice.
     """
     set_up(docs.sparkSession)
-    rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    rows = known_ids(texts(docs))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = shards = max(LEAST, math.ceil(total / GROUP_BYTES))
     buckets = max(LEAST, math.ceil(total / BUCKET_BYTES))
@@ -367,5 +366,4 @@ def remove_repeats(docs: DataFrame, kind: Kind, match: Matcher, report: Callable
         answers.select("grp", F.lit(None).cast("binary").alias("repeated"), F.lit(None).cast("binary").alias("hot"), "shard", "answers")
     )
     columns = [c.split()[0] for c in schema.split(", ")]
-    out = by_group.cogroup(told.groupBy("grp")).applyInPandas(_remove(kind, shards, report, columns), f"doc_id long, {schema}")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    return null_ids(by_group.cogroup(told.groupBy("grp")).applyInPandas(_remove(kind, shards, report, columns), f"doc_id long, {schema}"))

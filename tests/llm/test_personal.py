@@ -70,9 +70,9 @@ def test_long_texts_take_linear_time():
 
 
 def test_table(spark):
-    rows = [(1, "a@b.cd +1 555 123 4567", "x"), (1, "a@b.cd +1 555 123 4567", "x"), (2, None, "y"), (3, "", "z"), (4, "h \U0001f600 10.0.0.1", "w")]
+    rows = [(1, "a@b.cd +1 555 123 4567", "x"), (1, "a@b.cd +1 555 123 4567", "x"), (2, None, "y"), (3, "", "z"), (4, "h \U0001f600 10.0.0.1", "w"), (None, "x", ""), ((1 << 62) + 1, "x", "")]
     got = personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
     told = {r.doc_id: r.spans for r in got}
-    assert len(got) == 5 and told == {1: "email:0:6,phone:7:22", 2: "", 3: "", 4: "ip:4:12"}
+    assert len(got) == 7 and told == {1: "email:0:6,phone:7:22", 2: "", 3: "", 4: "ip:4:12", None: "", (1 << 62) + 1: ""}
     assert all(r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() for r in got)
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0

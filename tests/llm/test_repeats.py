@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from pagemill.llm import automata, repeats, suffix_arrays
-from pagemill.llm.common import words_of
+from pagemill.llm.common import LAST, words_of
 
 SCHEMA = "doc_id long, text string, grp string, n_words string, anchors string"
 
@@ -28,14 +28,14 @@ def words(text):
 
 
 def expected_words(rows, window):
-    ids, u = [repeats.LAST if r[0] is None else r[0] for r in rows], [words(r[1]) for r in rows]
+    ids, u = [LAST if r[0] is None else r[0] for r in rows], [words(r[1]) for r in rows]
     return sorted(
         ((r[0], len(x), len(g), hashlib.sha256(" ".join(w for k, w in enumerate(x) if k not in g).encode()).hexdigest()) for r, x, g in zip(rows, u, gone(u, ids, window), strict=True)), key=str
     )
 
 
 def expected_bytes(rows, window):
-    ids, u = [repeats.LAST if r[0] is None else r[0] for r in rows], [(r[1] or "").encode() for r in rows]
+    ids, u = [LAST if r[0] is None else r[0] for r in rows], [(r[1] or "").encode() for r in rows]
     out = []
     for r, x, g in zip(rows, u, gone(u, ids, window), strict=True):
         out.append((r[0], len(x), len(g), sum(k - 1 not in g for k in g), hashlib.sha256(bytes(b for k, b in enumerate(x) if k not in g)).hexdigest()))
