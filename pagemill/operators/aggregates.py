@@ -76,19 +76,25 @@ def interval_means(df: DataFrame, by: Sequence[str], step: str, every: int, valu
     return df.groupBy(*by, block).agg(*[F.avg(v).alias(v) for v in values], F.count(F.lit(1)).alias("n"))
 
 
-def to_coco(images: DataFrame, annotations: DataFrame, order: Sequence[str], per_row: int = 10000) -> DataFrame:
-    """Nested image rows with running ids and category ids.
+def coco_records(images: DataFrame, annotations: DataFrame, order: Sequence[str]) -> dict[str, DataFrame]:
+    """The record set ``images``, ``annotations``, ``categories``, one row per record, with running ids.
 
-    ``annotations`` has ``(image, category, bbox, area)``. Ids run over the whole set in order. An
-    image with more than ``per_row`` annotations is written as several rows (``part``).
+    ``annotations`` has ``(image, category, bbox, area)``. Ids run over the whole set in order.
     """
     from pagemill.operators.ordered import with_positions
 
     image_ids = with_positions(images, [], ["image"], "image_id")
     categories = with_positions(annotations.select("category").distinct(), [], ["category"], "category_id")
     numbered = with_positions(annotations, [], ["image", *order], "id")
-    nth = with_positions(numbered, ["image"], ["id"], "_nth").withColumn("part", F.floor(F.col("_nth") / per_row))
-    rows = nth.join(categories, "category").join(image_ids, "image")
-    item = F.struct("id", "image_id", "category_id", "bbox", "area", F.lit(0).alias("iscrowd"))
-    nested = rows.groupBy("image", "part").agg(F.array_sort(F.collect_list(item)).alias("annotations"))
-    return image_ids.join(nested, "image", "left").select("image", "image_id", F.coalesce("part", F.lit(0)).alias("part"), "annotations")
+    rows = numbered.join(categories, "category").join(image_ids, "image")
+    return {
+        "images": image_ids,
+        "annotations": rows.select("id", "image", "image_id", "category_id", "bbox", "area", F.lit(0).alias("iscrowd")),
+        "categories": categories.select(F.col("category_id").alias("id"), F.col("category").alias("name")),
+    }
+
+
+def write_coco(records: dict[str, DataFrame], folder: str) -> None:
+    """One folder of JSON lines per record kind."""
+    for kind, rows in records.items():
+        rows.write.mode("overwrite").json(f"{folder}/{kind}")

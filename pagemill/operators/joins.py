@@ -93,6 +93,8 @@ def minus(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def difference_size(a: DataFrame, b: DataFrame) -> DataFrame:
     """How many rows each side has more than the other, copies counted."""
-    more = a.select(*b.columns).exceptAll(b).agg(F.count(F.lit(1)).alias("left_only"))
-    less = b.exceptAll(a.select(*b.columns)).agg(F.count(F.lit(1)).alias("right_only"))
-    return more.join(less)
+    each = lambda df, sign: df.select(*b.columns, F.lit(sign).alias("_s"))
+    sums = each(a, 1).unionByName(each(b, -1)).groupBy(*b.columns).agg(F.sum("_s").alias("_s"))
+    more = F.coalesce(F.sum(F.greatest("_s", F.lit(0))), F.lit(0))
+    less = F.coalesce(F.sum(F.greatest(-F.col("_s"), F.lit(0))), F.lit(0))
+    return sums.agg(more.cast("long").alias("left_only"), less.cast("long").alias("right_only"))

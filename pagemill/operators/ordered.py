@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ WHOLE_GROUP_ROWS = 1 << 20
 CHUNK = "_chunk"
 
 
+def joined_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a summary back by the keys it was grouped by; null keys are a group as any other."""
+    right = summary.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return rows.join(right, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def with_positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "pos", whole_group_rows: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in its group.
 
@@ -31,7 +39,7 @@ def with_positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Colum
     combined count that reads only the group columns). If it fits one task, a window
     numbers the rows. Otherwise rows are range-partitioned on (group, order), so a hot group
     spreads over many tasks, and a row's position is its number in its range plus the
-    rows of the group in earlier ranges.
+    rows of the group in earlier ranges. Both ways give the same rows; null keys are a group.
     """
     by = list(by)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
@@ -61,7 +69,7 @@ def with_positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Colum
         .drop("_n")
     )
     return (
-        rows.join(starts, [*by, "_part"])
+        joined_back(rows, starts, [*by, "_part"])
         .withColumn(name, F.col("_row") - F.col("_first") + F.col("_start"))
         .drop("_row", "_part", "_first", "_start", "_all")
     )
@@ -158,7 +166,7 @@ def scan(df: DataFrame, by: Sequence[str], pos: str, outputs: dict[str, Scan], c
     shifted = [
         (F.col(f"_c_{n}") if s.inclusive else F.lag(f"_c_{n}").over(inside(s))).alias(f"_l_{n}") for n, s in outputs.items()
     ]
-    joined = local.select("*", *shifted).join(edge, keys, "left")
+    joined = joined_back(local.select("*", *shifted), edge, keys, "left")
     return joined.select(*kept, *[s.join(F.col(f"_l_{n}"), F.col(f"_e_{n}")).alias(n) for n, s in outputs.items()])
 
 

@@ -28,16 +28,16 @@ def assets_as_of(log: DataFrame, asset: str = "asset") -> DataFrame:
 def best_so_far(df: DataFrame, by: Sequence[str], pos: str, metric: str, patience: int) -> DataFrame:
     """Mark steps that are strictly better than all before, and steps after the stop.
 
-    ``saved``: new best. ``since``: steps without gain up to here. ``stopped``: an earlier step had
+    ``saved``: new best; a NULL metric is none. ``since``: steps without gain up to here. ``stopped``: an earlier step had
     gone ``patience`` steps without gain.
     """
     by = list(by)
-    rows = scan(df, by, pos, {"_best": running_max(F.col(metric), inclusive=False)}, keep_chunk=True)
-    rows = rows.withColumn("saved", F.col("_best").isNull() | (F.col(metric) > F.col("_best"))).drop("_best")
-    rows = scan(rows, by, pos, {"_gain": before(F.when(F.col("saved"), F.col(pos)), inclusive=True)}, keep_chunk=True)
-    rows = rows.withColumn("since", F.col(pos) - F.col("_gain")).drop("_gain")
-    over = F.when(F.col("since") >= patience, F.lit(1))
-    rows = scan(rows, by, pos, {"_over": before(over)})
+    # the greatest (metric, earliest place) up to a step is the last step that was better than all before it
+    place = F.when(F.col(metric).isNotNull(), F.struct(F.col(metric).alias("v"), (-F.col(pos)).alias("back")))
+    rows = scan(df, by, pos, {"_top": running_max(place)}, keep_chunk=True)
+    rows = rows.withColumn("since", F.col(pos) + F.col("_top.back")).drop("_top")
+    rows = rows.withColumn("saved", F.coalesce(F.col("since") == 0, F.lit(False)))
+    rows = scan(rows, by, pos, {"_over": before(F.when(F.col("since") >= patience, F.lit(1)))})
     return rows.withColumn("stopped", F.col("_over").isNotNull()).drop("_over")
 
 

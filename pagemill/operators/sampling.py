@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.ordered import with_positions
 from pagemill.operators.polylines import interpolate_line
+from pagemill.session import staged
 
 
 def uniform(seed: int, *keys: str | Column) -> Column:
@@ -25,19 +26,20 @@ def shuffle(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int, nam
     return with_positions(df.withColumn("_u", F.xxhash64(F.lit(seed), *key)), by, ["_u", *key], name).drop("_u")
 
 
-def subsample_pairs(df: DataFrame, by: Sequence[str], item: str, n: int, ratio: float, seed: int) -> DataFrame:
+def subsample_pairs(df: DataFrame, by: Sequence[str], item: str, n: int, ratio: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """Choose ``n`` items per side: pairs shared by both sides, the rest different on each side.
 
     Pairs: ``max(2n - available, ceil(n * ratio))``. Rows ``(by, item, role, rank)`` with role ``pair``, ``a``
-    or ``b``. Groups with fewer than ``n`` items are left out.
+    or ``b``. The second table tells the groups with fewer than ``n`` items: ``(by, available)``.
     """
     by = list(by)
-    sizes = df.groupBy(*by).agg(F.countDistinct(item).alias("_n")).where(F.col("_n") >= n)
+    counted = staged(df.groupBy(*by).agg(F.countDistinct(item).alias("_n")), "sizes")
+    sizes, few = counted.where(F.col("_n") >= n), counted.where(F.col("_n") < n)
     rows = shuffle(df.select(*by, item).distinct(), by, [item], seed).join(sizes, by)
     pairs = F.greatest(2 * n - F.col("_n"), F.ceil(F.lit(n * ratio)))
     rank = F.col("rank")
     role = F.when(rank < pairs, "pair").when(rank < n, "a").when(rank < n + (n - pairs), "b")
-    return rows.withColumn("role", role).where("role IS NOT NULL").select(*by, item, "role", "rank")
+    return rows.withColumn("role", role).where("role IS NOT NULL").select(*by, item, "role", "rank"), few.withColumnRenamed("_n", "available")
 
 
 def mutate_text(text: str | Column, key: Sequence[str | Column], rate: float, alphabet: str, seed: int) -> Column:

@@ -20,10 +20,10 @@ def score_batches(df: DataFrame, load: Callable[[], Any], predict: Callable[[Any
     return df.mapInPandas(run, schema)
 
 
-def map_rows(df: DataFrame, fn: Callable[..., dict], key: str, schema: str, **extra: Any) -> tuple[DataFrame, DataFrame]:
-    """Call ``fn(row, **extra)`` per row; results keep their key, failures go to the error table.
+def map_rows(df: DataFrame, fn: Callable[..., dict], key: str, schema: str, **extra: Any) -> DataFrame:
+    """Call ``fn(row, **extra)`` once per row; results keep their key, a failing row gets an ``error`` instead.
 
-    Returns ``(results, errors)``; errors are ``(key, error)``. A failing row does not stop the batch.
+    A failing row does not stop the batch. To split results and errors, stage the table first, or ``fn`` runs for each.
     """
 
     names = [f.split()[0] for f in schema.split(",")]
@@ -40,5 +40,4 @@ def map_rows(df: DataFrame, fn: Callable[..., dict], key: str, schema: str, **ex
                     rows.append({key: row[key], **dict.fromkeys(names), "error": f"{type(problem).__name__}: {problem}"})
             yield pd.DataFrame(rows, columns=[key, *names, "error"])
 
-    done = df.mapInPandas(run, f"{key} {key_type}, {schema}, error string")
-    return done.where("error IS NULL").drop("error"), done.where("error IS NOT NULL").select(key, "error")
+    return df.mapInPandas(run, f"{key} {key_type}, {schema}, error string")

@@ -12,25 +12,26 @@ from pagemill.operators.words import substring_grams
 from pagemill.session import staged
 
 
-BROADCAST_GRAMS = 1 << 20
-
-
 def _probe_side(grams: DataFrame) -> DataFrame:
-    """Grams to look up. Staged and counted: up to a fixed number they are broadcast, so the much
-    longer other side is not shuffled; above it Spark joins by shuffle and splits hot grams."""
-    table = staged(grams, "grams")
-    return F.broadcast(table) if table.count() <= BROADCAST_GRAMS else table
+    """Grams to look up, staged: Spark knows the bytes of a staged table and broadcasts it only below its own limit."""
+    return staged(grams, "grams")
 
 
-def text_overlap_join(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b") -> DataFrame:
+def text_overlap_join(
+    a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b", by: Sequence[str] = (),
+) -> DataFrame:
     """Id pairs of texts that share a run of at least ``n`` characters; ``a`` is the smaller side.
 
+    With ``by`` only texts of the same sample meet, which makes short runs useful.
+
     Two texts share such a run exactly if they share an n-gram, so this is an equi-join
     on n-grams: every joined row is a true result, none is a mere candidate. Repeats of a pair
     are combined in the tasks before the last shuffle.
     """
-    known = _probe_side(substring_grams(a, a_text, n, a_id).select(*a_id, "gram").distinct())
-    return substring_grams(b, b_text, n, b_id).join(known, "gram").select(*a_id, *b_id).distinct()
+    by = list(by)
+    known = _probe_side(substring_grams(a, a_text, n, [*by, *a_id]).select(*by, *a_id, "gram").distinct())
+    grams = substring_grams(b, b_text, n, [*by, *b_id]).select(*by, *b_id, "gram").distinct() if by else substring_grams(b, b_text, n, b_id)
+    return grams.join(known, [*by, "gram"]).select(*by, *a_id, *b_id).distinct()
 
 
 def gram_matches(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b") -> DataFrame:

@@ -60,9 +60,24 @@ def _(t):
 def _(t):
     box = fn.box_xywh("x0", "y0", "x1", "y1")
     annotations = t.boxes.select(F.col("sample").alias("image"), "box_id", "category", box.alias("bbox"), (box["w"] * box["h"]).alias("area"))
-    nested = ag.to_coco(annotations.select("image").distinct(), annotations, ["box_id"])
-    rows = nested.select(F.col("image").alias("sample"), "image_id", F.explode("annotations").alias("a"))
-    return rows.select("sample", "image_id", "a.id", "a.category_id", F.col("a.bbox.x").alias("x0"), F.col("a.bbox.w").alias("w"), "a.area")
+    rows = ag.coco_records(annotations.select("image").distinct(), annotations, ["box_id"])["annotations"]
+    return rows.select(F.col("image").alias("sample"), "image_id", "id", "category_id", F.col("bbox.x").alias("x0"), F.col("bbox.w").alias("w"), "area")
+
+
+@query(
+    "a07_coco_sink", "v_boxes",
+    """SELECT 'images' AS kind, count(DISTINCT sample) AS n, count(DISTINCT sample) - 1 AS last_id FROM v_boxes
+    UNION ALL SELECT 'annotations', count(*), count(*) - 1 FROM v_boxes
+    UNION ALL SELECT 'categories', count(DISTINCT category), count(DISTINCT category) - 1 FROM v_boxes""",
+)
+def _(t):
+    box = fn.box_xywh("x0", "y0", "x1", "y1")
+    annotations = t.boxes.select(F.col("sample").alias("image"), "box_id", "category", box.alias("bbox"), (box["w"] * box["h"]).alias("area"))
+    folder = new_folder(t.spark, "coco")
+    ag.write_coco(ag.coco_records(annotations.select("image").distinct(), annotations, ["box_id"]), folder)
+    ids = {"images": "image_id", "annotations": "id", "categories": "id"}
+    kinds = [t.spark.read.schema(f"{c} long").json(f"{folder}/{k}").agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.max(c).alias("last_id")) for k, c in ids.items()]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
 
 IOU_BASE = """k AS (SELECT CAST(c AS INT) AS class, count(*) FILTER (pred = c) AS p, count(*) FILTER (gt = c) AS t, count(*) FILTER (pred = c AND gt = c) AS tp
@@ -434,9 +449,18 @@ def _(t):
 PRINTABLE = "abcdefghijklmnopqrstuvwxyz"
 
 
-@query("r01_subsample_pairs", "v_textlines")
+@query(
+    "r01_subsample_pairs", "v_textlines",
+    """n AS (SELECT doc_id, count(DISTINCT line_no) AS n FROM v_textlines GROUP BY doc_id),
+    p AS (SELECT doc_id, n, greatest(40 - n, 14) AS pairs FROM n WHERE n >= 20)
+    SELECT doc_id, pairs AS n_pair, 20 - pairs AS n_a, 20 - pairs AS n_b, 20 + 20 - pairs AS n_items, 0::BIGINT AS too_few FROM p
+    UNION ALL SELECT doc_id, 0, 0, 0, 0, n FROM n WHERE n < 20""",
+)
 def _(t):
-    return sp.subsample_pairs(t.textlines, ["doc_id"], "line_no", 20, 0.666, 7)
+    drawn, rejected = sp.subsample_pairs(t.textlines, ["doc_id"], "line_no", 20, 0.666, 7)
+    count = lambda role: F.count_if(F.col("role") == role).alias(f"n_{role}")
+    told = drawn.groupBy("doc_id").agg(count("pair"), count("a"), count("b"), F.countDistinct("line_no").alias("n_items")).withColumn("too_few", F.lit(0).cast("long"))
+    return told.unionByName(rejected.select("doc_id", *[F.lit(0).cast("long").alias(c) for c in ("n_pair", "n_a", "n_b", "n_items")], F.col("available").alias("too_few")))
 
 
 @query("r02_shuffle", "v_textlines")
@@ -544,8 +568,7 @@ def _scale_value(row: dict, factor: float) -> dict:
       CASE WHEN event_type = 'error' THEN 'ValueError: no value for error events' END AS error FROM events""",
 )
 def _(t):
-    good, bad = so.map_rows(t.events.select("event_id", "event_type", "value"), _scale_value, "event_id", "scaled double", factor=2.5)
-    rows = good.unionByName(bad, allowMissingColumns=True)
+    rows = so.map_rows(t.events.select("event_id", "event_type", "value"), _scale_value, "event_id", "scaled double", factor=2.5)
     return rows.select("event_id", r6("scaled").alias("scaled"), "error")
 
 
@@ -554,18 +577,21 @@ def _(t):
 
 @query("i01_incremental_ingest", "", "SELECT event_id, user_id, event_type FROM events")
 def _(t):
-    source = st.file_stream(t.spark, t.folder, t.events.schema, "events.parquet").select("event_id", "user_id", "event_type")
-    checkpoint, sink = new_folder(t.spark, "ingest-state"), new_folder(t.spark, "ingested")
+    rows = t.events.select("event_id", "user_id", "event_type")
+    checkpoint, sink, inbox = (new_folder(t.spark, name) for name in ("ingest-state", "ingested", "inbox"))
+    # two thirds arrive first; then the rest, with a third seen before
+    rows.where("event_id % 3 <> 2").write.parquet(inbox)
+    source = st.file_stream(t.spark, inbox, rows.schema)
     st.ingest_stream(source, "event_id", checkpoint, sink)
+    rows.where("event_id % 3 <> 1").write.mode("append").parquet(inbox)
     st.ingest_stream(source, "event_id", checkpoint, sink)
-    return t.spark.read.schema(source.schema).parquet(sink)
+    return t.spark.read.schema(source.schema).parquet(sink).select(*source.columns)
 
 
 @query("i02_running_class_iou", "v_class", f"{IOU_BASE} {IOU_COLUMNS} FROM s")
 def _(t):
-    documents = st.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet")
+    documents = st.table_stream(t.spark, f"{t.folder}/documents.parquet")
     rows = documents.join(t.labels, "doc_id").select((F.col("n_chars") > 1000).cast("int").alias("pred"), F.col("quality").alias("gt"))
     sink = new_folder(t.spark, "class-counts")
     st.class_counts_stream(rows, 2, new_folder(t.spark, "class-state"), sink)
-    counts = t.spark.read.parquet(sink)
-    return ag.class_scores(counts).select("class", *[r6(c).alias(c) for c in ("iou", "fp_ratio", "fn_ratio")])
+    return ag.class_scores(st.latest_counts(t.spark, sink, 2)).select("class", *[r6(c).alias(c) for c in ("iou", "fp_ratio", "fn_ratio")])

@@ -23,7 +23,7 @@ LINE_COLUMNS = """SELECT doc_id, 'doc/' || doc_id AS image_path, 'text_line' AS
 def _(t):
     rows = ld.scan_line_docs(t.linedoc, "doc")
     return rows.select(
-        "doc_id", "image_path", "type", "id", (F.col("part") * ld.LINES_PER_DOCUMENT + F.col("line_pos")).alias("line_no"),
+        "doc_id", "image_path", "type", "id", F.col("line_pos").cast("int").alias("line_no"),
         F.element_at("line", 1)["x"].alias("x0"), F.element_at("line", 1)["y"].alias("y0"), F.element_at("line", -1)["x"].alias("x1"),
         F.when(F.col("line").isNotNull(), F.size("line")).alias("n_points"), "width", "text",
     )
@@ -143,8 +143,7 @@ def _(t):
 def _(t):
     k = F.from_json("props", "k int")["k"]
     checks = {"k is a number": k.isNotNull(), "k below 50": k < 50, "event is valid": F.col("event_type") != "error"}
-    good, bad = mf.split_errors(t.events, checks)
-    return good.select("event_id", F.lit(None).cast("string").alias("error")).unionAll(bad.select("event_id", "error"))
+    return mf.mark_errors(t.events, checks).select("event_id", "error")
 
 
 @query(

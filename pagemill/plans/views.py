@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.ordered import running_sum, scan, with_positions
-from pagemill.session import prepare
+from pagemill.session import SPREAD, prepare
 from pagemill.sources.manifest import derive_keys
 
 GRID = 8
@@ -29,9 +29,9 @@ class Tables:
 
     @property
     def documents(self) -> DataFrame:
-        """The texts; a table of fewer files than cores is spread before its texts are taken apart."""
-        rows, cores = self.read("documents"), self.spark.sparkContext.defaultParallelism
-        return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+        """The texts. A session for one machine may ask to deal them out, as its tables are single files (``SPREAD``)."""
+        rows, spread = self.read("documents"), int(self.spark.conf.get(SPREAD, "0"))
+        return rows.repartition(spread) if spread else rows
 
     benchmark = property(lambda self: self.read("benchmark"))
     labels = property(lambda self: self.read("labels"))

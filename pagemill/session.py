@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD = "spark.pagemill.spreadDocuments"  # number of parts to deal the texts out to; unset on a cluster
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings results depend on; call it once on a session of your own.
 
@@ -27,6 +30,7 @@ def local_session(cores: int | str = "*", name: str = "pagemill", **conf: str) -
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        SPREAD: str(cores if cores != "*" else 8),
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",

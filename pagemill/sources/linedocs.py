@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINE_DOC = (
-    "image_path string, lines array<struct<type:string,id:string,line:string,width:double,text:string,"
+    "image_path string, lines array<struct<line_no:bigint,type:string,id:string,line:string,width:double,text:string,"
     "words:array<struct<text:string,poly:string>>>>"
 )
 
@@ -33,14 +33,18 @@ def points_wkt(points: Column | str) -> Column:
 
 
 def scan_line_docs(df: DataFrame, column: str) -> DataFrame:
-    """One row per line of each JSON document; a document without lines keeps one NULL row."""
+    """One row per line of each JSON document; a document without lines keeps one NULL row.
+
+    ``line_pos`` is the number written with the line, so it does not matter in how many parts a document came;
+    documents of other writers have no such number and their lines count from 0.
+    """
     parsed = df.withColumn("_doc", F.from_json(column, LINE_DOC))
     rows = parsed.select(
         *[c for c in df.columns if c != column], F.col("_doc.image_path").alias("image_path"),
-        F.posexplode_outer("_doc.lines").alias("line_pos", "_line"),
+        F.posexplode_outer("_doc.lines").alias("_at", "_line"),
     )
     return rows.select(
-        *[c for c in rows.columns if c != "_line"],
+        *[c for c in rows.columns if c not in ("_at", "_line")], F.coalesce("_line.line_no", "_at").alias("line_pos"),
         "_line.type", "_line.id", wkt_points("_line.line").alias("line"), "_line.width", "_line.text",
         F.transform("_line.words", lambda w: F.struct(w["text"].alias("text"), wkt_points(w["poly"]).alias("poly"))).alias("words"),
     )
@@ -50,13 +54,15 @@ LINES_PER_DOCUMENT = 10000
 
 
 def nest_lines(lines: DataFrame, key: str, order: str, lines_per_document: int = LINES_PER_DOCUMENT) -> DataFrame:
-    """JSON documents ``(key, part, doc)``. ``order`` numbers the lines from 0; a key with more lines
-    than the limit is written as several parts, so no group grows without bound."""
-    line = F.struct(F.col(order), F.col("type"), F.col("id"), points_wkt("line").alias("line"), F.col("width"), F.col("text"))
+    """JSON documents ``(key, part, doc)``. ``order`` numbers the lines from 0, and the number is written with the line.
+
+    A part holds the lines of a fixed range of numbers, so no group grows without bound. What ``scan_line_docs`` reads
+    back is the same for every limit.
+    """
+    line = F.struct(F.col(order).cast("long").alias("line_no"), F.col("type"), F.col("id"), points_wkt("line").alias("line"), F.col("width"), F.col("text"))
     part = F.floor(F.col(order) / lines_per_document).cast("int").alias("part")
     nested = lines.groupBy(key, part, "image_path").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    kept = F.transform("lines", lambda x: x.dropFields(order))
-    return nested.select(key, "part", F.to_json(F.struct("image_path", kept.alias("lines"))).alias("doc"))
+    return nested.select(key, "part", F.to_json(F.struct("image_path", "lines")).alias("doc"))
 
 
 def export_line_docs(lines: DataFrame, key: str, order: str, variant: str) -> DataFrame:

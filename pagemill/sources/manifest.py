@@ -86,11 +86,10 @@ def incomplete(inputs: DataFrame, outputs: DataFrame, sample: str, item: str) ->
     ).where("missing + extra > 0")
 
 
-def split_errors(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Split into good rows and failing rows with an ``error`` text (first failing check)."""
+def mark_errors(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Add ``error``: the first check that fails, or NULL. One pass; filter it, or write it by ``error``."""
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
-    marked = df.withColumn("error", error)
-    return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL")
+    return df.withColumn("error", error)
 
 
 def limit_samples(df: DataFrame, n: int, key: str = "sample", splits: Sequence[str] | None = None, by: str = "split") -> DataFrame:

@@ -1,37 +1,65 @@
-"""The two operators with a natural incremental form."""
+"""The two operators with a natural incremental form. Every batch is a folder of its sink, named by batch id, so a batch
+that runs again after a failure replaces what it wrote, and a reader never meets a table in the making."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagemill.operators.aggregates import class_counts
 
+BATCH = "ingest_batch"
 
-def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+
+def file_stream(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """New Parquet files below ``folder``."""
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table as a stream, whether ``path`` is one file or a folder of part files."""
+    schema = spark.read.parquet(path).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return file_stream(spark, path, schema)
+    # a file stream watches folders: the file's folder, narrowed to its name
+    return spark.readStream.schema(schema).option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
 def ingest_stream(source: DataFrame, key: str, checkpoint: str, sink: str) -> None:
     """Append every sample once; files seen in an earlier run are not read again.
 
-    Runs over what is there now and ends. The keys seen so far are kept in the checkpoint.
+    Runs over what is there now and ends. Samples are held against the keys in the sink, so no state grows with the stream.
     """
-    query = (
-        source.dropDuplicates([key]).writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint).option("path", sink)
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    schema = StructType([*source.schema.fields]).add(BATCH, "long")
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates([key])
+        if number:
+            known = batch.sparkSession.read.schema(schema).parquet(sink).where(F.col(BATCH) < number)
+            fresh = fresh.join(known.select(key), key, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{sink}/{BATCH}={number}")
+
+    source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
 
 
 def class_counts_stream(source: DataFrame, classes: int, checkpoint: str, sink: str, ignore: int = 255) -> None:
-    """Running class counts of ``(pred, gt)`` rows; each batch replaces the table at ``sink``."""
+    """Running class counts of ``(pred, gt)`` rows; each batch writes the counts so far. Only they are state."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(sink)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/{BATCH}={number}")
 
     query = (
         class_counts(source, classes, ignore).writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def latest_counts(spark: SparkSession, sink: str, classes: int) -> DataFrame:
+    """The counts after the last batch, with zeros for classes not seen."""
+    rows = spark.read.parquet(sink)
+    last = rows.where(F.col(BATCH) == rows.agg(F.max(BATCH)).first()[0]).drop(BATCH)
+    every = spark.range(classes).select(F.col("id").cast("int").alias("class"))
+    return every.join(last, "class", "left").na.fill(0)

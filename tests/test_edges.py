@@ -309,7 +309,9 @@ def test_fill_grid_stops_without_values(spark):
 
 def test_sampling_is_stable(spark):
     df = spark.createDataFrame([(g, k) for g in range(3) for k in range(25)], "g int, k int")
-    outs = [rows(sp.subsample_pairs(df.repartition(p), ["g"], "k", 20, 0.666, 7), "g", "k", "role") for p in (1, 16)]
+    outs = [rows(sp.subsample_pairs(df.repartition(p), ["g"], "k", 20, 0.666, 7)[0], "g", "k", "role") for p in (1, 16)]
+    drawn, few = sp.subsample_pairs(df.where("g > 0 OR k < 5"), ["g"], "k", 20, 0.666, 7)
+    assert rows(few, "g", "available") == [(0, 5)] and drawn.where("g = 0").count() == 0
     assert outs[0] == outs[1]
     roles = [r for g, _, r in outs[0] if g == 0]
     assert (roles.count("pair"), roles.count("a"), roles.count("b")) == (15, 5, 5)
@@ -329,8 +331,8 @@ def test_distractor_counts(spark):
 
 def test_scoring_errors_and_series(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 0.0)], "k bigint, v double")
-    good, bad = so.map_rows(df, lambda r, top: {"q": top / r["v"]}, "k", "q double", top=4.0)
-    assert rows(good, "k", "q") == [(1, 2.0)] and rows(bad, "k")[0][0] == 2
+    done = so.map_rows(df, lambda r, top: {"q": top / r["v"]}, "k", "q double", top=4.0)
+    assert rows(done.where("error IS NULL"), "k", "q") == [(1, 2.0)] and rows(done.where("error IS NOT NULL"), "k")[0][0] == 2
     gt = spark.createDataFrame([("a", 0.0, 1.0), ("a", 1.0, 2.0), ("b", 0.0, 1.0)], "g string, x double, y double")
     score = dict(rows(ms.series_f1(gt.where("g = 'a'"), gt, ["g"]), "g", "f1"))
     assert score == {"a": 1.0, "b": 0.0}

@@ -66,3 +66,19 @@ def test_positions(rows, limit):
     same(got.select("g", "pos", "at"), want.select("g", "pos", "at"))
     whole = od.with_positions(shuffled, [], ["g", "k"], "at").select("at").collect()
     assert sorted(r.at for r in whole) == list(range(50))
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_null_groups(spark, size):
+    """Rows without a group key are a group: none is lost, and chunks hand on their values."""
+    data = [(None if k % 2 else "a", None if k % 4 == 3 else 7, k // 2, float(k)) for k in range(24)]
+    rows = spark.createDataFrame(data, "g string, h int, pos bigint, v double")
+    for by in (["g"], ["g", "h"]):
+        w = Window.partitionBy(*by).orderBy("pos")
+        got = od.with_positions(rows, by, ["v"], "at", whole_group_rows=0 if size < 1000 else 1000)
+        same(got.select("v", "at"), rows.select("v", (F.row_number().over(w) - 1).alias("at")))
+        got = od.scan(rows, by, "pos", {"s": od.running_sum(F.col("v")), "b": od.before(F.col("v"))}, chunk_rows=size)
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        same(got.select("v", "s", "b"), rows.select("v", F.sum("v").over(w).alias("s"), F.last("v", True).over(before).alias("b")))
+        got = od.neighbours(rows, by, "pos", prev=["v"], reach=4, chunk_rows=size)
+        same(got.select("v", "prev_v"), rows.select("v", F.lag("v").over(w).alias("prev_v")))
