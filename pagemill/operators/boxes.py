@@ -50,46 +50,48 @@ def box_all(boxes: DataFrame, grid: DataFrame, holds: Column, by: str = "sample"
 
 
 def _leveled(df: DataFrame, prefix: str) -> DataFrame:
-    size = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"), F.lit(1e-9))
-    # every second power of two: fewer levels to enter, cells at most four sizes wide
-    return df.withColumn("_own", (2 * F.ceil(F.log2(size) / 2)).cast("int"))
+    """Size level of a box along each axis: every second power of two, so cells are at most four sizes wide."""
+    for axis in "xy":
+        size = F.greatest(F.col(f"{prefix}{axis}1") - F.col(f"{prefix}{axis}0"), F.lit(1e-9))
+        df = df.withColumn(f"_{prefix}{axis}", (2 * F.ceil(F.log2(size) / 2)).cast("int"))
+    return df
+
+
+def _levels(df: DataFrame, prefix: str, by: list[str]) -> DataFrame:
+    """The level pairs that occur in each group: a few dozen at most, as sizes are powers of four."""
+    return df.groupBy(*by).agg(F.collect_set(F.struct(F.col(f"_{prefix}x").alias("x"), F.col(f"_{prefix}y").alias("y"))).alias("_others"))
 
 
-def _registered(df: DataFrame, prefix: str, levels: Column) -> DataFrame:
-    """Copies of each box in every cell it touches on the given size levels."""
-    rows = df.withColumn("_level", F.explode(levels)).withColumn("_w", F.pow(F.lit(2.0), "_level"))
+def _registered(df: DataFrame, prefix: str, others: DataFrame, by: list[str]) -> DataFrame:
+    """Copies of each box in every cell it touches, on the levels at which it can meet boxes of the other side."""
+    met = F.transform("_others", lambda o: F.struct(F.greatest(o["x"], F.col(f"_{prefix}x")).alias("x"), F.greatest(o["y"], F.col(f"_{prefix}y")).alias("y")))
+    rows = df.join(others, by).withColumn("_at", F.explode(F.array_distinct(met))).withColumn("_lx", F.col("_at.x")).withColumn("_ly", F.col("_at.y")).drop("_at", "_others")
     for axis in "xy":
-        first, last = [F.floor(F.col(f"{prefix}{axis}{k}") / F.col("_w")) for k in (0, 1)]
+        first, last = [F.floor(F.col(f"{prefix}{axis}{k}") / F.pow(F.lit(2.0), f"_l{axis}")) for k in (0, 1)]
         rows = rows.withColumn(f"_c{axis}", F.explode(F.sequence(first, last)))
     return rows
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Pairs of ``a`` and ``b`` boxes (columns ``a*``/``b*``) that share some area.
+def overlap_candidates(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pairs of ``a`` and ``b`` boxes that meet in a cell, each pair in the cell of its intersection's corner.
 
-    Each box sits in the cells of its own size level; the smaller one of a pair is also
-    entered on the levels above, so only boxes in one cell meet. A pair is kept in
-    the single cell that holds the corner of its intersection.
+    Cells are sized per axis: a pair meets on the level of its greater width and of its greater height. So
+    long, thin boxes meet only boxes of about their own rows or columns.
     """
     by = list(by)
-    # each side is read three times below, so it is computed once
-    a = staged(_leveled(a, "a").withColumnRenamed("_own", "_la"), "left")
-    b = staged(_leveled(b, "b").withColumnRenamed("_own", "_lb"), "right")
-    top = (
-        a.select(*by, F.col("_la").alias("_l")).unionByName(b.select(*by, F.col("_lb").alias("_l")))
-        .groupBy(*by).agg(F.max("_l").alias("_top"))
-    )
-    a_all = _registered(a.join(top, by).withColumn("_up", F.sequence(F.col("_la"), F.col("_top"), F.lit(2))).drop("_top"), "a", F.col("_up")).drop("_up")
-    b_own = _registered(b, "b", F.array("_lb"))
-    b_all = _registered(b.join(top, by).withColumn("_up", F.expr("filter(sequence(_lb, _top, 2), l -> l > _lb)")).drop("_top"), "b", F.col("_up")).drop("_up")
-    a_own = _registered(a, "a", F.array("_la"))
-    keys = [*by, "_level", "_cx", "_cy"]
-    small_a = a_all.join(b_own.drop("_w"), keys)
-    small_b = a_own.join(b_all.drop("_w"), keys)
-    both = small_a.unionByName(small_b)
+    # each side is read twice, so it is computed once
+    a, b = staged(_leveled(a, "a"), "left"), staged(_leveled(b, "b"), "right")
+    left, right = _registered(a, "a", _levels(b, "b", by), by), _registered(b, "b", _levels(a, "a", by), by)
+    both = left.join(right, [*by, "_lx", "_ly", "_cx", "_cy"])
+    own = [F.col(f"_l{x}") == F.greatest(f"_a{x}", f"_b{x}") for x in "xy"]
+    corner = [F.floor(F.greatest(f"a{x}0", f"b{x}0") / F.pow(F.lit(2.0), f"_l{x}")) == F.col(f"_c{x}") for x in "xy"]
+    return both.where(own[0] & own[1] & corner[0] & corner[1]).drop("_lx", "_ly", "_cx", "_cy", "_ax", "_ay", "_bx", "_by")
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pairs of ``a`` and ``b`` boxes (columns ``a*``/``b*``) that share some area."""
     shares = (F.least("ax1", "bx1") > F.greatest("ax0", "bx0")) & (F.least("ay1", "by1") > F.greatest("ay0", "by0"))
-    corner = (F.floor(F.greatest("ax0", "bx0") / F.col("_w")) == F.col("_cx")) & (F.floor(F.greatest("ay0", "by0") / F.col("_w")) == F.col("_cy"))
-    return both.where(shares & corner).drop("_level", "_cx", "_cy", "_w", "_la", "_lb")
+    return overlap_candidates(a, b, by).where(shares)
 
 
 A_BOX, B_BOX = [f"a{c}" for c in BOX], [f"b{c}" for c in BOX]

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.ordered import running_sum, scan, with_positions
-from pagemill.operators.words import substring_grams
 from pagemill.session import staged
 
 
@@ -81,24 +80,35 @@ def gt_matches(ids0: DataFrame, ids1: DataFrame, pairs: DataFrame, by: Sequence[
     return match_vectors(at0.select(*by, F.col("_at0").alias("i")), at1.select(*by, F.col("_at1").alias("j")), numbered, by)
 
 
-def share_run(pairs: DataFrame, ids: Sequence[str], a: str, b: str, n: int) -> DataFrame:
-    """Ids of the pairs whose two texts share ``n`` characters in a row."""
-    left = substring_grams(pairs, a, n, ids).select(*ids, "gram")
-    right = substring_grams(pairs, b, n, ids).select(*ids, "gram")
-    return left.join(right, [*ids, "gram"], "left_semi").select(*ids).distinct()
+def shares_run(a: str, b: str, n: int) -> Column:
+    """Do two texts of a row share ``n`` characters in a row? Looks for the pieces of the shorter text in the longer one."""
+    shorter, longer = F.when(F.length(a) <= F.length(b), F.col(a)).otherwise(F.col(b)), F.when(F.length(a) <= F.length(b), F.col(b)).otherwise(F.col(a))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(shorter) - n + 1, F.lit(1)))
+    found = F.exists(starts, lambda i: F.contains(longer, F.substr(shorter, i, F.lit(n))))
+    return F.coalesce((F.length(shorter) >= n) & found, F.lit(False))
 
 
-def classify_matches(matches: DataFrame, ids: Sequence[str], a: str = "a", b: str = "b", lowest: float = -1.0, n: int = 3) -> DataFrame:
+def classify_matches(matches: DataFrame, a: str = "a", b: str = "b", lowest: float = -1.0, n: int = 3) -> DataFrame:
     """Add ``status``: ``kept`` or ``removed``; matches below the lowest log score are dropped.
 
     Removed: exactly one side has text, or both have and share less than ``n`` characters in a row.
     """
-    scored = matches.where(F.col("log_assignment") >= lowest)
-    shared = share_run(scored, ids, a, b, n).withColumn("_shared", F.lit(True))
     one_sided = F.col(a).isNull() != F.col(b).isNull()
-    unlike = F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("_shared").isNull()
-    status = F.when(one_sided | unlike, "removed").otherwise("kept")
-    return scored.join(shared, list(ids), "left").withColumn("status", status).drop("_shared")
+    unlike = F.col(a).isNotNull() & F.col(b).isNotNull() & ~shares_run(a, b, n)
+    return matches.where(F.col("log_assignment") >= lowest).withColumn("status", F.when(one_sided | unlike, "removed").otherwise("kept"))
+
+
+def match_document(matches: DataFrame, ids_a: DataFrame, ids_b: DataFrame, a_id: Sequence[str], b_id: Sequence[str]) -> DataFrame:
+    """The record set of a match run, one row per record: ``kind`` and both ids.
+
+    Kinds are ``line_matches`` and ``removed_line_matches`` from ``status``, and the ids of either side that no match names.
+    """
+    both = [*a_id, *b_id]
+    kind = F.when(F.col("status") == "kept", "line_matches").otherwise("removed_line_matches")
+    left = ids_a.select(*a_id).join(matches.select(*a_id), list(a_id), "left_anti").withColumn("kind", F.lit("unmatched_template_lines"))
+    right = ids_b.select(*b_id).join(matches.select(*b_id), list(b_id), "left_anti").withColumn("kind", F.lit("unmatched_warped_lines"))
+    rows = matches.select(kind.alias("kind"), *both).unionByName(left, allowMissingColumns=True)
+    return rows.unionByName(right, allowMissingColumns=True).select("kind", *both)
 
 
 def match_metrics(df: DataFrame, by: Sequence[str]) -> DataFrame:

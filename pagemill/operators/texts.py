@@ -57,8 +57,12 @@ def lcs_align(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Seq
     return best.select(*pair, "_b.i", "_b.j", (-F.col("_b._n")).alias("length"))
 
 
-def text_errors(df: DataFrame, truth: str, found: str) -> DataFrame:
-    """Edit distance, and character error rate against the truth (NULL for an empty truth)."""
+def text_errors(df: DataFrame, truth: str, found: str, ids: Sequence[str] = ()) -> DataFrame:
+    """Edit distance, and character error rate against the truth (NULL for an empty truth).
+
+    A distance costs the product of the lengths, so few rows are much work: with ``ids`` they are dealt out first.
+    """
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids) if ids else df
     distance = F.levenshtein(truth, found)
     return df.withColumn("distance", distance).withColumn("cer", F.try_divide(F.col("distance").cast("double"), F.length(truth).cast("double")))
 

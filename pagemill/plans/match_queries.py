@@ -217,10 +217,41 @@ def _(t):
     FROM v_pairs p JOIN benchmark b ON b.item_id = p.item_id JOIN v_textlines t ON t.doc_id = p.doc_id AND t.line_no = p.line_no""",
 )
 def _(t):
-    scored = tx.text_errors(passage_texts(t), "a", "b")
+    scored = tx.text_errors(passage_texts(t), "a", "b", ["item_id", "doc_id", "line_no"])
     return scored.select("item_id", "doc_id", "line_no", F.col("distance").cast("long").alias("distance"), r6("cer").alias("cer"))
 
 
+OWN_LINES = """o AS (SELECT b.item_id AS sample, b.text AS a, t.line_no, t.text AS b FROM benchmark b JOIN v_textlines t ON t.doc_id = b.item_id),
+    g AS (SELECT DISTINCT sample, line_no FROM o, unnest(range(length(a) - 2)) u(i) WHERE length(a) >= 3 AND contains(b, substr(a, CAST(i + 1 AS INT), 3)))"""
+
+
+def own_lines(t):
+    """A passage and the lines of the document of the same number: texts of one sample."""
+    passages = t.benchmark.select(F.col("item_id").alias("sample"), F.col("text").alias("a"))
+    return passages, t.textlines.select(F.col("doc_id").alias("sample"), "line_no", F.col("text").alias("b"))
+
+
+@query("j15_within_samples", "v_textlines", f"{OWN_LINES} SELECT sample, line_no FROM g")
+def _(t):
+    """Texts of one sample that share three characters."""
+    return tx.text_overlap_join(*own_lines(t), 3, [], ["line_no"], by=["sample"])
+
+
+@query(
+    "w03_match_document", "v_textlines",
+    f"""{OWN_LINES}, m AS (SELECT o.sample, o.line_no, g.sample IS NOT NULL AS kept FROM o LEFT JOIN g ON g.sample = o.sample AND g.line_no = o.line_no WHERE length(b) % 3 > 0)
+    SELECT CASE WHEN kept THEN 'line_matches' ELSE 'removed_line_matches' END AS kind, sample AS template, sample AS doc_id, line_no FROM m
+    UNION ALL SELECT 'unmatched_template_lines', item_id, NULL, NULL FROM benchmark WHERE item_id NOT IN (SELECT sample FROM m)
+    UNION ALL SELECT 'unmatched_warped_lines', NULL, doc_id, line_no FROM v_textlines WHERE (doc_id, line_no) NOT IN (SELECT sample, line_no FROM m)""",
+)
+def _(t):
+    passages, lines = own_lines(t)
+    pairs = passages.join(lines, "sample").where(F.length("b") % 3 > 0).withColumn("log_assignment", F.lit(0.0))
+    matches = mt.classify_matches(pairs.withColumn("template", F.col("sample")).withColumnRenamed("sample", "doc_id"))
+    matches = staged(matches.select("template", "doc_id", "line_no", "status"), "matches")
+    return mt.match_document(matches, t.benchmark.select(F.col("item_id").alias("template")), t.textlines, ["template"], ["doc_id", "line_no"])
+
+
 def shifted_words(t):
     """A noisy copy of the words: moved a little, one letter read wrongly."""
     return t.words.withColumn("left", F.col("left") + 2).withColumn("text", F.regexp_replace("text", "e", "c"))
@@ -291,7 +322,7 @@ def classified(t):
     n_a, n_b = F.length("a"), F.length("b")
     matches = passage_texts(t).withColumn("log_assignment", F.log(F.least(n_a, n_b) / F.greatest(n_a, n_b)))
     matches = matches.withColumn("a", F.when(F.length("a") % 5 > 0, F.col("a")))
-    return mt.classify_matches(matches, ["item_id", "doc_id", "line_no"], n=40)
+    return mt.classify_matches(matches, n=40)
 
 
 @query("w03_classify_matches", "v_textlines", f"{STATUS_SQL} SELECT item_id, doc_id, line_no, status, round(s, 6) AS log_assignment FROM st")
@@ -309,7 +340,7 @@ def _(t):
 def _(t):
     """Which document lines repeat a benchmark passage, and how well."""
     matches = staged(classified(t).select("item_id", "doc_id", "line_no", "a", "b", "status"), "matches")
-    kept = tx.text_errors(matches.where("status = 'kept'"), "a", "b")
+    kept = tx.text_errors(matches.where("status = 'kept'"), "a", "b", ["item_id", "doc_id", "line_no"])
     free = jn.unmatched(t.benchmark, matches, [], "item_id")
     count = F.count(F.lit(1)).cast("double")
     rows = [

@@ -225,7 +225,7 @@ def test_classify_matches(spark):
         [(1, "abcd", "xabcy", -0.5), (2, "abcd", "xyz", -0.5), (3, None, "abc", -0.5), (4, None, None, -0.5), (5, "abc", "abc", -1.5)],
         "k int, a string, b string, log_assignment double",
     )
-    assert rows(mt.classify_matches(df, ["k"]), "k", "status") == [(1, "kept"), (2, "removed"), (3, "removed"), (4, "kept")]
+    assert rows(mt.classify_matches(df), "k", "status") == [(1, "kept"), (2, "removed"), (3, "removed"), (4, "kept")]
 
 
 def test_ignored_labels_only(spark):
@@ -307,6 +307,17 @@ def test_fill_grid_stops_without_values(spark):
     assert gd.fill_grid(df).where("value IS NULL").count() == 3
 
 
+def test_thin_boxes_have_few_candidates(spark):
+    """Stacked text lines: long, thin, and no two of them overlap."""
+    lines = spark.range(2000).select(F.lit(1).alias("s"), "id", F.lit(0.0).alias("x0"), (F.col("id") * 12.0).alias("y0"), F.lit(900.0).alias("x1"), (F.col("id") * 12.0 + 10).alias("y1"))
+    words = spark.range(2000).select(F.lit(1).alias("s"), "id", (F.col("id") % 50 * 18.0).alias("x0"), F.floor(F.col("id") / 50).alias("r")).select("s", "id", "x0", (F.col("r") * 12.0 + 1).alias("y0"), (F.col("x0") + 15).alias("x1"), (F.col("r") * 12.0 + 9).alias("y1"))
+    a, b = bx.sided(lines, "a", ["s"], ["id"]), bx.sided(words, "b", ["s"], ["id"])
+    assert bx.overlap_candidates(a, bx.sided(lines, "b", ["s"], ["id"]), ["s"]).count() <= 20_000
+    assert bx.overlap_pairs(a, bx.sided(lines, "b", ["s"], ["id"]), ["s"]).where("a_id <> b_id").count() == 0
+    assert bx.overlap_candidates(a, b, ["s"]).count() <= 20_000
+    assert rows(bx.overlap_pairs(a, b, ["s"]), "a_id", "b_id") == sorted((k // 50, k) for k in range(2000))
+
+
 def test_sampling_is_stable(spark):
     df = spark.createDataFrame([(g, k) for g in range(3) for k in range(25)], "g int, k int")
     outs = [rows(sp.subsample_pairs(df.repartition(p), ["g"], "k", 20, 0.666, 7)[0], "g", "k", "role") for p in (1, 16)]
