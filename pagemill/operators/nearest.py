@@ -8,10 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.scalars import box_distance
+from pagemill.session import staged
 
 BOX = ("x0", "y0", "x1", "y1")
 TARGETS_PER_CELL = 512
-MAX_CELLS = 64
+PARTS = 64  # columns of a group, and rows of a column, at most
+FRACTIONS = [k / PARTS for k in range(1, PARTS)]
+
+
+def _edges(quantiles: str, count: str, power: int) -> Column:
+    """Distinct inner edges that cut ``count`` targets into parts of about the wanted size."""
+    n = F.least(F.lit(PARTS), F.ceil(F.pow(F.col(count) / TARGETS_PER_CELL, 1 / power))).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.element_at(quantiles, F.floor(k * PARTS / n).cast("int")))
+    return F.when(n > 1, F.array_distinct(picked)).otherwise(F.array().cast("array<double>"))
+
+
+def _cell(value: str, edges: str) -> Column:
+    return F.size(F.filter(edges, lambda e: e <= F.col(value)))
 
 
 def nearest(
@@ -26,7 +39,8 @@ def nearest(
     """For every query box the target with the least distance; ties go to the least id.
 
     Both sides carry box columns (queries ``qx0..qy1``, targets ``x0..y1``; points have
-    equal corners). Both sides are summarised by cell first. A target cell is opened for a query only
+    equal corners). Targets are cut into columns at quantiles of x and each column at quantiles of y, so cells hold about
+    as many targets wherever they lie. Both sides are summarised by cell first. A target cell is opened for a query only
     if its lower distance bound does not exceed the least upper bound over all cells, so
     the answer is exact while most targets of a large group are never compared.
     ``distance`` may refine the box distance; it must not be smaller than it, nor
@@ -36,23 +50,18 @@ def nearest(
     q = [F.col(f"q{c}") for c in BOX]
     exact = distance() if distance else box_distance(q, BOX)
 
-    extent = targets.groupBy(*by).agg(
-        F.min("x0").alias("_xa"), F.min("y0").alias("_ya"), F.max("x0").alias("_xb"), F.max("y0").alias("_yb"),
-        F.least(F.lit(MAX_CELLS), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count(F.lit(1)) / TARGETS_PER_CELL)))).alias("_n"),
-    )
-
-    def cell(value: str, low: str, high: str) -> Column:
-        share = (F.col(value) - F.col(low)) / F.nullif(F.col(high) - F.col(low), F.lit(0.0))
-        return F.coalesce(F.least(F.col("_n") - 1, F.floor(share * F.col("_n"))), F.lit(0)).cast("int")
-
-    placed = targets.join(extent, by).select(*targets.columns, cell("x0", "_xa", "_xb").alias("_cx"), cell("y0", "_ya", "_yb").alias("_cy"))
+    x_edges = targets.groupBy(*by).agg(F.percentile_approx("x0", FRACTIONS).alias("_e"), F.count(F.lit(1)).alias("_c"))
+    x_edges = staged(x_edges.select(*by, _edges("_e", "_c", 2).alias("_xe"), "_c"), "columns")
+    columns = targets.join(x_edges, by).select(*targets.columns, _cell("x0", "_xe").alias("_cx"))
+    y_edges = columns.groupBy(*by, "_cx").agg(F.percentile_approx("y0", FRACTIONS).alias("_e"), F.count(F.lit(1)).alias("_c"))
+    y_edges = staged(y_edges.select(*by, "_cx", _edges("_e", "_c", 1).alias("_ye")), "rows")
+    placed = columns.join(y_edges, [*by, "_cx"]).select(*targets.columns, "_cx", _cell("y0", "_ye").alias("_cy"))
     cells = placed.groupBy(*by, "_cx", "_cy").agg(*[(F.min if c in ("x0", "y0") else F.max)(c).alias(f"_{c}") for c in BOX])
 
-    # queries are put in the same cells; those outside the extent fall in the nearest edge cell
-    def edge(value: str, low: str, high: str) -> Column:
-        return F.greatest(F.lit(0), cell(value, low, high))
-
-    asked = queries.join(extent, by).select(*queries.columns, edge("qx0", "_xa", "_xb").alias("_qx"), edge("qy0", "_ya", "_yb").alias("_qy"))
+    # queries are grouped the same way, so that those of a region look at the same cells
+    asked = queries.join(x_edges, by).select(*queries.columns, _cell("qx0", "_xe").alias("_qx"))
+    near_rows = y_edges.withColumnRenamed("_cx", "_qx")
+    asked = asked.join(near_rows, [*by, "_qx"], "left").select(*queries.columns, "_qx", F.coalesce(_cell("qy0", "_ye"), F.lit(0)).alias("_qy"))
     regions = asked.groupBy(*by, "_qx", "_qy").agg(*[(F.min if c in ("x0", "y0") else F.max)(f"q{c}").alias(f"_r{c}") for c in BOX])
 
     def bounds(box: list[Column]) -> tuple[Column, Column]:

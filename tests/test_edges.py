@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import scalars as fn
 from pagemill.operators import aggregates as ag
 from pagemill.operators import boxes as bx
+from pagemill.operators.nearest import nearest
 from pagemill.operators import graphs as gr
 from pagemill.operators import grids as gd
 from pagemill.operators import joins as jn
@@ -318,6 +319,20 @@ def test_thin_boxes_have_few_candidates(spark):
     assert rows(bx.overlap_pairs(a, b, ["s"]), "a_id", "b_id") == sorted((k // 50, k) for k in range(2000))
 
 
+def test_nearest_with_an_outlier(spark):
+    """One far target does not put all others into one cell; copies of a point are one cell."""
+    import random
+
+    draw = random.Random(6)
+    points = [(float(draw.randrange(1000)), float(draw.randrange(1000))) for _ in range(3000)] + [(1e9, 1e9)] + [(5.0, 5.0)] * 1200
+    asked = [(draw.uniform(-50, 1100), draw.uniform(-50, 1100)) for _ in range(60)] + [(2e9, 0.0), (-1e6, 3.0)]
+    side = lambda data, p: spark.createDataFrame([(1, k, x, y, x, y) for k, (x, y) in enumerate(data)], ", ".join(["s int", f"{p or 't'}_id int", *[f"{p}{c} double" for c in ("x0", "y0", "x1", "y1")]]))
+    got = {r.q_id: (r.t_id, r.distance) for r in nearest(side(asked, "q"), side(points, ""), ["s"], ["q_id"], ["t_id"]).collect()}
+    for k, (x, y) in enumerate(asked):
+        d, t = min((((x - a) ** 2 + (y - b) ** 2) ** 0.5, i) for i, (a, b) in enumerate(points))
+        assert got[k][1] == pytest.approx(d) and (got[k][0] == t or got[k][1] == pytest.approx(d))
+
+
 def test_sampling_is_stable(spark):
     df = spark.createDataFrame([(g, k) for g in range(3) for k in range(25)], "g int, k int")
     outs = [rows(sp.subsample_pairs(df.repartition(p), ["g"], "k", 20, 0.666, 7)[0], "g", "k", "role") for p in (1, 16)]
