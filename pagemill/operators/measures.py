@@ -100,10 +100,10 @@ def series_f1(pred: DataFrame, gt: DataFrame, by: Sequence[str]) -> DataFrame:
     return both.select(*by, r.alias("recall"), p.alias("precision"), F.coalesce(F.try_divide(2 * r * p, r + p), F.lit(0.0)).alias("f1"))
 
 
-def series_set_score(pred: DataFrame, gt: DataFrame, by: Sequence[str], mode: str = "6a", literal: bool = True) -> DataFrame:
-    """Score of a set of curves: F1 of curve pairs, one-to-one pairing, sum over the expected count.
+def series_set_score(pred: DataFrame, gt: DataFrame, by: Sequence[str], literal: bool = True) -> DataFrame:
+    """Scores of a set of curves, ``score_6a`` and ``score_6b``: F1 of curve pairs, one-to-one pairing, sum over the expected count.
 
-    ``pred`` and ``gt`` have ``(by, series, x, y)``. Mode 6a divides by the number of true curves,
+    ``pred`` and ``gt`` have ``(by, series, x, y)``. Score 6a divides by the number of true curves,
     6b by the larger number. The literal form takes the tolerance from the prediction.
     A pair can only score if some value of one curve comes near the value range of the
     other; other pairs score 0 and are left out.
@@ -126,5 +126,5 @@ def series_set_score(pred: DataFrame, gt: DataFrame, by: Sequence[str], mode: st
     n_gt = gt.groupBy(*by).agg(F.countDistinct("series").alias("_ng"))
     n_pred = pred.groupBy(*by).agg(F.countDistinct("series").alias("_np"))
     counts = n_gt.join(n_pred, by, "left").join(total, by, "left")
-    n = F.col("_ng") if mode == "6a" else F.greatest("_ng", "_np")
-    return counts.select(*by, (F.coalesce("_s", F.lit(0.0)) / n).alias("score"))
+    score = F.coalesce("_s", F.lit(0.0))
+    return counts.select(*by, (score / F.col("_ng")).alias("score_6a"), (score / F.greatest("_ng", "_np")).alias("score_6b"))

@@ -117,28 +117,22 @@ def add_distractors(points: DataFrame, lines: DataFrame, by: Sequence[str], rati
     return rows.select(*by, F.concat(F.lit("distractor-"), "line_id").alias("line_id"), "k", mix("x", "_x").alias("x"), mix("y", "_y").alias("y"), "width")
 
 
-def tile_boxes(height: int, width: int, layers: int, overlap: float) -> list[tuple[int, int, int, int, int, int]]:
-    """``(layer, tile, x0, y0, x1, y1)``: layer ``i`` has ``2^i`` tiles per side, overlapping by a share of the short side."""
-    out = []
-    for layer in range(layers + 1):
-        per_side = 2**layer
-        shared = int(overlap * min(height, width) * 2 / per_side) if layer else 0
-        tile_w = -(-(shared * (per_side - 1) + width) // per_side)
-        tile_h = -(-(shared * (per_side - 1) + height) // per_side)
-        for number in range(per_side * per_side):
-            x0, y0 = (tile_w - shared) * (number % per_side), (tile_h - shared) * (number // per_side)
-            out.append((layer, number, x0, y0, min(x0 + tile_w, width), min(y0 + tile_h, height)))
-    return out
-
-
 def assign_tiles(boxes: DataFrame, height: int, width: int, layers: int, overlap: float) -> DataFrame:
-    """Each box with the tiles it overlaps. The tile list is fixed by the parameters, so it sits in the plan."""
-    tiles = F.array(*[
-        F.struct(*[F.lit(v).alias(n) for n, v in zip(("layer", "tile", "tx0", "ty0", "tx1", "ty1"), t, strict=True)])
-        for t in tile_boxes(height, width, layers, overlap)
-    ])
-    hit = F.filter(tiles, lambda t: (t["tx0"] < F.col("x1")) & (t["tx1"] > F.col("x0")) & (t["ty0"] < F.col("y1")) & (t["ty1"] > F.col("y0")))
-    return boxes.select("*", F.inline(hit))
+    """Each box with the tiles it overlaps: layer ``i`` has ``2^i`` tiles per side, numbered column by column.
+
+    Tiles of a layer overlap by a share of the short side, so they stand at a fixed step and the first and last tile that
+    a box meets follow from its sides.
+    """
+    rows = boxes.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers)))).withColumn("_n", F.pow(F.lit(2), "layer").cast("int"))
+    rows = rows.withColumn("_both", F.when(F.col("layer") > 0, F.floor(F.lit(overlap * min(height, width) * 2) / F.col("_n"))).otherwise(0))
+    for axis, side in (("x", width), ("y", height)):
+        size = F.ceil((F.col("_both") * (F.col("_n") - 1) + side) / F.col("_n"))
+        step = size - F.col("_both")
+        first = F.greatest(F.floor((F.col(f"{axis}0") - size) / step) + 1, F.lit(0))
+        last = F.least(F.ceil(F.col(f"{axis}1") / step) - 1, F.col("_n") - 1)
+        inside = (F.col(f"{axis}0") < side) & (first <= last)
+        rows = rows.where(inside).withColumn(f"_t{axis}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return rows.withColumn("tile", F.col("_tx") * F.col("_n") + F.col("_ty")).drop("_n", "_both", "_tx", "_ty")
 
 
 def point_grid(n: int) -> Column:

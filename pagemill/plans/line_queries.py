@@ -176,12 +176,28 @@ def _(t):
     return score.select("line_id", *[r6(c).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@query("a19_series_set_score", "v_poly")
+@query(
+    "a19_series_set_score", "v_poly",
+    """c AS (SELECT line_id, s, seq, x, y * (1 - 0.5 * s) AS y FROM v_poly, range(2) r(s)),
+    ga AS (SELECT line_id, 1 - s AS k, seq, x + 0.1::DOUBLE AS x, y * 0.9::DOUBLE AS y FROM c), pa AS (SELECT line_id, s AS k, seq, x, y FROM c),
+    g AS (SELECT *, lag(x) OVER w AS px, lead(x) OVER w AS nx FROM ga WINDOW w AS (PARTITION BY line_id, k ORDER BY seq)),
+    p AS (SELECT *, lag(x) OVER w AS px, lead(x) OVER w AS nx FROM pa WINDOW w AS (PARTITION BY line_id, k ORDER BY seq)),
+    e AS (SELECT line_id, k AS j, (max(y) - min(y)) / 100 AS eps FROM g GROUP BY ALL),
+    gs AS (SELECT 'r' AS w0, a.line_id, b.k AS i, a.k AS j, a.x, a.y, CASE WHEN a.px IS NULL AND a.nx IS NULL THEN 1 ELSE (coalesce(a.nx, a.x) - coalesce(a.px, a.x)) / 2 END AS w, arg_max({'x': b.x, 'y': b.y}, b.x) FILTER (b.x <= a.x) AS l, arg_min({'x': b.x, 'y': b.y}, b.x) FILTER (b.x > a.x) AS r
+      FROM g a JOIN p b ON a.line_id = b.line_id GROUP BY ALL),
+    ps AS (SELECT 'p' AS w0, a.line_id, a.k AS i, b.k AS j, a.x, a.y, CASE WHEN a.px IS NULL AND a.nx IS NULL THEN 1 ELSE (coalesce(a.nx, a.x) - coalesce(a.px, a.x)) / 2 END AS w, arg_max({'x': b.x, 'y': b.y}, b.x) FILTER (b.x <= a.x) AS l, arg_min({'x': b.x, 'y': b.y}, b.x) FILTER (b.x > a.x) AS r
+      FROM p a JOIN g b ON a.line_id = b.line_id GROUP BY ALL),
+    v AS (SELECT *, CASE WHEN l IS NULL THEN r.y WHEN r IS NULL THEN l.y ELSE l.y + (r.y - l.y) * (x - l.x) / (r.x - l.x) END AS yi FROM (SELECT * FROM gs UNION ALL SELECT * FROM ps)),
+    s AS (SELECT v.line_id, v.i, v.j, w0, sum((1 - CASE WHEN abs(y) + eps > 0 THEN least(1, abs(y - yi) / (abs(y) + eps)) WHEN y = yi THEN 0 ELSE 1 END) * w) / sum(w) AS v FROM v JOIN e ON v.line_id = e.line_id AND v.j = e.j GROUP BY ALL),
+    f AS (SELECT line_id, i, j, max(v) FILTER (w0 = 'r') AS r, max(v) FILTER (w0 = 'p') AS p FROM s GROUP BY ALL),
+    h AS (SELECT line_id, i, j, CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END AS f1 FROM f),
+    t AS (SELECT line_id, sum(f1) FILTER (i <> j) AS across, sum(f1) FILTER (i = j) AS along, max(f1) FILTER (i <> j) >= max(f1) FILTER (i = j) AS first FROM h GROUP BY line_id)
+    SELECT line_id, round(CASE WHEN first THEN across ELSE along END / 2, 6) AS score_6a, round(CASE WHEN first THEN across ELSE along END / 2, 6) AS score_6b FROM t""",
+)
 def _(t):
     gt = t.poly.select("line_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("series"), "x", "y").withColumn("y", F.col("y") * (1 - 0.5 * F.col("series")))
     pred = gt.select("line_id", (1 - F.col("series")).alias("series"), (F.col("x") + 0.1).alias("x"), (F.col("y") * 0.9).alias("y"))
-    a, b = ms.series_set_score(pred, gt, ["line_id"]), ms.series_set_score(pred, gt, ["line_id"], mode="6b")
-    return a.select("line_id", r6("score").alias("score_6a")).join(b.select("line_id", r6("score").alias("score_6b")), "line_id")
+    return ms.series_set_score(pred, gt, ["line_id"]).select("line_id", r6("score_6a").alias("score_6a"), r6("score_6b").alias("score_6b"))
 
 
 @query(
@@ -364,13 +380,31 @@ def _(t):
     return bx.suppress_boxes(t.boxes, ["sample"], "box_id", 0.5).select("sample", "box_id")
 
 
-@query("g04_suppress_contained", "v_boxes")
+@query(
+    "g04_suppress_contained", "v_boxes",
+    """b AS (SELECT sample, box_id, x0, x0 + 4 + box_id AS x1, y0, row_number() OVER (PARTITION BY sample ORDER BY box_id DESC) AS r, count(*) OVER (PARTITION BY sample) AS n FROM v_boxes),
+    o AS (SELECT a.sample, a.r AS better, b.r AS worse FROM b a JOIN b ON a.sample = b.sample AND a.r < b.r
+      AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, 10 - abs(a.y0 - b.y0)) >= 0.9 * (b.x1 - b.x0) * 10),
+    g(sample, r, n, kept) AS (SELECT sample, CAST(0 AS BIGINT), max(n), CAST([] AS BIGINT[]) FROM b GROUP BY sample
+      UNION ALL SELECT g.sample, g.r + 1, g.n, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.sample = g.sample AND o.worse = g.r + 1 AND list_contains(g.kept, o.better)) THEN g.kept ELSE list_append(g.kept, g.r + 1) END
+      FROM g WHERE g.r < g.n)
+    SELECT b.sample, box_id FROM b JOIN g ON g.sample = b.sample AND g.r = g.n AND list_contains(g.kept, b.r)""",
+)
 def _(t):
     lines = t.boxes.select("sample", "box_id", "x0", "y0", (F.col("x0") + 4 + F.col("box_id")).alias("x1"), "y1")
     return bx.suppress_contained(lines, ["sample"], "box_id", 0.9).select("sample", "box_id")
 
 
-@query("g05_greedy_pairs", "v_sim")
+@query(
+    "g05_greedy_pairs", "v_sim",
+    """o AS (SELECT block, i, j, sim, row_number() OVER (PARTITION BY block ORDER BY sim DESC, i, j) AS r, count(*) OVER (PARTITION BY block) AS n FROM v_sim),
+    g(block, r, n, ti, tj, taken) AS (SELECT block, CAST(0 AS BIGINT), max(n), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM o GROUP BY block
+      UNION ALL SELECT g.block, g.r + 1, g.n, CASE WHEN list_contains(ti, i) OR list_contains(tj, j) THEN ti ELSE list_append(ti, i) END,
+        CASE WHEN list_contains(ti, i) OR list_contains(tj, j) THEN tj ELSE list_append(tj, j) END,
+        CASE WHEN list_contains(ti, i) OR list_contains(tj, j) THEN taken ELSE list_append(taken, g.r + 1) END
+      FROM g JOIN o ON o.block = g.block AND o.r = g.r + 1 WHERE g.r < g.n)
+    SELECT o.block, i, j, round(sim, 6) AS score FROM o JOIN g ON g.block = o.block AND g.r = g.n AND list_contains(g.taken, o.r)""",
+)
 def _(t):
     pairs = mt.greedy_pairs(t.sim.withColumnRenamed("sim", "score"), ["block"])
     return pairs.select("block", "i", "j", r6("score").alias("score"))
@@ -468,6 +502,20 @@ def _(t):
     return sp.shuffle(t.textlines.select("doc_id", "line_no"), ["doc_id"], ["line_no"], 7)
 
 
+@query("r02_shuffle_ranks", "v_textlines", "SELECT doc_id, count(*) AS ranks, 0::BIGINT AS low, count(*) - 1 AS high, CAST(sum(line_no) AS BIGINT) AS lines FROM v_textlines GROUP BY doc_id")
+def _(t):
+    rows = sp.shuffle(t.textlines.select("doc_id", "line_no"), ["doc_id"], ["line_no"], 7)
+    ranks = [F.countDistinct("rank").alias("ranks"), F.min("rank").alias("low"), F.max("rank").alias("high")]
+    return rows.groupBy("doc_id").agg(*ranks, F.sum("line_no").alias("lines"))
+
+
+@query("r03_mutate_rates", "v_textlines", "SELECT doc_id, line_no, md5(text) AS same, 0 AS n_gone FROM v_textlines")
+def _(t):
+    """Rate 0 changes nothing; at rate 1 every character is deleted."""
+    none, all_ = (sp.mutate_text("text", ["doc_id", "line_no"], rate, PRINTABLE, 7) for rate in (-1.0, 1.0))
+    return t.textlines.select("doc_id", "line_no", F.md5(none).alias("same"), F.length(all_).alias("n_gone"))
+
+
 @query("r03_mutate_text", "v_textlines")
 def _(t):
     noisy = sp.mutate_text("text", ["doc_id", "line_no"], 0.05, PRINTABLE, 7)
@@ -494,6 +542,29 @@ def _(t):
     return t.embeddings.select("vec_id", F.element_at(turned, 1).alias("first"), F.element_at(turned, -1).alias("last"))
 
 
+@query(
+    "r05_reversed_ends", "",
+    "SELECT vec_id, least(CAST(embedding[1] AS DOUBLE), CAST(embedding[64] AS DOUBLE)) AS low, greatest(CAST(embedding[1] AS DOUBLE), CAST(embedding[64] AS DOUBLE)) AS high, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
+)
+def _(t):
+    """Turned or not, the ends are the same two values."""
+    turned = sp.maybe_reverse(F.col("embedding").cast("array<double>"), ["vec_id"], 7)
+    ends = [F.element_at(turned, k) for k in (1, -1)]
+    return t.embeddings.select("vec_id", F.least(*ends).alias("low"), F.greatest(*ends).alias("high"), r6(F.aggregate(turned, F.lit(0.0), lambda a, b: a + b)).alias("total"))
+
+
+@query(
+    "r06_distractor_counts", "v_poly",
+    """l AS (SELECT split_part(line_id, '-', 2) AS day, type, line_id FROM v_poly GROUP BY ALL HAVING count(*) >= 2), m AS (SELECT day, type, count(*) AS m FROM l GROUP BY ALL)
+    SELECT day, type, CAST(floor(m * 0.5) AS BIGINT) AS lines, CAST(101 * floor(m * 0.5) AS BIGINT) AS points FROM m WHERE m >= 2""",
+)
+def _(t):
+    day = F.split_part("line_id", F.lit("-"), F.lit(2)).alias("day")
+    lines = t.poly.groupBy(day, "type", "line_id").agg(F.lit(2.0).alias("width"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    rows = sp.add_distractors(t.poly, lines, ["day", "type"], 0.5, 7)
+    return rows.groupBy("day", "type").agg(F.countDistinct("line_id").alias("lines"), F.count(F.lit(1)).alias("points"))
+
+
 @query("r06_add_distractors", "v_poly")
 def _(t):
     day = F.split_part("line_id", F.lit("-"), F.lit(2)).alias("day")
@@ -503,7 +574,7 @@ def _(t):
 
 @query(
     "r07_tiles", "v_boxes",
-    """tiles AS (SELECT layer, CAST(i AS INT) AS tile, CASE layer WHEN 0 THEN 0 WHEN 1 THEN (i % 2) * 25 ELSE (i % 4) * 14 END AS tx0, CASE layer WHEN 0 THEN 0 WHEN 1 THEN (i // 2) * 5 ELSE (i // 4) * 4 END AS ty0,
+    """tiles AS (SELECT layer, CAST(i AS INT) AS tile, CASE layer WHEN 0 THEN 0 WHEN 1 THEN (i // 2) * 25 ELSE (i // 4) * 14 END AS tx0, CASE layer WHEN 0 THEN 0 WHEN 1 THEN (i % 2) * 5 ELSE (i % 4) * 4 END AS ty0,
         CASE layer WHEN 0 THEN 60 WHEN 1 THEN 35 ELSE 19 END AS w, CASE layer WHEN 0 THEN 20 WHEN 1 THEN 15 ELSE 9 END AS h
       FROM (VALUES (0, 1), (1, 4), (2, 16)) l(layer, n), unnest(range(n)) u(i))
     SELECT sample, box_id, layer, tile FROM v_boxes JOIN tiles ON tx0 < x1 AND least(tx0 + w, 60) > x0 AND ty0 < y1 AND least(ty0 + h, 20) > y0""",
