@@ -38,7 +38,7 @@ from pagemill.session import staged
 GROUP_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
 LEAST = 64  # groups, buckets and shards at least
-HOT_GROUPS = 32
+HOT_GROUPS = 256  # up to so many groups, the pieces of one anchor are at most a fiftieth of their bytes and fit a task
 FLUSH = 1 << 20
 _MULTI = np.uint32(1 << 31)
 
