@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.folds import drop_steep, drop_worse, folded, longest_paths, sized
 from pagemill.operators.ordered import neighbours, with_positions
 from pagemill.session import staged
 
@@ -114,8 +115,7 @@ def _farthest(depths: DataFrame) -> DataFrame:
 def longest_path(edges: DataFrame) -> DataFrame:
     """Nodes of the longest path of every tree: ``(component, step, node, length)``; cycles give nothing.
 
-    Breadth-first rounds run for all components together. On a tree the path between its
-    two far ends is made of the nodes whose distances to both ends add up to its length.
+    Trees that fit a task are walked there. Ties between ends go to the lesser node.
     """
     once = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "tree")
     nodes = once.select(F.col("a").alias("id")).unionByName(once.select(F.col("b").alias("id"))).distinct()
@@ -123,8 +123,21 @@ def longest_path(edges: DataFrame) -> DataFrame:
     size = labels.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
     links = once.join(labels, F.col("a") == F.col("id")).groupBy("component").agg(F.count(F.lit(1)).alias("_e"))
     trees = size.join(links, "component").where("_e < _n").select("component")
-    kept = once.join(labels, F.col("a") == F.col("id")).join(trees, "component", "left_semi").select("a", "b")
-    both = staged(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))), "tree")
+    kept = once.join(labels, F.col("a") == F.col("id")).join(trees, "component", "left_semi").select("component", "a", "b")
+    edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = kept.select("component", F.inline(F.array(edge("a", "b"), edge("b", "a"))))
+    small, large = sized(both.withColumn("step", F.lit(0)).withColumn("node", F.lit(0).cast("long")).withColumn("length", F.lit(0)), ["component"], "tree")
+    short = folded(small, ["component"], longest_paths, ["component", "step", "node", "length"])
+    if large.isEmpty():
+        return short
+    return short.unionByName(_longest_rounds(large.select("a", "b"), large.select("component").distinct()))
+
+
+def _longest_rounds(both: DataFrame, trees: DataFrame) -> DataFrame:
+    """Breadth-first rounds for all components together. On a tree the path between its
+    two far ends is made of the nodes whose distances to both ends add up to its length.
+    """
+    both = staged(both, "tree")
     one_end = staged(_farthest(_depths(both, trees.select("component", F.col("component").alias("node")))), "ends")
     from_one = staged(_depths(both, one_end), "depths")
     other_end = staged(_farthest(from_one), "ends")
@@ -136,12 +149,18 @@ def longest_path(edges: DataFrame) -> DataFrame:
 def suppress(items: DataFrame, conflicts: DataFrame, by: Sequence[str], item: str) -> DataFrame:
     """Greedy choice, best first: ``conflicts(by, better, worse)`` says who may drop whom.
 
-    A round keeps every item without a live better rival and drops the losers to it. The
-    result is the one of the sequential rule, in as many rounds as the longest chain.
+    Groups whose conflicts fit a task are decided there in one pass. Of larger groups, a round keeps every item
+    without a live better rival and drops the losers to it.
     """
     by = list(by)
+    small, large = sized(conflicts.select(*by, "better", "worse"), by, "rivals")
+    dropped = folded(small, by, drop_worse(by), [*by, "worse"]).withColumnRenamed("worse", item)
+    items = items.join(staged(dropped, "dropped"), [*by, item], "left_anti")
+    return items if large.isEmpty() else _suppress_rounds(items, large, by, item)
+
+
+def _suppress_rounds(items: DataFrame, rivals: DataFrame, by: list[str], item: str) -> DataFrame:
     alive = staged(items.select(*by, item), "alive")
-    rivals = staged(conflicts.select(*by, "better", "worse"), "rivals")
     kept = []
     while True:
         threatened = rivals.select(*by, F.col("worse").alias(item)).distinct()
@@ -166,12 +185,20 @@ def suppress(items: DataFrame, conflicts: DataFrame, by: Sequence[str], item: st
 def eliminate(df: DataFrame, by: Sequence[str], low: float, high: float) -> DataFrame:
     """Remove points one by one while that lowers the number of slope violations.
 
-    ``df`` has ``(by, seq, x, y)``. A point's gain is the drop in violations if it goes. It only
-    depends on its neighbours, and removing it only changes the gains of the two
+    ``df`` has ``(by, seq, x, y)``. A point's gain is the drop in violations if it goes; the greatest gain goes first, ties to
+    the earlier point. No point goes without a gain, not even the first.
+    """
+    by = list(by)
+    small, large = sized(df.select(*by, "seq", "x", "y"), by, "points")
+    kept = folded(small, by, drop_steep(by, low, high), [*by, "seq", "x", "y"])
+    return kept if large.isEmpty() else kept.unionByName(_eliminate_rounds(large, by, low, high))
+
+
+def _eliminate_rounds(df: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
+    """A gain only depends on a point's neighbours, and removing a point only changes the gains of the two
     points on each side. So a round removes all points whose gain beats (ties: earlier
     first) every gain within two places; the order among those cannot matter.
     """
-    by = list(by)
 
     def bad(dx: Column, dy: Column) -> Column:
         slope = dy / F.nullif(dx, F.lit(0.0))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators.folds import folded, pair_best, sized
 from pagemill.operators.ordered import running_sum, scan, with_positions
 from pagemill.session import staged
 
@@ -174,11 +175,16 @@ def average_precision(df: DataFrame, by: Sequence[str], order: Sequence[str], li
 def greedy_pairs(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """One-to-one pairs by falling score, ties by ``(i, j)``.
 
-    Each round takes all pairs that are best for both their items, then drops the rows
-    of used items. That yields the same pairs as taking one best pair at a time.
+    Groups that fit a task are paired there in one pass. Of larger groups, each round takes all pairs that are best for both
+    their items, then drops the rows of used items, which yields the same pairs.
     """
     by = list(by)
-    live = staged(scores.select(*by, "i", "j", "score"), "scores")
+    small, live = sized(scores.select(*by, "i", "j", "score").where("score IS NOT NULL"), by, "scores")
+    pairs = folded(small, by, pair_best(by), [*by, "i", "j", "score"])
+    return pairs if live.isEmpty() else pairs.unionByName(_pair_rounds(live, by))
+
+
+def _pair_rounds(live: DataFrame, by: list[str]) -> DataFrame:
     rounds = []
     while not live.isEmpty():
         found = staged(mutual_best(live, by), "pairs")
@@ -186,8 +192,6 @@ def greedy_pairs(scores: DataFrame, by: Sequence[str]) -> DataFrame:
         live = staged(
             live.join(found.select(*by, "i"), [*by, "i"], "left_anti").join(found.select(*by, "j"), [*by, "j"], "left_anti"), "scores"
         )
-    if not rounds:
-        return live
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)
