@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.folds import drop_steep, drop_worse, folded, longest_paths, sized
 from pagemill.operators.ordered import neighbours, with_positions
-from pagemill.session import staged
+from pagemill.session import forget, staged
 
 CONTRACT_ROWS = 1 << 19
 
@@ -64,7 +64,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small_least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        live = staged(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, live = live, staged(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(last)
         state = live.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -171,11 +172,14 @@ def _suppress_rounds(items: DataFrame, rivals: DataFrame, by: list[str], item: s
         better = keepers.withColumnRenamed(item, "better")
         losers = rivals.join(better, [*by, "better"], "left_semi").select(*by, F.col("worse").alias(item)).distinct()
         gone = staged(keepers.unionByName(losers), "gone")
-        alive = staged(alive.join(gone, [*by, item], "left_anti"), "alive")
-        rivals = staged(
+        last, alive = alive, staged(alive.join(gone, [*by, item], "left_anti"), "alive")
+        forget(last)
+        last, rivals = rivals, staged(
             rivals.join(gone.withColumnRenamed(item, "better"), [*by, "better"], "left_anti")
             .join(gone.withColumnRenamed(item, "worse"), [*by, "worse"], "left_anti"), "rivals",
         )
+        forget(last)
+        forget(gone)
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
@@ -219,7 +223,9 @@ def _eliminate_rounds(df: DataFrame, by: list[str], low: float, high: float) ->
         near = useful.select(*by, "_pos", "gain").withColumn("_at", F.explode(F.sequence(F.col("_pos") - 2, F.col("_pos") + 2)))
         beaten = near.groupBy(*by, "_at").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("_pos").alias("p"))).alias("_b"))
         chosen = useful.join(beaten.withColumnRenamed("_at", "_pos"), [*by, "_pos"]).where(F.col("_b.p") == F.col("_pos"))
-        live = staged(live.join(chosen.select(*by, "seq"), [*by, "seq"], "left_anti"), "points")
+        last, live = live, staged(live.join(chosen.select(*by, "seq"), [*by, "seq"], "left_anti"), "points")
+        forget(last)
+        forget(gains)
 
 
 def label_corners(df: DataFrame, by: Sequence[str]) -> DataFrame:

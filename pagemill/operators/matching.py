@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators.folds import folded, pair_best, sized
 from pagemill.operators.ordered import running_sum, scan, with_positions
-from pagemill.session import staged
+from pagemill.session import forget, staged
 
 
 def scaled_dot(a: str | Column, b: str | Column) -> Column:
@@ -189,9 +189,10 @@ def _pair_rounds(live: DataFrame, by: list[str]) -> DataFrame:
     while not live.isEmpty():
         found = staged(mutual_best(live, by), "pairs")
         rounds.append(found)
-        live = staged(
+        last, live = live, staged(
             live.join(found.select(*by, "i"), [*by, "i"], "left_anti").join(found.select(*by, "j"), [*by, "j"], "left_anti"), "scores"
         )
+        forget(last)
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)

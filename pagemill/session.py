@@ -19,6 +19,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     in two partitions (a group came out twice), so unions must not claim a partitioning.
     """
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    # many operators join a summary back by its group; Spark has to split such joins where one group is large
+    for name in ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin"):
+        spark.conf.set(f"spark.sql.adaptive.{name}", "true")
     return spark
 
 
@@ -74,4 +77,17 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more, such as the last round of a loop once the next one is written.
+
+    A frame that is not itself a staged table is left alone.
+    """
+    if not hasattr(df, "_staged_at"):
+        return
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
