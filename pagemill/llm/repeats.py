@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ BUCKET_BYTES = 16 << 20
 LEAST = 64  # groups, buckets and shards at least
 HOT_GROUPS = 256  # up to so many groups, the pieces of one anchor are at most a fiftieth of their bytes and fit a task
 FLUSH = 1 << 20
-_MULTI = np.uint32(1 << 31)
+_MULTI = np.uint32(1 << 31)  # marks, beside a group's number, that several of its documents hold the anchor
 
 Runs = list[tuple[int, int, int]]  # first window, end of windows, smallest document
 Matcher = Callable[[list[bytes], np.ndarray], list[Runs]]
@@ -262,7 +263,11 @@ def _send_pieces(kind: Kind, n_shards: int):
         rows = []
         for k, s in shards.items():
             sizes = np.fromiter(map(len, s.number), dtype=np.int32, count=len(s.number))
-            rows.append((k, int(key[0]), np.array(s.anchors, dtype=np.uint64).tobytes(), sizes.tobytes(), b"".join(s.number), np.array(s.least).tobytes(), np.array(s.most).tobytes()))
+            # kept small for the shuffle: part of the anchor is enough to keep pieces apart, ids are told as differences
+            apart = (np.array(s.anchors, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32)
+            least = np.array(s.least)
+            packed = zstandard.compress(b"".join(s.number), 1)
+            rows.append((k, int(key[0]), apart.tobytes(), sizes.tobytes(), packed, np.diff(least, prepend=0).tobytes(), (np.array(s.most) - least).tobytes()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
     return run
@@ -274,10 +279,13 @@ def _answer(match: Matcher):
         first: list[int] = []
         anchor_of: list[int] = []
         used = []
-        for anchors, sizes, content, least in zip(rows["anchors"], rows["sizes"], rows["content"], rows["least"], strict=True):
+        tops = []
+        for anchors, sizes, packed, steps, above in zip(rows["anchors"], rows["sizes"], rows["content"], rows["least"], rows["most"], strict=True):
+            content, least = zstandard.decompress(packed), np.cumsum(np.frombuffer(steps, dtype=np.int64))
+            tops.append((least + np.frombuffer(above, dtype=np.int64)).tolist())
             ends = np.cumsum(np.frombuffer(sizes, dtype=np.int32), dtype=np.int64).tolist()
             at, mine = 0, []
-            for end, a, d in zip(ends, np.frombuffer(anchors, dtype=np.uint64).tolist(), np.frombuffer(least, dtype=np.int64).tolist(), strict=True):
+            for end, a, d in zip(ends, np.frombuffer(anchors, dtype=np.uint32).tolist(), least.tolist(), strict=True):
                 piece = content[at:end]
                 at = end
                 no = number.get(piece)
@@ -289,15 +297,15 @@ def _answer(match: Matcher):
                     first[no] = d
                 mine.append(no)
             used.append(mine)
-        pieces, firsts, anchors_ = list(number), np.array(first, dtype=np.int64), np.array(anchor_of, dtype=np.uint64)
+        pieces, firsts, anchors_ = list(number), np.array(first, dtype=np.int64), np.array(anchor_of, dtype=np.uint32)
         # a piece that is alone under its anchor has one answer for all its windows; others are matched
         _, back, count = np.unique(anchors_, return_inverse=True, return_counts=True)
         various = np.flatnonzero(count[back] > 1).tolist()
         answers: dict[int, Runs] = dict(zip(various, match([pieces[i] for i in various], firsts[various]), strict=True)) if various else {}
         out = []
-        for group, shard, most, mine in zip(rows["grp"], rows["shard"], rows["most"], used, strict=True):
+        for group, shard, most, mine in zip(rows["grp"], rows["shard"], tops, used, strict=True):
             found = []
-            for k, (no, top) in enumerate(zip(mine, np.frombuffer(most, dtype=np.int64).tolist(), strict=True)):
+            for k, (no, top) in enumerate(zip(mine, most, strict=True)):
                 runs = answers.get(no)
                 if runs is None:
                     if first[no] < top:
