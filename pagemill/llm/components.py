@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import staged
+from pagemill.session import forget, staged
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -38,6 +38,7 @@ def connected(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        rows = staged(_small_star(_large_star(rows)), "edges")
+        last, rows = rows, staged(_small_star(_large_star(rows)), "edges")
+        forget(last)
     roots = rows.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
