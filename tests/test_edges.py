@@ -206,14 +206,18 @@ def test_text_overlap_needs_three(spark):
     assert rows(tx.lcs_align(a, b, 3, ["k"], ["m"]), "k", "m", "i", "j", "length") == [(2, 8, 0, 0, 3)]
 
 
-def test_gram_join_without_broadcast_and_long_accented_text(spark, monkeypatch):
+def test_gram_join_without_broadcast_and_long_accented_text(spark):
     long = "é" * 5 + "ä b c d" * 100 + "needle in hay" + "ü" * 200
     a = spark.createDataFrame([(1, "xx needle in hay yy"), (2, "zzzz")], "k int, a string")
     b = spark.createDataFrame([(7, long)], "m int, b string")
     want = [(1, 7, 3, long.index("needle"), 13)]
     assert rows(tx.lcs_align(a, b, 6, ["k"], ["m"]), "k", "m", "i", "j", "length") == want
-    monkeypatch.setattr(tx, "BROADCAST_GRAMS", 0)
-    assert rows(tx.lcs_align(a, b, 6, ["k"], ["m"]), "k", "m", "i", "j", "length") == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert rows(tx.lcs_align(a, b, 6, ["k"], ["m"]), "k", "m", "i", "j", "length") == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
 def test_error_rate_of_empty_truth(spark):
