@@ -101,7 +101,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def _offsets(rows: DataFrame, seed: int) -> DataFrame:
     """Add ``start``, the place of a document in its source's stream."""
-    chunks = max(8, rows.count() // CHUNK_DOCUMENTS)
+    chunks = max(128, rows.count() // CHUNK_DOCUMENTS)
     rows = rows.withColumn("_h", _hash(seed, F.col("doc_id"), F.col("size"))).withColumn("_chunk", F.pmod("_h", F.lit(chunks)))
     before = Window.partitionBy("no").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("no", "_chunk").agg(F.sum("size").alias("_s")).select("no", "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
@@ -155,8 +155,9 @@ def mix_sources(docs: DataFrame, seed: int = 5, block: int = BLOCK, **share) ->
     placed = staged(placed.withColumn("_row", F.monotonically_increasing_id()), "placed")
     uses = slots(sources, block, seed).groupBy("no", "block").agg(F.collect_list("words").alias("_uses"))  # as many as passes
     part = F.aggregate("_uses", F.lit(0).cast("long"), lambda n, w: n + F.greatest(F.least(w, F.col("high")) - F.col("low"), F.lit(0)))
-    taken = _covered(placed, block).join(uses, ["no", "block"]).groupBy("_row").agg(F.sum(part).alias("taken"))
-    out = placed.join(taken, "_row", "left")
+    # Spark takes exploded rows for as few as their sources and would broadcast them, so the joins are named
+    taken = _covered(placed, block).join(uses.hint("merge"), ["no", "block"]).groupBy("_row").agg(F.sum(part).alias("taken"))
+    out = placed.join(taken.hint("merge"), "_row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -168,7 +169,7 @@ def mixed_documents(docs: DataFrame, seed: int = 5, block: int = BLOCK, **share)
     """
     rows = measured(docs)
     placed, sources = _planned(rows, seed, **share)
-    covered = _covered(placed, block).join(slots(sources, block, seed).select("no", "block", "pass", "words"), ["no", "block"])
+    covered = _covered(placed, block).join(slots(sources, block, seed).select("no", "block", "pass", "words").hint("merge"), ["no", "block"])
     piece = F.struct((F.col("block") * block + F.col("low") - F.col("start")).alias("at"), (F.least("words", "high") - F.col("low")).alias("n"))
     plan = covered.where("words > low").groupBy("doc_id", "source", "size", "start", "pass").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
     plan = plan.withColumn("_whole", F.aggregate("_pieces", F.lit(0).cast("long"), lambda n, p: n + p["n"]) == F.col("size"))
@@ -179,7 +180,7 @@ def mixed_documents(docs: DataFrame, seed: int = 5, block: int = BLOCK, **share)
     text = F.col("text").cast("string")
     source = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), n_words(text).alias("_size"))
     source = source.where("_size > 0").withColumn("_no", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text))))
-    both = source.alias("d").join(plan.alias("p"), F.expr("d._id <=> p._id AND d._source <=> p._source AND d._size = p._size AND d._no = p._no"))
+    both = source.alias("d").join(plan.alias("p").hint("merge"), F.expr("d._id <=> p._id AND d._source <=> p._source AND d._size = p._size AND d._no = p._no"))
     cut = F.array_join(F.flatten(F.transform("p._pieces", lambda p: F.slice(words("d.text"), (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
     new = F.when(F.col("p._whole"), F.col("d.text")).otherwise(cut)
     made = {"text": new} | ({"n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
