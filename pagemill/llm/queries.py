@@ -65,11 +65,11 @@ def op10_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op10_phrase_index"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
-    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS t
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS t
   FROM documents),
 i AS (
   SELECT CAST(item_id AS VARCHAR) AS item,
-    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS t
+    list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS t
   FROM benchmark),
 w AS (
   SELECT DISTINCT item, least(len(t), 13) AS n, array_to_string(t[s : s + 12], ' ') AS win
@@ -94,10 +94,10 @@ def op9_near_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op9_near_copies"] = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), w -> w <> '') AS t
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS t
   FROM documents),
 s AS (
-  SELECT doc_id, CASE WHEN len(t) >= 4 THEN list_distinct(list_transform(generate_series(1, len(t) - 3), i -> array_to_string(t[i : i + 3], ' ')))
+  SELECT doc_id, CASE WHEN len(t) >= 4 THEN list_distinct(list_transform(generate_series(1, len(t) - 3), lambda i: array_to_string(t[i : i + 3], ' ')))
     WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS g
   FROM d),
 x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
@@ -125,7 +125,7 @@ def op8_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op3_repeated_words"] = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), w -> w <> '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS t FROM documents),
 p AS (SELECT r, doc_id, s, array_to_string(t[s : s + 12], ' ') AS win FROM (SELECT r, doc_id, t, unnest(generate_series(1, len(t) - 12)) AS s FROM d WHERE len(t) > 12)),
 f AS (SELECT win, min(doc_id) AS first FROM p GROUP BY win),
 x AS (SELECT DISTINCT r, unnest(generate_series(s, s + 12)) AS pos FROM p JOIN f USING (win) WHERE first < doc_id),
