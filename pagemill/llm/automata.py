@@ -5,6 +5,9 @@ automaton, and every state learns the smallest document among the pieces that ho
 it. The matching statistic of a place is the longest run of words ending there that the reference holds; where it reaches the
 window, the state for the last window's words tells the smallest document.
 
+An automaton holds whole anchors. One whose pieces exceed ``AUTOMATON_WORDS`` gets several, and the smallest document of a window
+is taken over all of them.
+
 The automata go where the pieces are instead of being broadcast: each reference shard sent to every document would be work
 that grows with the square of the corpus, while an anchor's pieces are all that can match its automaton.
 
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pagemill.llm.repeats import Kind, Matcher, Removed, Runs, remove_repeats, word_units
 
 AUTOMATON_WORDS = 50_000  # pieces of several anchors share an automaton up to this size
+MERGED_WORDS = 500_000  # words of one anchor whose windows are merged at once
 
 
 class Automaton:
@@ -92,22 +96,75 @@ class Automaton:
 
 
 def matcher(window: int) -> Matcher:
-    def match(pieces: list[bytes], docs: np.ndarray) -> list[Runs]:
+    def match(pieces: list[bytes], docs: np.ndarray, anchors: np.ndarray | None = None) -> list[Runs]:
+        """Only pieces under one anchor can share windows; without ``anchors`` all pieces can."""
         words = [p.split(b" ") for p in pieces]
-        out: list[Runs] = []
-        at = 0
-        while at < len(pieces):
-            end, held = at, 0
-            while end < len(pieces) and held < AUTOMATON_WORDS:
-                held += len(words[end])
-                end += 1
-            out += _match_block(words[at:end], docs[at:end].tolist(), window)
-            at = end
+        values = docs.tolist()
+        under = np.zeros(len(pieces), dtype=np.uint32) if anchors is None else anchors
+        order = np.argsort(under, kind="stable")
+        heads = np.flatnonzero(np.diff(under[order])) + 1
+        out: list[Runs] = [[] for _ in pieces]
+
+        def work(block: list[int]) -> None:
+            for i, runs in zip(block, _match_block([words[i] for i in block], [values[i] for i in block], window), strict=True):
+                out[i] = runs
+
+        block, held = [], 0
+        for one in map(np.ndarray.tolist, np.split(order, heads)):
+            n = sum(len(words[i]) for i in one)
+            if held + n > AUTOMATON_WORDS and block:
+                work(block)
+                block, held = [], 0
+            if n <= AUTOMATON_WORDS:
+                block += one
+                held += n
+                continue
+            for i in one:  # an anchor beyond the size takes several automata, and their answers are merged
+                block.append(i)
+                held += len(words[i])
+                if held >= AUTOMATON_WORDS:
+                    work(block)
+                    block, held = [], 0
+            if block:
+                work(block)
+                block, held = [], 0
+            for i, runs in zip(one, _merged([words[i] for i in one], [out[i] for i in one], window, -(-n // MERGED_WORDS)), strict=True):
+                out[i] = runs
+        if block:
+            work(block)
         return out
 
     return match
 
 
+def _merged(words: list[list[bytes]], told: list[Runs], window: int, rounds: int) -> list[Runs]:
+    """The smallest document of every window over what several automata told. A round sees the windows of one part of the hashes."""
+    values = [[d for a, b, d in runs for _ in range(a, b)] for runs in told]  # every window of a piece is told
+    for k in range(rounds):
+        least: dict[bytes, int] = {}
+        seen = []
+        for w, mine in zip(words, values, strict=True):
+            for s, d in enumerate(mine):
+                key = b" ".join(w[s : s + window])
+                if hash(key) % rounds == k:
+                    seen.append((mine, s, key))
+                    if d < least.get(key, d + 1):
+                        least[key] = d
+        for mine, s, key in seen:
+            mine[s] = least[key]
+    return [_runs(mine) for mine in values]
+
+
+def _runs(values: list[int]) -> Runs:
+    out: Runs = []
+    for s, d in enumerate(values):
+        if out and out[-1][2] == d:
+            out[-1] = (out[-1][0], s + 1, d)
+        else:
+            out.append((s, s + 1, d))
+    return out
+
+
 def _match_block(words: list[list[bytes]], docs: list[int], window: int) -> list[Runs]:
     automaton = Automaton()
     for w, d in zip(words, docs, strict=True):

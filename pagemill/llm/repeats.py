@@ -44,7 +44,7 @@ FLUSH = 1 << 20
 _MULTI = np.uint32(1 << 31)  # marks, beside a group's number, that several of its documents hold the anchor
 
 Runs = list[tuple[int, int, int]]  # first window, end of windows, smallest document
-Matcher = Callable[[list[bytes], np.ndarray], list[Runs]]
+Matcher = Callable[[list[bytes], np.ndarray, np.ndarray], list[Runs]]  # pieces, their smallest documents and anchors
 
 
 @dataclass
@@ -301,7 +301,7 @@ def _answer(match: Matcher):
         # a piece that is alone under its anchor has one answer for all its windows; others are matched
         _, back, count = np.unique(anchors_, return_inverse=True, return_counts=True)
         various = np.flatnonzero(count[back] > 1).tolist()
-        answers: dict[int, Runs] = dict(zip(various, match([pieces[i] for i in various], firsts[various]), strict=True)) if various else {}
+        answers: dict[int, Runs] = dict(zip(various, match([pieces[i] for i in various], firsts[various], anchors_[various]), strict=True)) if various else {}
         out = []
         for group, shard, most, mine in zip(rows["grp"], rows["shard"], tops, used, strict=True):
             found = []
@@ -356,7 +356,7 @@ def _remove(kind: Kind, n_shards: int, report: Callable[[Removed], list[tuple]],
 def remove_repeats(docs: DataFrame, kind: Kind, match: Matcher, report: Callable[[Removed], list[tuple]], schema: str) -> DataFrame:
     """Mark the units of every window that a smaller document holds, and report on each document.
 
-    ``match`` gets distinct pieces with their smallest documents and returns runs of windows with theirs. ``report`` gives a
+    ``match`` gets distinct pieces with their smallest documents and anchors, and returns runs of windows with theirs. ``report`` gives a
     row in ``schema`` for every text of a slice.
     """
     set_up(docs.sparkSession)

@@ -137,7 +137,7 @@ def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -
 
 
 def matcher(window: int) -> Matcher:
-    def match(pieces: list[bytes], docs: np.ndarray) -> list[Runs]:
+    def match(pieces: list[bytes], docs: np.ndarray, anchors: np.ndarray | None = None) -> list[Runs]:  # blocks are merged whatever the anchors
         cuts, held = [0], 0
         for i, p in enumerate(pieces):
             held += len(p)

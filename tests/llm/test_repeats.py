@@ -145,3 +145,30 @@ def test_words_are_split_as_told():
         assert [w.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == [*words(text), "z"]
         u = repeats.word_units([text, None, "z"], 2)
         assert u.data.tobytes().decode() == "".join(x + " " for x in [*words(text), "z"])
+
+
+@pytest.mark.parametrize("merged", [500_000, 20])
+def test_automata_in_blocks(spark, monkeypatch, merged):
+    """Small automata answer as one large automaton would, within an anchor and over several."""
+    monkeypatch.setattr(automata, "AUTOMATON_WORDS", 10)
+    monkeypatch.setattr(automata, "MERGED_WORDS", merged)
+    draw = random.Random(merged)
+    for _ in range(100):
+        texts = list({" ".join(draw.choice("ab") for _ in range(draw.randint(3, 14))) for _ in range(draw.randint(1, 12))})
+        docs, anchors = [draw.randrange(100) for _ in texts], [draw.randrange(3) for _ in texts]
+        for under in (anchors, None):
+            first = {}
+            for t, d, a in zip(texts, docs, under or [0] * len(texts), strict=True):
+                u = t.split(" ")
+                for s in range(len(u) - 4):
+                    first[a, tuple(u[s : s + 5])] = min(first.get((a, tuple(u[s : s + 5])), d), d)
+            got = automata.matcher(5)([t.encode() for t in texts], np.array(docs), None if under is None else np.array(under, dtype=np.uint32))
+            for t, a, runs in zip(texts, under or [0] * len(texts), got, strict=True):
+                u = t.split(" ")
+                told = {s: d for lo, hi, d in runs for s in range(lo, hi)}
+                assert set(told) == set(range(len(u) - 4))
+                # pieces of other anchors may share the automaton and only add windows of their own
+                assert all(min(f for (_, w), f in first.items() if w == tuple(u[s : s + 5])) <= d <= first[a, tuple(u[s : s + 5])] for s, d in told.items())
+    rows = rows_of(merged)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, automata.repeated_words(docs).collect()), key=str) == expected_words(rows, 13)
