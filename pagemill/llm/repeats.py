@@ -41,7 +41,7 @@ BUCKET_BYTES = 16 << 20
 LEAST = 64  # groups, buckets and shards at least
 HOT_GROUPS = 256  # up to so many groups, the pieces of one anchor are at most a fiftieth of their bytes and fit a task
 FLUSH = 1 << 20
-_MULTI = np.uint32(1 << 31)  # marks, beside a group's number, that several of its documents hold the anchor
+_MULTI = np.uint32(1 << 31)  # marks, beside a group's number, that several of its documents in one flush hold the anchor
 
 Runs = list[tuple[int, int, int]]  # first window, end of windows, smallest document
 Matcher = Callable[[list[bytes], np.ndarray, np.ndarray], list[Runs]]  # pieces, their smallest documents and anchors
@@ -171,7 +171,8 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     run = np.cumsum(new) - 1
     once = new | np.concatenate([[True], group[1:] != group[:-1]])
     holders = np.bincount(run, once)[run]
-    kept = once & ((holders > 1) | (np.bincount(run, multi)[run] > 0))
+    # a group's second entry is of another document too, met in another task or flush; of rows that repeat an id it only makes pieces
+    kept = once & ((holders > 1) | (np.bincount(run, multi | ~once)[run] > 0))
     anchor, group, hot = anchor[kept], group[kept], holders[kept] >= HOT_GROUPS
     order = np.argsort(group, kind="stable")
     anchor, group, hot = anchor[order], group[order], hot[order]

@@ -172,3 +172,12 @@ def test_automata_in_blocks(spark, monkeypatch, merged):
     rows = rows_of(merged)
     docs = spark.createDataFrame(rows, SCHEMA)
     assert sorted(map(tuple, automata.repeated_words(docs).collect()), key=str) == expected_words(rows, 13)
+
+
+def test_two_documents_of_one_group_in_different_tasks(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "LEAST", 1)  # all documents are one group
+    rows = [(k, " ".join(f"word{w}" for w in range(40)), "", "", "") for k in (1, 2)]
+    docs = spark.createDataFrame(rows[:1], SCHEMA).coalesce(1).union(spark.createDataFrame(rows[1:], SCHEMA).coalesce(1))
+    assert docs.rdd.getNumPartitions() == 2
+    assert sorted(map(tuple, automata.repeated_words(docs).collect()), key=str) == expected_words(rows, 13)
+    assert sorted(map(tuple, suffix_arrays.repeated_bytes(docs).collect()), key=str) == expected_bytes(rows, 50)
