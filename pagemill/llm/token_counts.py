@@ -5,7 +5,7 @@ tokenizer may tell any two different texts apart), a tokenizer by the digest of
 Parquet table ``(digest, version, n_tokens)``. Documents join it by digest and version, only distinct misses are encoded, and
 their counts are appended, so a later run over grown data encodes new texts only.
 
-Cases: a null or empty text has 0 tokens; repeated texts are encoded once; repeated rows stay repeated; an empty table gives
+Cases: a null or empty text has 0 tokens; repeated texts are encoded once, with or without ``doc_id``; repeated rows stay repeated; an empty table gives
 an empty result; columns besides ``doc_id`` and ``text`` are not read. Texts travel once, to the place where the misses are.
 """
 
@@ -15,11 +15,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import set_up, slices, texts
+from pagemill.llm.common import known_ids, set_up, slices, texts
 from pagemill.session import new_folder
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -94,10 +95,12 @@ def _count(path: str):
         if path not in _counters:
             _counters[path] = Counter(path)
         counter = _counters[path]
+        done: set[bytes] = set()  # rows that repeat a document meet in one task
         for b in batches:
+            b = b[[d not in done and not done.add(d) for d in b["digest"]]]
             column = [t or "" for t in b["text"]]
             counts = [n for lo, hi in slices(column) for n in counter(column[lo:hi])]
-            yield pd.DataFrame({"digest": b["digest"], "n_tokens": counts})
+            yield pd.DataFrame({"digest": b["digest"].tolist(), "n_tokens": np.array(counts, dtype=np.int64)})
 
     return run
 
@@ -113,10 +116,11 @@ def fill_cache(docs: DataFrame, path: str, cache: str) -> str:
     spark = set_up(docs.sparkSession)
     version = version_of(path)
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
-    keyed = texts(docs).select("doc_id", digest().alias("digest"))
+    rows = known_ids(texts(docs)).withColumn("digest", digest())  # a text may stand in rows without doc_id only
+    keyed = rows.select("doc_id", "digest")
     # one document stands for each missing digest, so texts are fetched once and copies are never gathered
     missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(read_cache(spark, cache, version), "digest", "left_anti")
-    fetched = texts(docs).withColumn("digest", digest()).join(missing.hint("shuffle_hash"), ["doc_id", "digest"], "left_semi")
+    fetched = rows.join(missing.hint("shuffle_hash"), ["doc_id", "digest"], "left_semi")
     counted = fetched.select("digest", "text").mapInPandas(_count(path), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     return version

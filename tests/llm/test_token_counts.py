@@ -55,3 +55,12 @@ def test_cache_is_used_and_grows(spark, tmp_path):
     other = public_tokenizers.path("word_bpe_49k.json")  # another version shares no counts
     T.fill_cache(a, other, cache)
     assert spark.read.parquet(cache).count() == 6
+
+
+def test_texts_of_rows_without_id(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    rows = [(None, "a b"), (None, "a b"), (None, "b"), (1, "b"), (2, "c d"), (2, "c d"), (None, None)]
+    got = T.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), PATH, cache).collect()
+    count = {t: len(WHOLE.encode(t or "", add_special_tokens=False).ids) for _, t in rows}
+    assert sorted(((r.doc_id, r.n_tokens, r.over_limit) for r in got), key=str) == sorted(((i, count[t], False) for i, t in rows), key=str)
+    assert spark.read.parquet(cache).count() == 4  # one row per distinct text
