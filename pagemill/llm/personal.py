@@ -82,11 +82,14 @@ INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _WORD = "|".join(SPELLED)
-_RUN = re.compile(rf"(?<![^\W_])(?:plus[\x20-]+)?(?:{_WORD}|[0-9]{{1,4}})(?:[\x20-]+(?:dot[\x20]+)?(?:{_WORD}|[0-9]{{1,4}}))++(?![^\W_])", re.I)
+_PART = rf"(?:{_WORD}|[0-9]{{1,4}})(?![^\W_])"
+_RUN = re.compile(rf"(?<![^\W_])(?:plus[\x20-]+)?{_PART}(?:[\x20-]+(?:dot[\x20]+)?{_PART})++", re.I)
 _TOKEN = re.compile(rf"{_WORD}|plus|dot|[0-9]+|[\x20-]+", re.I)
-_SPELLED_TWICE = re.compile(rf"\b(?:{_WORD})[\x20-]+(?:dot[\x20]+)?(?:{_WORD})\b", re.I)
 _SIGN = re.compile(r"[\x20]?[\[({<][\x20]?(at|dot|@|\.)[\x20]?[\])}>][\x20]?", re.I)
-_SAID_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(\x20at\x20|@)[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+)+", re.I)
+_NAME = "[A-Za-z0-9-]+"
+# a plain "at" needs a said dot after it, or a last name of letters: "rose at 2.5 percent" is no address
+_SAID_AT = rf"\x20at\x20(?={_NAME}(?:\.{_NAME})*(?:\x20dot\x20{_NAME}|\.[A-Za-z]{{2,}}(?!\.?[A-Za-z0-9-])))"
+_SAID_MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:{_SAID_AT}|@){_NAME}(?:(?:\x20dot\x20|\.){_NAME})+", re.I)
 _SAID_IP = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?:\x20dot\x20|\.)[0-9]{1,3}){3}(?![0-9])", re.I)
 _SAID = re.compile(r"\x20(at|dot)\x20", re.I)
 
@@ -95,12 +98,16 @@ class Tape:
     """A text and, for every character, the source characters [start, end) it stands for."""
 
     def __init__(self, text: str):
-        self.text, self.start, self.end = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text = text
+        self.start: list[int] | None = None  # characters stand for themselves until the first edit
+        self.end: list[int] = []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace stretches, given in order and apart; a written character stands for its whole stretch."""
         if not edits:
             return
+        if self.start is None:
+            self.start, self.end = list(range(len(self.text))), list(range(1, len(self.text) + 1))
         out, starts, ends, at = [], [], [], 0
         for lo, hi, new in edits:
             out += [self.text[at:lo], new]
@@ -161,17 +168,17 @@ def said_signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows, mapped back; those that touch a base span are left out."""
-    low = text.lower()
-    say = " dot " in low
-    if not (say or not text.isascii() or _SIGN.search(text) or _SPELLED_TWICE.search(text)):
-        return []
+    """Spans that only the rewritten text shows, mapped back; those that touch a base span are left out.
+
+    Every transducer looks at the whole text, so a span does not depend on what else the text holds.
+    """
     tape = Tape(text)
     if not text.isascii():
         tape.rewrite(look_alikes(tape.text))
     tape.rewrite(signs(tape.text))
     tape.rewrite(spelled_digits(tape.text))
-    if " dot " in tape.text.lower() or say:
+    low = tape.text.lower()
+    if " at " in low or " dot " in low:
         tape.rewrite(said_signs(tape.text))
     if tape.text == text:
         return []

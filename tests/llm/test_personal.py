@@ -76,3 +76,29 @@ def test_table(spark):
     assert len(got) == 7 and told == {1: "email:0:6,phone:7:22", 2: "", 3: "", 4: "ip:4:12", None: "", (1 << 62) + 1: ""}
     assert all(r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest() for r in got)
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("write jane at mail.com now", "email", "jane at mail.com"),
+        ("we dot the i, write jane at mail.com now", "email", "jane at mail.com"),
+        ("write jane at mail.example dot com now", "email", "jane at mail.example dot com"),
+        ("card 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one end", "card", "4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one"),
+        ("call plus one two one two five five five zero one nine nine nineteen", "phone", "plus one two one two five five five zero one nine nine"),
+    ],
+)
+def test_a_span_depends_on_itself_only(text, kind, part):
+    for around in ("", " dot ", " (at) ", " one two "):
+        told = [(KINDS[k], (text + " ." + around)[a:b]) for k, a, b in find_personal(text + " ." + around)[1]]
+        assert (kind, part) in told, told
+
+
+@pytest.mark.parametrize("text", ["it rose at 2.5 percent", "closed at 5.30 and at 17.45.10", "two dot the i and it rose at 2.5 percent"])
+def test_numbers_after_at_are_no_addresses(text):
+    assert find_personal(text) == ([], [])
+
+
+def test_long_runs_take_linear_time():
+    for text in ["4 " * 200_000 + "12345", "one 4 " * 50_000 + "4x", "a at " * 100_000, "a at 1" + ".1" * 100_000, "a at b.c " * 50_000]:
+        find_personal(text)
