@@ -3,7 +3,7 @@
 Base spans come from four plain patterns over the text as it is. Transducers then rewrite the disguises
 (look-alike letters and digits, invisible characters, spelled digits, "at" and "dot" for the signs) and note for every
 character they write where it came from. The same detectors read the rewritten text; what they find is mapped back to
-the source characters and added if it touches no base span.
+the source characters and added unless it lies inside a base span: a base span may be the plain rest of a disguised one.
 
 Offsets are code points, ends exclusive. Cases: null and empty texts have no spans; repeated rows stay repeated; texts of any
 length are read whole, every pattern runs in linear time; other columns are not read.
@@ -168,7 +168,7 @@ def said_signs(text: str) -> list[tuple[int, int, str]]:
 
 
 def disguised(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows, mapped back; those that touch a base span are left out.
+    """Spans that only the rewritten text shows, mapped back; those inside a base span are left out.
 
     Every transducer looks at the whole text, so a span does not depend on what else the text holds.
     """
@@ -186,7 +186,7 @@ def disguised(text: str, base: list[Span]) -> list[Span]:
     out = []
     for kind, a, b in detect(tape.text):
         lo, hi = tape.start[a], tape.end[b - 1]
-        if (hi - lo != b - a or text[lo:hi] != tape.text[a:b]) and all(hi <= x or y <= lo for x, y in taken):
+        if (hi - lo != b - a or text[lo:hi] != tape.text[a:b]) and not any(x <= lo and hi <= y for x, y in taken):
             out.append((kind, lo, hi))
     return out
 

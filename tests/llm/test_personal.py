@@ -102,3 +102,17 @@ def test_numbers_after_at_are_no_addresses(text):
 def test_long_runs_take_linear_time():
     for text in ["4 " * 200_000 + "12345", "one 4 " * 50_000 + "4x", "a at " * 100_000, "a at 1" + ".1" * 100_000, "a at b.c " * 50_000]:
         find_personal(text)
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("write mаria@example.com now", "email", "mаria@example.com"),
+        ("write jane@example.cоm now", "email", "jane@example.cоm"),
+        ("call +44 20 7946 ０958 now", "phone", "+44 20 7946 ０958"),
+    ],
+)
+def test_a_plain_rest_does_not_hide_the_whole(text, kind, part):
+    base, spans = find_personal(text)
+    assert len(base) == 1 and set(base) < set(spans)
+    assert [(KINDS[k], text[a:b]) for k, a, b in spans if (k, a, b) not in base] == [(kind, part)]
