@@ -87,11 +87,11 @@ def fit(sample: np.ndarray, k: int = 10, target: float = TARGET, seed: int = 4)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, v``: vectors that take part, in double precision."""
+    """``vec_id, v``: vectors that take part, in double precision, equal rows once."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    rows = staged(rows, "vectors")
+    rows = staged(rows.dropDuplicates(["vec_id", "v"]), "vectors")
     common = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
@@ -114,6 +114,8 @@ def _nearest(k: int):
         if len(rows) and len(queries):
             rows = rows.sort_values("vec_id", kind="stable")
             ids = rows["vec_id"].to_numpy()
+            heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            n = min(k, len(heads))
             x = np.frombuffer(b"".join(rows["packed"]), dtype=np.float64).reshape(len(ids), -1)
             asked = np.frombuffer(b"".join(queries["packed"]), dtype=np.float64).reshape(len(queries), -1)
             square = (x**2).sum(axis=1)
@@ -121,12 +123,16 @@ def _nearest(k: int):
                 q = asked[lo : lo + 256]
                 rough = square + (q**2).sum(axis=1)[:, None] - 2 * q @ x.T
                 rough[queries["vec_id"].to_numpy()[lo : lo + 256][:, None] == ids] = np.inf
-                kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                # rows of one vec_id are one candidate
+                each = rough if len(heads) == len(ids) else np.minimum.reduceat(rough, heads, axis=1)
+                kth = np.partition(each, n - 1, axis=1)[:, n - 1]
                 slack = 1e-9 * (square.max() + (q**2).sum(axis=1))  # more than the rough form can err
                 for i, query_id in enumerate(queries["vec_id"].tolist()[lo : lo + 256]):
                     near = np.flatnonzero((rough[i] <= kth[i] + slack[i]) & np.isfinite(rough[i]))
                     score = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[near], score))[: 2 * k]
+                    best = np.lexsort((ids[near], score))
+                    _, first = np.unique(ids[near][best], return_index=True)
+                    best = best[np.sort(first)[: 2 * k]]
                     out += [(query_id, int(ids[near[j]]), float(score[j])) for j in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -143,7 +149,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, target: float = T
     """``query_id, rank, vec_id, score`` for the queries whose ``vec_id`` is divisible by ``every``."""
     spark = set_up(vectors.sparkSession)
     rows = usable(vectors)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # bounded
+    each = rows.groupBy("vec_id").agg(F.min("v").alias("v"))  # or rows of one vec_id would be each other's neighbours in the fit
+    sample = each.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]  # bounded
     result = "query_id long, vec_id long, score double"
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

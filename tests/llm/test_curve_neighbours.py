@@ -82,3 +82,15 @@ def test_edges(spark):
     assert got == [(0, 1, 100, 0.0), (0, 2, 1, 0.5), (0, 3, 9, pytest.approx(far)), (100, 1, 0, 0.0), (100, 2, 1, 0.5), (100, 3, 9, pytest.approx(far))]
     assert C.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     assert C.nearest(docs.where("vec_id = 0")).count() == 0 and C.nearest(docs.where("vec_id = 2")).count() == 0
+
+
+@pytest.mark.parametrize("apart", [0.0, 1e-3])
+def test_an_id_in_many_rows_is_one_candidate(spark, apart):
+    """Thirty rows of one id, equal or nearly so, stand nearest to the query and take one rank."""
+    draw = np.random.default_rng(6)
+    many = [1.0, 0.0] + apart * draw.random((30, 2))
+    rows = [(0, [1.0, 0.01])] + [(1, v.tolist()) for v in many] + [(k, [1.0, 0.1 * k]) for k in range(2, 20)]
+    docs = spark.createDataFrame([(i, v, "", 0, "") for i, v in rows], SCHEMA)
+    got = sorted(C.nearest(docs, target=1.0).collect(), key=lambda r: r["rank"])
+    assert [r.vec_id for r in got] == list(range(1, 11))
+    assert got[0].score == pytest.approx(min(np.hypot(*(np.float32(v).astype(float) - np.float32([1.0, 0.01]).astype(float))) for v in many))
