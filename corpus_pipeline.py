@@ -4,7 +4,7 @@ Every stage gets the documents that its predecessor kept, and is written as Parq
 lost executor costs tasks of one stage only. All stages but the last return the columns of ``documents``.
 
 - ``quality``: texts that the discriminant scores below 0.3 go; it learns from ``labels``.
-- ``near_copies``: of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays.
+- ``near_copies``: of each component of near copies (five-word shingles, similarity 0.8) the document with the smallest id stays, in one row per text.
 - ``decontaminate``: texts of which a twentieth of the words repeats passages of ``benchmark`` go.
 - ``mix``: sources are taken to their target weights; a document may come twice, once, in part, or not at all.
 - ``shard``: rows get ``shard`` and ``slot`` along a Hilbert curve.
@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs, width=5, similarity=(80, 100))
+    return one_of_each(docs, width=5, similarity=(80, 100), repeats=False)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -215,7 +215,22 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One document of every component, with all columns; of rows that repeat a kept ``doc_id``, one stays."""
+def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (80, 100), repeats: bool = True) -> DataFrame:
+    """One document of every component, with all columns.
+
+    Rows that repeat a kept ``doc_id`` all stay, unless ``repeats`` is false: then one row stays of those with the same ``doc_id``
+    and text, and of those with the same text and no ``doc_id``.
+    """
     gone = near_copies(docs, width, similarity).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return kept if repeats else _rows_once(docs, kept)
+
+
+def _rows_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of rows of ``kept`` with the same ``doc_id`` and text, the one with the least hash of all columns."""
+    key = [F.col("doc_id").alias("_id"), F.sha2(F.col("text").cast("binary"), 256).alias("_text")]
+    if docs.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return kept  # texts need not travel
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.groupBy(*key).agg(F.min_by(row, order).alias("_row")).select("_row.*")

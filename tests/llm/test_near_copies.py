@@ -115,3 +115,13 @@ def test_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 3]
     empty = spark.createDataFrame([], SCHEMA)
     assert N.near_copies(empty).count() == 0 and N.one_of_each(empty).count() == 0
+
+
+def test_repeated_rows_stay_once_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f", "", "", "")] * 5 + [(2, "a b c d e f", "", "", "")] + [(None, "g h i j k l", "", "", "")] * 3 + [(None, None, "", "", "")] * 2 + [(3, "other words here", "", "", "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted({(r[0], r[1]) for r in rows if r[0] != 2}, key=str)
