@@ -141,3 +141,86 @@ def op4_curve_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.curve_neighbours import nearest
 
     return nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op11_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.spellings import spelling_groups
+
+    return spelling_groups(table(spark, folder, "documents"))
+
+
+# crc32 byte by byte over a table that the polynomial gives; pairs through the words with one letter left out
+ORACLES["op11_spelling_groups"] = r"""
+WITH RECURSIVE poly AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, generate_series(1, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+      list_transform(generate_series(1, CAST(length(x) AS BIGINT), 2), lambda p: CAST(instr('0123456789ABCDEF', x[p]) * 16 + instr('0123456789ABCDEF', x[p + 1]) - 17 AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) AS INTEGER) + 1])), 4294967295) AS h
+  FROM (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs), poly),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+e AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, CAST(unnest(generate_series(1, length(word))) AS INTEGER) AS i FROM v)),
+p AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM e a JOIN e b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT e.word, e.n, v.word, v.n FROM e JOIN v ON e.rest = v.word
+  UNION SELECT v.word, v.n, e.word, e.n FROM e JOIN v ON e.rest = v.word),
+g AS (SELECT word, n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM p GROUP BY word, n),
+f AS (SELECT word, near AS form, near_n AS form_n FROM g WHERE near_n >= 10 * n),
+r AS (SELECT word, form AS root, 1 AS step FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root),
+z AS (SELECT word, last(root ORDER BY step) AS root FROM r GROUP BY word)
+SELECT v.word, form, coalesce(root, v.word) AS root, v.n, coalesce(n_near, 0) AS n_near, form_n
+FROM v LEFT JOIN g USING (word) LEFT JOIN f USING (word) LEFT JOIN z USING (word)"""
+
+
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS s FROM documents),
+p AS (SELECT r, lang, unnest(s) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS t FROM p),
+g AS (
+  SELECT lang, k, array_to_string(t[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, t, unnest(generate_series(1, len(t))) AS i FROM w), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(t) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS t FROM g WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, phrase, a, k, array_to_string(t[1 : cut], ' ') AS head, array_to_string(t[cut + 1 : k], ' ') AS rest, cut FROM c, (SELECT unnest([1, 2]) AS cut) WHERE cut < k),
+y AS (
+  SELECT x.lang, x.phrase, a, h.f AS l, q.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(h.f AS HUGEINT) * q.f) AS BIGINT) AS score, cut
+  FROM x JOIN g h ON h.lang = x.lang AND h.phrase = head JOIN g q ON q.lang = x.lang AND q.phrase = rest),
+z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM y),
+o AS (
+  SELECT c.lang, u.phrase, max(c.a) AS longer FROM c, LATERAL (SELECT unnest([array_to_string(t[1:2], ' '), array_to_string(t[2:3], ' ')]) AS phrase) u WHERE k = 3 GROUP BY c.lang, u.phrase),
+s AS (
+  SELECT z.lang, z.phrase, a, l, r, score FROM z LEFT JOIN o ON o.lang = z.lang AND o.phrase = z.phrase
+  WHERE best = 1 AND (longer IS NULL OR 100 * longer < 50 * a)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM k JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query
+def op13_norm_search(spark: SparkSession, folder: str) -> DataFrame:
+    from pagemill.llm.norm_search import top_products
+
+    return top_products(table(spark, folder, "embeddings"))
+
+
+ORACLES["op13_norm_search"] = r"""
+WITH v AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.id AS query_id, b.id AS vec_id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.id % 20 = 0 AND a.id <> b.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
