@@ -40,7 +40,7 @@ def test_keys(dims, bits):
 
 
 def test_recall_on_the_table(spark):
-    vectors = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = vectors.orderBy("vec_id").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
     got = C.nearest(vectors).collect()
