@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -39,8 +39,9 @@ from pagemill.session import forget, staged
 
 LEAST, SHARE, SCALE, TOP = 10, 50, 1_000_000, 2000
 FILTER_BLOCKS = 1 << 19
-SLICE_BYTES = 4 << 20
-ROWS_HELD = 1 << 20  # distinct phrases, and distinct words, that a task holds
+SLICE_BYTES = 1 << 20
+ROWS_HELD = 1 << 20  # distinct phrases that a task holds, 32 MB at most
+WORDS_HELD = 1 << 18  # distinct words that it holds, about 40 MB
 EDGE = b"\xff"  # a byte that no UTF-8 text has stands for the end of a piece
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", EDGE * 10)  # fixed values: what ends a piece
@@ -99,9 +100,8 @@ class Runs:
         """One more slice of the stream; it ends between two words."""
         tokens = data.translate(_LOWER).translate(_MARKS).replace(EDGE, b" " + EDGE + b" ").split()
         ids = np.fromiter(map(self.numbers.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        new = list(self.numbers)[len(self.hashes) :]
-        if new and self.wanted is not None:
-            self.hashes = np.concatenate([self.hashes, _hashed(new)])
+        if self.wanted is not None and len(self.numbers) > len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, _hashed(list(islice(self.numbers, len(self.hashes), None)))])
         ids = np.concatenate([self.last.get(lang, NOTHING), ids])
         n = len(ids) - self.width + 1
         self.last[lang] = ids[max(0, n) :]
@@ -130,7 +130,7 @@ class Runs:
         if self.held > ROWS_HELD:  # repeated runs of several slices first become one
             self.found = {lang: [self._summed(f)] for lang, f in self.found.items()}
             self.held = sum(len(f[0][0]) for f in self.found.values())
-        return self.held > ROWS_HELD // 2 or len(self.numbers) > ROWS_HELD
+        return self.held > ROWS_HELD // 2 or len(self.numbers) > WORDS_HELD
 
     @staticmethod
     def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -144,15 +144,15 @@ class Runs:
 
     def told(self) -> Iterator[pd.DataFrame]:
         """All counts as rows; the streams go on with what they carried."""
-        words = np.array([w.decode("utf-8", "surrogatepass") for w in list(self.numbers)[1:]], dtype=object)
-        for lang, found in self.found.items():
-            runs, n = self._summed(found)
-            for lo in range(0, len(runs), 1 << 16):
-                part = runs[lo : lo + (1 << 16)] - 1
+        words = np.array([w.decode("utf-8", "surrogatepass") for w in islice(self.numbers, 1, None)], dtype=object)
+        for lang in list(self.found):
+            runs, n = self._summed(self.found.pop(lang))
+            for lo in range(0, len(runs), 1 << 14):
+                part = runs[lo : lo + (1 << 14)] - 1
                 phrases = words[part[:, 0]]
                 for k in range(1, self.width):
                     phrases = phrases + " " + words[part[:, k]]
-                yield pd.DataFrame({"lang": lang, "phrase": phrases, "f": n[lo : lo + (1 << 16)]})
+                yield pd.DataFrame({"lang": lang, "phrase": phrases, "f": n[lo : lo + (1 << 14)]})
         known, last = list(self.numbers), self.last
         self.clear()
         for lang, ids in last.items():

@@ -12,6 +12,7 @@ an empty result; columns besides ``doc_id`` and ``text`` are not read. Texts tra
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,7 +25,8 @@ from pagemill.llm.common import known_ids, set_up, slices, texts
 from pagemill.session import new_folder
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
-PIECES_KEPT = 600_000  # memory bound of a worker's memo of pieces, about 80 MB; it is emptied beyond
+PIECES_KEPT = 100_000  # memory bound of a worker's memo of pieces, about 14 MB; it is emptied beyond
+ENCODED = 2_000  # texts or pieces encoded at once; an encoding takes about 1 KB and more for long texts
 _OPEN_SPACE = re.compile(r" (?=\s|\Z)")
 
 
@@ -51,6 +53,7 @@ class Counter:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of the library keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,8 +81,8 @@ class Counter:
         if len(self.pieces) > PIECES_KEPT:
             self.pieces.clear()
         new = list(set().union(*(p for _, p in split)).difference(self.pieces)) if split else []
-        for at in range(0, len(new), 20_000):
-            self.pieces.update(zip(new[at : at + 20_000], self.encode(new[at : at + 20_000]), strict=True))
+        for at in range(0, len(new), ENCODED):
+            self.pieces.update(zip(new[at : at + ENCODED], self.encode(new[at : at + ENCODED]), strict=True))
         for i, p in split:
             out[i] = sum(map(self.pieces.__getitem__, p))
         for i in whole:
@@ -99,7 +102,7 @@ def _count(path: str):
         for b in batches:
             b = b[[d not in done and not done.add(d) for d in b["digest"]]]
             column = [t or "" for t in b["text"]]
-            counts = [n for lo, hi in slices(column) for n in counter(column[lo:hi])]
+            counts = [n for lo, hi in slices(column, 1 << 18) for n in counter(column[lo:hi])]
             yield pd.DataFrame({"digest": b["digest"].tolist(), "n_tokens": np.array(counts, dtype=np.int64)})
 
     return run
