@@ -23,6 +23,7 @@ table gives an empty result; columns besides ``lang`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -42,6 +43,8 @@ FILTER_BLOCKS = 1 << 19
 SLICE_BYTES = 1 << 20
 ROWS_HELD = 1 << 20  # distinct phrases that a task holds, 32 MB at most
 WORDS_HELD = 1 << 18  # distinct words that it holds, about 40 MB
+BITS = 20  # of a word's number: those held and those of one more slice, which has fewer than SLICE_BYTES / 2 + 2
+STEPS = 48  # scores that a floor is chosen from: three quarters, 9 / 16, ... of the pairs lie above
 EDGE = b"\xff"  # a byte that no UTF-8 text has stands for the end of a piece
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", EDGE * 10)  # fixed values: what ends a piece
@@ -75,7 +78,7 @@ def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
 
 
 class Runs:
-    """Counts runs of ``width`` words in streams of texts, one stream per language."""
+    """Counts runs of ``width`` words in streams of texts, one stream per language. A run is one number, ``BITS`` bits a word."""
 
     def __init__(self, width: int, wanted: np.ndarray | None):
         self.width, self.wanted = width, wanted
@@ -89,9 +92,9 @@ class Runs:
         self.found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.held = 0
 
-    def _passes(self, ids: np.ndarray, lang: str) -> np.ndarray:
-        """Which rows of word numbers the filter lets through."""
-        h = _mixed([self.hashes[ids[:, k]] for k in range(ids.shape[1])], _hashed([lang.encode("utf-8", "surrogatepass")])[0])
+    def _passes(self, words: list[np.ndarray], lang: str) -> np.ndarray:
+        """Which runs of word numbers the filter lets through."""
+        h = _mixed([self.hashes[w] for w in words], _hashed([lang.encode("utf-8", "surrogatepass")])[0])
         ok = np.zeros(len(h), dtype=bool)
         ok[bloom.probe(self.wanted, bloom.block_of(h, len(self.wanted)), h)] = True
         return ok
@@ -112,19 +115,16 @@ class Runs:
         if self.wanted is not None and self.width == 2:  # both words of a pair have to be frequent
             words = np.unique(ids)
             frequent = np.zeros(len(self.numbers), dtype=bool)
-            frequent[words] = self._passes(words[:, None], lang)
+            frequent[words] = self._passes([words], lang)
             rows = rows[frequent[parts[0][rows]] & frequent[parts[1][rows]]]
-        code, base = parts[0][rows], np.int64(len(self.numbers))
-        for k in range(1, self.width):
-            _, first, code = np.unique(code, return_index=True, return_inverse=True)  # keeps codes within 64 bits
-            if self.wanted is not None and 1 < k == self.width - 1:
-                ok = self._passes(np.stack([p[rows[first]] for p in parts[:k]], axis=1), lang)[code]
-                rows, code = rows[ok], code[ok]
-            code = code * base + parts[k][rows]
-        _, first, n_each = np.unique(code, return_index=True, return_counts=True)
-        runs = np.stack([p[rows[first]] for p in parts], axis=1)
-        self.found.setdefault(lang, []).append((runs, n_each))
-        self.held += len(runs)
+        elif self.wanted is not None:
+            rows = rows[self._passes([p[rows] for p in parts[:-1]], lang)]
+        code = parts[0][rows]
+        for p in parts[1:]:
+            code = (code << BITS) + p[rows]
+        found = np.unique(code, return_counts=True)
+        self.found.setdefault(lang, []).append(found)
+        self.held += len(found[0])
 
     def full(self) -> bool:
         if self.held > ROWS_HELD:  # repeated runs of several slices first become one
@@ -136,22 +136,23 @@ class Runs:
     def _summed(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         if len(found) == 1:
             return found[0]
-        runs = np.concatenate([r for r, _ in found])
-        order = np.lexsort(runs.T)
-        runs, n = runs[order], np.concatenate([n for _, n in found])[order]
-        heads = np.flatnonzero(np.append(True, (runs[1:] != runs[:-1]).any(axis=1))) if len(runs) else NOTHING
-        return runs[heads], np.add.reduceat(n, heads) if len(runs) else n
+        code, n = np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found])
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        heads = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else NOTHING
+        return code[heads], np.add.reduceat(n, heads) if len(code) else n
 
     def told(self) -> Iterator[pd.DataFrame]:
         """All counts as rows; the streams go on with what they carried."""
         words = np.array([w.decode("utf-8", "surrogatepass") for w in islice(self.numbers, 1, None)], dtype=object)
         for lang in list(self.found):
-            runs, n = self._summed(self.found.pop(lang))
-            for lo in range(0, len(runs), 1 << 14):
-                part = runs[lo : lo + (1 << 14)] - 1
-                phrases = words[part[:, 0]]
-                for k in range(1, self.width):
-                    phrases = phrases + " " + words[part[:, k]]
+            codes, n = self._summed(self.found.pop(lang))
+            for lo in range(0, len(codes), 1 << 14):
+                part = codes[lo : lo + (1 << 14)]
+                each = [words[(part >> BITS * k & (1 << BITS) - 1) - 1] for k in reversed(range(self.width))]
+                phrases = each[0]
+                for w in each[1:]:
+                    phrases = phrases + " " + w
                 yield pd.DataFrame({"lang": lang, "phrase": phrases, "f": n[lo : lo + (1 << 14)]})
         known, last = list(self.numbers), self.last
         self.clear()
@@ -252,11 +253,12 @@ def _word(k: int) -> Column:
     return F.substring_index(F.substring_index("phrase", " ", k), " ", -1)
 
 
-def _floors(pairs: DataFrame, top: int) -> DataFrame:
-    """Per language, the score that ``top`` pairs reach; 0 where there are fewer."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"))
-    nth = pairs.select("lang", "score").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top)
-    return nth.groupBy("lang").agg(F.when(F.max("_n") >= top, F.min("score")).otherwise(F.lit(0)).cast("long").alias("floor"))
+def _floors(pairs: DataFrame, langs: DataFrame, asked: int) -> DataFrame:
+    """Per language of ``langs`` a score that about ``asked`` pairs reach; 0 where there are fewer. Any floor gives the same result."""
+    share = pairs.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("score", F.array(*[F.lit(1 - 0.75**k) for k in range(1, STEPS)]), F.lit(10_000)).alias("_q"))
+    k = F.floor(F.log(F.lit(asked) / F.col("_n")) / math.log(0.75)).cast("int")  # 0.75 ** k of the scores lie above step k
+    floor = F.when(F.col("_n") <= asked, F.lit(0)).otherwise(F.element_at("_q", F.least(F.greatest(k, F.lit(1)), F.lit(STEPS - 1))))
+    return share.join(langs, "lang", "left_semi").select("lang", floor.cast("long").alias("floor"))
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, filter_blocks: int = FILTER_BLOCKS) -> DataFrame:
@@ -275,7 +277,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, filter_blo
     grown, opened, results = [], None, []
     open_langs, asked = totals.select("lang"), top
     while True:
-        floors = _floors(frontier.join(open_langs, "lang", "left_semi"), asked)
+        floors = staged(_floors(frontier, open_langs, asked), "floors")
         # languages are few against their phrases, but nothing bounds them: a plain join, which Spark may broadcast by size
         live = frontier.join(floors, "lang")
         strong = live.where("score >= floor")

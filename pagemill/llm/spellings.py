@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import bloom
-from pagemill.llm.common import ODD, mix, powers, seeds, set_up
+from pagemill.llm.common import ODD, mix, parts, powers, seeds, set_up
 from pagemill.session import forget, staged
 
 LEAST_LETTERS = 7
@@ -39,7 +39,9 @@ SLIPS = 31
 FILTER_BLOCKS = 1 << 19  # 16 MB of filter broadcast at a time
 SHARDS = 64  # words of this length and more share one shard; their hashes tell the length
 WORDS_HELD = 200_000
-CELLS = 1 << 18  # letters of words that are edited at once
+CELLS = 1 << 17  # letters of words that are edited at once
+WORDS_AT_ONCE = 1 << 15
+WORDS_A_TASK = 1 << 16
 _RUN = re.compile("[a-zÀ-ÿ]{%d,}" % LEAST_LETTERS)
 
 
@@ -103,6 +105,20 @@ def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
                 yield int(sizes[part[0]]), part[lo : lo + step]
 
 
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches joined to tables of some ``WORDS_AT_ONCE`` words or 4 ``CELLS`` letters, so that numpy works on long arrays."""
+    held, n, size = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        size += int(b["word"].str.len().sum())
+        if n >= WORDS_AT_ONCE or size >= 4 * CELLS:
+            yield pd.concat(held, ignore_index=True)
+            held, n, size = [], 0, 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 Shards = dict[int, tuple[int, int]]  # by length: first block and number of blocks
 
 
@@ -158,7 +174,7 @@ def _edited(codes: np.ndarray, letter: int, at: np.ndarray) -> list[str]:
 
 def _positives(table, shards: Shards, first: int, blocks: int, alphabet: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in gathered(batches):
             words, ns = b["word"].tolist(), b["n"].to_numpy()
             for _, part in by_length(words):
                 codes = letters([words[i] for i in part])
@@ -220,7 +236,10 @@ def roots(forms: DataFrame) -> DataFrame:
 def spelling_groups(docs: DataFrame, filter_blocks: int = FILTER_BLOCKS) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` for every word of the vocabulary."""
     set_up(docs.sparkSession)
-    words = staged(vocabulary(docs), "words")
+    counted = staged(vocabulary(docs), "words")
+    # few bytes, but much work each: Spark's own parts by bytes would leave a handful of long tasks
+    words = staged(counted.repartition(max(parts(counted.sparkSession), counted.count() // WORDS_A_TASK + 1), "word"), "words")
+    forget(counted)
     best = F.min(F.struct((-F.col("near_n")).alias("n"), F.col("near").alias("near"))).alias("best")
     near = near_pairs(words, filter_blocks).groupBy("word", "n").agg(F.count(F.lit(1)).alias("n_near"), best)
     fits = -F.col("best.n") >= FACTOR * F.col("n")
