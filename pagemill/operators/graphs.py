@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.folds import drop_steep, drop_worse, folded, longest_paths, sized
-from pagemill.operators.ordered import neighbours, with_positions
+from pagemill.operators.ordered import joined_back, neighbours, running_sum, scan, with_positions
 from pagemill.session import forget, staged
 
 CONTRACT_ROWS = 1 << 19
@@ -47,30 +47,63 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _stars(whole["u"].to_numpy(), whole["v"].to_numpy())
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Stars of ``edges`` (staged, ``u, v``): neighbouring ids meet in one task, few edges in a single one."""
+    n = edges.count()
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 1 if n <= CONTRACT_ROWS // 8 else max(parts, n // CONTRACT_ROWS + 1)
+    low, high = F.least("u", "v"), F.greatest("u", "v")
+    dealt = edges.coalesce(1) if tasks == 1 else edges.repartitionByRange(tasks, low, high)
+    return staged(dealt.sortWithinPartitions(low, high).mapInPandas(_contract, "u long, v long").distinct(), "stars")
+
+
+def _unsettled(stars: DataFrame) -> DataFrame:
+    """Ids that point at two roots, or at one while others point at them: the places where stars of several tasks meet."""
+    ends = F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("root")), F.struct(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("root")))
+    return stars.select(F.inline(ends)).groupBy("id").agg(F.sum("out").alias("out"), F.max("root").alias("root")).where("out > 1 OR (out > 0 AND root > 0)").select("id")
+
+
+def _star_round(live: DataFrame) -> DataFrame:
+    """One large-star and one small-star step; keeps all ids and their components."""
+    both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    small_least = down.groupBy("u").agg(F.min("v").alias("m"))
+    small = down.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Label every node ``id`` with the least id it is connected to; edges are ``(a, b)`` of bigint.
 
-    Edges are first contracted inside their task (a combiner: bounded batches become
-    stars). Then large-star and small-star joins alternate until nothing changes,
-    which takes a logarithmic number of rounds even for long chains.
+    Edges are dealt by ranges of ids and contracted to stars inside their task. Where ids of one sample lie together, as
+    packed ids do, nearly all components end there. Stars of different tasks meet in single ids only: the next
+    level sees just the edges of those ids, which a last task solves as soon as they are few. If a level does not halve the edges, a
+    large-star and a small-star step go before the next one, so that a giant component takes a logarithmic number
+    of levels. Then every level's roots are looked up in the level above.
     """
-    start = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v")
-    live = staged(start.mapInPandas(_contract, "u long, v long").distinct(), "edges")
-    before: object = None
+    live = staged(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), "edges")
+    levels: list[DataFrame] = []
     while True:
-        both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small_least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        last, live = live, staged(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        forget(last)
-        state = live.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        stars = _contracted(live)
+        levels.append(stars)
+        unsettled = staged(_unsettled(stars), "unsettled")
+        if unsettled.isEmpty():
             break
-        before = state
-    roots = live.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        rest = staged(stars.join(unsettled.withColumnRenamed("id", "u"), "u", "left_semi"), "edges")
+        if 2 * rest.count() > live.count():
+            slow, rest = rest, staged(_star_round(rest), "edges")
+            forget(slow)
+        forget(live)
+        forget(unsettled)
+        live = rest
+    roots = levels.pop()
+    while levels:
+        above = roots.select(F.col("u").alias("v"), F.col("v").alias("_root"))
+        looked_up = levels.pop().join(above, "v", "left").select("u", F.coalesce("_root", "v").alias("v"))
+        roots = looked_up.unionByName(roots).distinct()  # a root of this level may have a root above only
+    roots = roots.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -150,14 +183,42 @@ def _longest_rounds(both: DataFrame, trees: DataFrame) -> DataFrame:
 def suppress(items: DataFrame, conflicts: DataFrame, by: Sequence[str], item: str) -> DataFrame:
     """Greedy choice, best first: ``conflicts(by, better, worse)`` says who may drop whom.
 
-    Groups whose conflicts fit a task are decided there in one pass. Of larger groups, a round keeps every item
-    without a live better rival and drops the losers to it.
+    Groups whose conflicts fit a task are decided there in one pass; larger groups are split into parts that share no
+    conflict, and those that fit are decided likewise. Of larger parts, a round keeps every item without a live better rival
+    and drops the losers to it.
+    """
+    by = list(by)
+    columns = [*by, "better", "worse"]
+    small, large = sized(conflicts.select(*columns), by, "rivals")
+    dropped = folded(small, by, drop_worse(by), [*by, "worse"])
+    if not large.isEmpty():
+        # a large group falls into parts that share no rival; only a part beyond the limit goes in rounds
+        parts, large = sized(with_component(large, by, "better", "worse", one_kind=True), [*by, COMPONENT], "rivals")
+        dropped = dropped.unionByName(folded(parts, [*by, COMPONENT], drop_worse(by), [*by, "worse"]))
+    items = items.join(staged(dropped.withColumnRenamed("worse", item), "dropped"), [*by, item], "left_anti")
+    return items if large.isEmpty() else _suppress_rounds(items, large.select(*columns), by, item)
+
+
+COMPONENT = "_component"
+
+
+def with_component(pairs: DataFrame, by: Sequence[str], a: str, b: str, one_kind: bool) -> DataFrame:
+    """``pairs`` with the number of the connected part of their group they belong to.
+
+    With ``one_kind`` both columns name the same items; without, an item of ``a`` and one of ``b`` are never the same. Items are numbered
+    in order of group and item, so that ``components`` finds the items of a part in one place.
     """
     by = list(by)
-    small, large = sized(conflicts.select(*by, "better", "worse"), by, "rivals")
-    dropped = folded(small, by, drop_worse(by), [*by, "worse"]).withColumnRenamed("worse", item)
-    items = items.join(staged(dropped, "dropped"), [*by, item], "left_anti")
-    return items if large.isEmpty() else _suppress_rounds(items, large, by, item)
+    ends = [pairs.select(*by, F.lit(0 if one_kind else k).alias("_kind"), F.col(c).alias("_item")).distinct() for k, c in enumerate((a, b))]
+    if one_kind:
+        ends = [ends[0].unionByName(ends[1]).distinct()] * 2
+    numbered = [staged(with_positions(e, [], [*by, "_item"], "_id"), "items") for e in (ends[:1] if one_kind else ends)]
+    left, right = numbered[0], numbered[-1]
+    kinds = 1 if one_kind else 2
+    out = joined_back(pairs, left.select(*by, F.col("_item").alias(a), (F.col("_id") * kinds).alias("_a")), [*by, a])
+    out = staged(joined_back(out, right.select(*by, F.col("_item").alias(b), (F.col("_id") * kinds + (kinds - 1)).alias("_b")), [*by, b]), "numbered")
+    labels = components(out.select(F.col("_a").alias("id")), out.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return out.join(labels.select(F.col("id").alias("_a"), F.col("component").alias(COMPONENT)), "_a").drop("_a", "_b")
 
 
 def _suppress_rounds(items: DataFrame, rivals: DataFrame, by: list[str], item: str) -> DataFrame:
@@ -190,12 +251,50 @@ def eliminate(df: DataFrame, by: Sequence[str], low: float, high: float) -> Data
     """Remove points one by one while that lowers the number of slope violations.
 
     ``df`` has ``(by, seq, x, y)``. A point's gain is the drop in violations if it goes; the greatest gain goes first, ties to
-    the earlier point. No point goes without a gain, not even the first.
+    the earlier point. No point goes without a gain, not even the first. Lines that do not fit a task are cut into independent
+    stretches; only a stretch that does not fit either goes in rounds.
     """
     by = list(by)
-    small, large = sized(df.select(*by, "seq", "x", "y"), by, "points")
-    kept = folded(small, by, drop_steep(by, low, high), [*by, "seq", "x", "y"])
-    return kept if large.isEmpty() else kept.unionByName(_eliminate_rounds(large, by, low, high))
+    columns = [*by, "seq", "x", "y"]
+    small, large = sized(df.select(*columns), by, "points")
+    kept = folded(small, by, drop_steep(by, low, high), columns)
+    if large.isEmpty():
+        return kept
+    rows = staged(_stretches(large, by, low, high), "stretches")
+    fixed = rows.where("_free = 0").select(*columns).distinct()
+    stretch = [*by, "_stretch"]
+    small, large = sized(rows.where("_stretch IS NOT NULL"), stretch, "points")
+    some = folded(small, stretch, drop_steep(stretch, low, high), [*columns, "_free"])
+    if not large.isEmpty():
+        left = _eliminate_rounds(large.select(*stretch, "seq", "x", "y"), stretch, low, high)
+        some = some.unionByName(joined_back(left, large.select(*stretch, "seq", "_free"), [*stretch, "seq"]).select(*columns, "_free"))
+    return kept.unionByName(fixed).unionByName(some.where("_free = 1").select(*columns))
+
+
+def _bad(dx: Column, dy: Column, low: float, high: float) -> Column:
+    slope = dy / F.nullif(dx, F.lit(0.0))
+    return F.coalesce(((slope < low) | (slope > high)).cast("int"), F.lit(0))
+
+
+def _stretches(df: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
+    """Cut lines at points that can never go: ``(by, seq, x, y, _free, _stretch)``.
+
+    A point goes only if a steep step touches it, and the step that closes the gap is steep only if both steps before were. So a point
+    between two steps that are not steep stays for good, and its steps stay as they are: what goes on its two sides
+    is independent. Such points (``_free`` = 0) end the stretches on either side and are listed with each of them, with a null
+    stretch where no free point is next to them.
+    """
+    rows = with_positions(df, by, ["seq"], "_pos")
+    rows = neighbours(rows, by, "_pos", prev=["x", "y"], nxt=["x", "y"])
+    steep = _bad(F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y"), low, high) + _bad(F.col("next_x") - F.col("x"), F.col("next_y") - F.col("y"), low, high)
+    rows = rows.withColumn("_free", (steep > 0).cast("int")).select(*by, "seq", "x", "y", "_pos", "_free")
+    rows = scan(rows, by, "_pos", {"_ends": running_sum(1 - F.col("_free"))})
+    rows = neighbours(rows, by, "_pos", prev=["_free"], nxt=["_free"])
+    none = F.lit(None).cast("long")
+    ends = F.col("_ends").cast("long")
+    beside = F.array(F.when(F.col("next__free") == 1, ends).otherwise(none), F.when(F.col("prev__free") == 1, ends - 1).otherwise(none))
+    at = F.when(F.col("_free") == 1, F.array(ends)).otherwise(beside)
+    return rows.select(*by, "seq", "x", "y", "_free", F.explode(at).alias("_stretch"))
 
 
 def _eliminate_rounds(df: DataFrame, by: list[str], low: float, high: float) -> DataFrame:
@@ -205,8 +304,7 @@ def _eliminate_rounds(df: DataFrame, by: list[str], low: float, high: float) ->
     """
 
     def bad(dx: Column, dy: Column) -> Column:
-        slope = dy / F.nullif(dx, F.lit(0.0))
-        return F.coalesce(((slope < low) | (slope > high)).cast("int"), F.lit(0))
+        return _bad(dx, dy, low, high)
 
     live = staged(df.select(*by, "seq", "x", "y"), "points")
     while True:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.folds import folded, pair_best, sized
+from pagemill.operators.graphs import COMPONENT, with_component
 from pagemill.operators.ordered import running_sum, scan, with_positions
 from pagemill.session import forget, staged
 
@@ -175,13 +176,19 @@ def average_precision(df: DataFrame, by: Sequence[str], order: Sequence[str], li
 def greedy_pairs(scores: DataFrame, by: Sequence[str]) -> DataFrame:
     """One-to-one pairs by falling score, ties by ``(i, j)``.
 
-    Groups that fit a task are paired there in one pass. Of larger groups, each round takes all pairs that are best for both
-    their items, then drops the rows of used items, which yields the same pairs.
+    Groups that fit a task are paired there in one pass; larger groups are split into parts that share no item, and those that
+    fit are paired likewise. Of larger parts, each round takes all pairs that are best for both their items, then drops
+    the rows of used items, which yields the same pairs.
     """
     by = list(by)
     small, live = sized(scores.select(*by, "i", "j", "score").where("score IS NOT NULL"), by, "scores")
-    pairs = folded(small, by, pair_best(by), [*by, "i", "j", "score"])
-    return pairs if live.isEmpty() else pairs.unionByName(_pair_rounds(live, by))
+    columns = [*by, "i", "j", "score"]
+    pairs = folded(small, by, pair_best(by), columns)
+    if live.isEmpty():
+        return pairs
+    parts, live = sized(with_component(live, by, "i", "j", one_kind=False), [*by, COMPONENT], "scores")
+    pairs = pairs.unionByName(folded(parts, [*by, COMPONENT], pair_best(by), columns))
+    return pairs if live.isEmpty() else pairs.unionByName(_pair_rounds(live.select(*columns), by))
 
 
 def _pair_rounds(live: DataFrame, by: list[str]) -> DataFrame:

@@ -94,3 +94,89 @@ def test_long_chains_take_no_rounds(spark, monkeypatch):
     path = spark.range(5000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert graphs.longest_path(path).agg(F.max("length"), F.count("node")).first() == (5000, 5001)
     assert len(made) <= 25
+
+
+def never(*_):
+    raise AssertionError("no rounds expected")
+
+
+@pytest.fixture
+def tight(monkeypatch):
+    """Ten rows fit a task; whatever needs rounds fails."""
+    monkeypatch.setattr(folds, "FOLD_ROWS", 10)
+    for module, name in ((graphs, "_suppress_rounds"), (graphs, "_eliminate_rounds"), (matching, "_pair_rounds")):
+        monkeypatch.setattr(module, name, never)
+
+
+def test_rivals_of_a_large_group_in_parts(spark, tight):
+    """Chains a > b > c > d in one group (and in the group of rows without one): each chain is decided in a task."""
+    chains = [(g, k * 10 + s, k * 10 + s + 1) for g in ("a", None) for k in range(40) for s in range(3)]
+    items = spark.createDataFrame([("a", k * 10 + s) for k in range(40) for s in range(4)], "g string, k int")
+    got = graphs.suppress(items, spark.createDataFrame(chains, "g string, better int, worse int"), ["g"], "k")
+    assert rows(got, "k") == [(k * 10 + s,) for k in range(40) for s in (0, 2)]
+
+
+def test_pairs_of_a_large_group_in_parts(spark, tight):
+    """Left and right items have the same numbers and are still different items."""
+    data = [(1, 3 * k + a, 3 * k + b, float((a * 2 + b * 5) % 7)) for k in range(30) for a in range(3) for b in range(3)]
+    want = []
+    for k in range(30):
+        left, right = set(), set()
+        for g, i, j, s in sorted((r for r in data if r[1] // 3 == k), key=lambda r: (-r[3], r[1], r[2])):
+            if i not in left and j not in right:
+                left.add(i), right.add(j), want.append((g, i, j, s))
+    assert rows(matching.greedy_pairs(spark.createDataFrame(data, "g int, i int, j int, score double"), ["g"]), "g", "i", "j", "score") == sorted(want)
+
+
+def spiky(draw, n):
+    """Flat stretches with bursts of up to four wild points."""
+    y = []
+    while len(y) < n:
+        y += [0.0] * draw.randrange(2, 6) + [float(draw.randrange(-9, 9)) for _ in range(draw.randrange(4))]
+    return y[:n]
+
+
+def test_lines_of_a_large_group_in_stretches(spark, tight):
+    draw = random.Random(6)
+    data = [(g, k, float(k), y) for g in range(3) for k, y in enumerate(spiky(draw, 150))]
+    df = spark.createDataFrame(data, "g int, seq int, x double, y double")
+    got = rows(graphs.eliminate(df, ["g"], -2.0, 2.0), "g", "seq", "x", "y")
+    import pandas as pd
+
+    want = folds.drop_steep(["g"], -2.0, 2.0)(pd.DataFrame(data, columns=["g", "seq", "x", "y"]))
+    assert got == sorted(want.itertuples(index=False, name=None))
+    assert len(got) < len(data)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_over_levels(spark, monkeypatch, seed):
+    """Random graphs, long paths with mixed ids, and stars, contracted in tasks of a few edges."""
+    monkeypatch.setattr(graphs, "CONTRACT_ROWS", 16)
+    draw = random.Random(seed)
+    ids = draw.sample(range(10_000), 300)
+    edges = list(zip(ids[:100], ids[1:101], strict=True)) + [(ids[120], k) for k in ids[121:170]] + [tuple(draw.sample(ids[170:280], 2)) for _ in range(90)] + [(5, 5)]
+    root = {k: k for k in [*ids, 5, 10_001]}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    nodes = spark.createDataFrame([(k,) for k in root], "id long")
+    got = graphs.components(nodes, spark.createDataFrame(edges, "a long, b long"))
+    assert rows(got, "id", "component") == sorted((k, find(k)) for k in root)
+
+
+def test_components_inside_samples_take_one_level(spark, monkeypatch):
+    """Paths of neighbouring ids end in the first contraction, but for those on the edge of two tasks."""
+    made, rounds = [], []
+    monkeypatch.setattr(graphs, "CONTRACT_ROWS", 4000)
+    monkeypatch.setattr(graphs, "staged", lambda df, name="stage", real=graphs.staged: made.append(name) or real(df, name))
+    monkeypatch.setattr(graphs, "_star_round", lambda *_: rounds.append(1))
+    edges = spark.range(30_000).where("id % 10 <> 9").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = graphs.components(spark.range(30_000), edges)
+    assert got.where("component <> id - id % 10").isEmpty()
+    assert made.count("stars") <= 2 and not rounds
