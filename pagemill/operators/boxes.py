@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.scalars import box_intersection, box_iou
 from pagemill.operators.graphs import suppress
 from pagemill.operators.nearest import BOX, nearest
+from pagemill.operators.ordered import running_sum, scan
 from pagemill.session import staged
 
 
@@ -31,22 +32,48 @@ def filter_scores(df: DataFrame, score: float | None = None, iou: float | None =
     return df
 
 
-def box_cells(boxes: DataFrame) -> DataFrame:
-    """One row per whole-number cell ``(y, x)`` that a box covers (far sides excluded)."""
+def box_sums(boxes: DataFrame, grid: DataFrame, sums: dict[str, Column], by: str = "sample", box: str = "box_id") -> DataFrame:
+    """Sum of each of ``sums`` (whole numbers, of a grid cell's columns) over the whole-number cells a box covers (far sides excluded).
 
-    def cells(low: str, high: str) -> Column:
-        first, last = F.ceil(low).cast("int"), (F.ceil(high) - 1).cast("int")
-        return F.when(first <= last, F.sequence(first, last))
-
-    rows = boxes.withColumn("y", F.explode(cells("y0", "y1")))
-    return rows.withColumn("x", F.explode(cells("x0", "x1")))
+    Two scans make a table of the sums over all cells up and left of each cell; a box then asks four cells of it, however large it
+    is. Cells that the grid lacks inside its bounds count 0, so the table has the rows times the columns of a sample. The
+    result has ``cells`` (grid cells in the box) and the sums; boxes without any cell give no row.
+    """
+    names = ["cells", *sums]
+    cells = grid.select(by, "y", "x", F.lit(1).cast("long").alias("cells"), *[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+    cells = cells.groupBy(by, "y", "x").agg(*[F.sum(n).alias(n) for n in names])
+    extent = cells.groupBy(by).agg(*[f(a).alias(f"_{f.__name__}_{a}") for f in (F.min, F.max) for a in "yx"], F.count(F.lit(1)).alias("_n"))
+    height, width = F.col("_max_y") - F.col("_min_y") + 1, F.col("_max_x") - F.col("_min_x") + 1
+    blank = extent.where(F.col("_n") < height.cast("long") * width).withColumn("y", F.explode(F.sequence("_min_y", "_max_y"))).withColumn("x", F.explode(F.sequence("_min_x", "_max_x")))
+    blank = blank.select(by, "y", "x", *[F.lit(0).cast("long").alias(n) for n in names])
+    whole = cells.unionByName(blank).groupBy(by, "y", "x").agg(*[F.sum(n).alias(n) for n in names])
+    across = scan(whole, [by, "y"], "x", {n: running_sum(F.col(n)) for n in names})
+    table = scan(across, [by, "x"], "y", {n: running_sum(F.col(n)) for n in names})
+
+    def last(c: str, axis: str) -> Column:
+        """The last cell before a side, inside the grid; null before its first one."""
+        at = F.least((F.ceil(c) - 1).cast("int"), F.col(f"_max_{axis}"))
+        return F.when(at >= F.col(f"_min_{axis}"), at)
+
+    corners = [F.struct(last(f"y{i}", "y").alias("y"), last(f"x{j}", "x").alias("x"), F.lit(1 if i == j else -1).alias("_sign")) for i in (0, 1) for j in (0, 1)]
+    some = (F.col("y0") < F.col("y1")) & (F.col("x0") < F.col("x1"))
+    asked = boxes.where(some).join(extent.drop("_n"), by).select(by, box, F.inline(F.array(*corners))).where("y IS NOT NULL AND x IS NOT NULL")
+    found = asked.join(table, [by, "y", "x"])
+    return found.groupBy(by, box).agg(*[F.sum(F.col("_sign") * F.col(n)).alias(n) for n in names]).where("cells > 0")
 
 
 def box_all(boxes: DataFrame, grid: DataFrame, holds: Column, by: str = "sample", box: str = "box_id") -> DataFrame:
-    """Does the condition hold in every grid cell of the box? Boxes outside the grid give no row."""
-    flags = grid.select(by, "y", "x", holds.alias("_ok"))
-    hits = box_cells(boxes).select(by, box, "y", "x").join(flags, [by, "y", "x"])
-    return hits.groupBy(by, box).agg(F.count(F.lit(1)).alias("cells"), F.bool_and("_ok").alias("all"))
+    """Does the condition hold in every grid cell of the box? Boxes outside the grid give no row; cells where it is null do not count."""
+    sums = box_sums(boxes, grid, {"_false": (~holds).cast("int"), "_known": holds.isNotNull().cast("int")}, by, box)
+    return sums.select(by, box, "cells", F.when(F.col("_known") > 0, F.col("_false") == 0).alias("all"))
+
+
+def box_inside(boxes: DataFrame, mask: DataFrame, by: str = "sample", box: str = "box_id") -> DataFrame:
+    """Cells of each box, and how many of them belong to the mask (``(by, y, x)``, set cells only): the overlap of a box with a mask."""
+    size = lambda a: F.greatest(F.ceil(f"{a}1") - F.ceil(f"{a}0"), F.lit(0))
+    hits = box_sums(boxes, mask.select(by, "y", "x").distinct(), {}, by, box).withColumnRenamed("cells", "inside")
+    out = boxes.select(by, box, (size("y") * size("x")).cast("long").alias("cells")).join(hits, [by, box], "left")
+    return out.select(by, box, "cells", F.coalesce("inside", F.lit(0)).cast("long").alias("inside"))
 
 
 def _leveled(df: DataFrame, prefix: str) -> DataFrame:

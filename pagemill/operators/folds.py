@@ -160,3 +160,53 @@ def longest_paths(rows: pd.DataFrame) -> pd.DataFrame:
         back, length = depths(other), one[other]
         out += [(component, one[k], k, length) for k in one if one[k] + back[k] == length]
     return pd.DataFrame(out, columns=["component", "step", "node", "length"])
+
+
+def envelope(x: list[int], f: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """Lower envelope of the parabolas ``(t - x[k]) ** 2 + f[k]``, ``x`` rising: the parabolas on it, and where each follows the one
+    before, as a fraction. Parabolas that only touch the envelope stay on it.
+    """
+    stack: list[int] = []
+    starts: list[tuple[int, int]] = []
+    for k in range(len(x)):
+        while stack:
+            p = stack[-1]
+            above, below = f[k] + x[k] * x[k] - f[p] - x[p] * x[p], 2 * (x[k] - x[p])
+            if len(stack) > 1 and above * starts[-1][1] < starts[-1][0] * below:
+                stack.pop()
+                starts.pop()
+                continue
+            starts.append((above, below))
+            break
+        else:
+            starts.append((0, 0))
+        stack.append(k)
+    return stack, starts
+
+
+def nearest_in_rows(by: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Values of the missing cells of rows ``(by, x, missing, cy, value)``, where ``(cy, value)`` is the nearest known cell of the column.
+
+    The nearest of all wins, ties go to the least ``cy``, then to the least column. Cells of rows without any known cell get none.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, row in rows.sort_values("x", kind="stable").groupby(by, sort=False, dropna=False):
+            known, missing = row[row["cy"].notna()], row[row["missing"]]
+            if not len(known):
+                continue
+            x, cy, y = [int(v) for v in known["x"]], [int(v) for v in known["cy"]], int(row[by[-1]].iloc[0])
+            stack, starts = envelope(x, [(y - c) ** 2 for c in cy])
+            at, picked = 0, []
+            for t in map(int, missing["x"]):
+                while at + 1 < len(stack) and starts[at + 1][0] < t * starts[at + 1][1]:
+                    at += 1
+                end = at
+                while end + 1 < len(stack) and starts[end + 1][0] == t * starts[end + 1][1]:
+                    end += 1  # all of these are equally near
+                picked.append(min(stack[at : end + 1], key=lambda k: (cy[k], x[k])))
+            out.append(missing.assign(value=known["value"].to_numpy()[picked]))
+        return pd.concat(out) if out else rows.iloc[:0]
+
+    return fold

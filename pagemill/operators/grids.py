@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators.ordered import after, before, neighbours, rolling, running_sum, scan
+from pagemill.operators.folds import folded, nearest_in_rows, sized
+from pagemill.operators.ordered import after, before, joined_back, neighbours, rolling, running_sum, scan
 from pagemill.session import staged
 
 KEY = "sample"
@@ -273,22 +274,37 @@ def fill_grid(grid: DataFrame, by: str = KEY, passes: int | None = None) -> Data
 def fill_nearest(grid: DataFrame, by: str = KEY) -> DataFrame:
     """Give missing cells the value of the nearest known cell (ties: least y, then x).
 
-    First every cell learns the nearest known cells up and down its column. A missing cell then
-    asks the columns within a radius that doubles until its best distance lies inside it, so
-    work follows the size of the holes, not the size of the grid.
+    First every cell learns the nearest known cell of its column, by a scan each way. Along a row, each column then stands
+    for a parabola over x, and the lower envelope of a row's parabolas gives the nearest cell of all its missing cells in one pass
+    inside a task. Rows with more cells than fit a task ask for columns within a growing radius instead, with the same result.
     """
     cells = grid.select(by, "y", "x", "value")
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("y").alias("y"), F.col("value").alias("value")))
-    columns = staged(scan(cells, [by, "x"], "y", {"_up": before(known, inclusive=True), "_down": after(known, inclusive=True)}), "columns")
-    open_cells = columns.where("value IS NULL").select(by, "y", "x")
-    span = columns.agg(F.max("x") - F.min("x")).first()[0] or 0
+    columns = scan(cells, [by, "x"], "y", {"_up": before(known, inclusive=True), "_down": after(known, inclusive=True)})
+    up, down = F.col("y") - F.col("_up.y"), F.col("_down.y") - F.col("y")
+    best = F.when(F.coalesce(up <= down, F.col("_up").isNotNull()), F.col("_up")).otherwise(F.col("_down"))
+    columns = staged(columns.select(by, "y", "x", "value", best.alias("_near")), "columns")
+    holes = columns.where("value IS NULL").select(by, "y").distinct()
+    rows = joined_back(columns.select(by, "y", "x", F.col("value").isNull().alias("missing"), F.col("_near.y").alias("cy"), F.col("_near.value").alias("value")), holes, [by, "y"], "left_semi")
+    small, large = sized(rows, [by, "y"], "rows")
+    filled = folded(small.where("cy IS NOT NULL OR missing"), [by, "y"], nearest_in_rows([by, "y"]), [by, "y", "x", "value"])
+    if not large.isEmpty():
+        filled = filled.unionByName(_fill_rounds(large, by))
+    joined = joined_back(cells, filled.withColumnRenamed("value", "_fill"), [by, "y", "x"], "left")
+    return joined.select(by, "y", "x", F.coalesce("value", "_fill").alias("value"))
+
+
+def _fill_rounds(rows: DataFrame, by: str) -> DataFrame:
+    """Missing cells of long rows, by columns within a radius that doubles until the best distance lies inside it."""
+    columns = rows.where("cy IS NOT NULL").select(by, "y", F.col("x").alias("_cx"), "cy", "value")
+    open_cells = rows.where("missing").select(by, "y", "x")
+    span = rows.agg(F.max("x") - F.min("x")).first()[0] or 0
     filled, radius = [], 1
     while True:
         asked = open_cells.withColumn("_cx", F.explode(F.sequence(F.col("x") - radius, F.col("x") + radius)))
-        seen = columns.select(by, "y", F.col("x").alias("_cx"), F.explode(F.array("_up", "_down")).alias("_k")).where("_k IS NOT NULL")
-        d2 = F.pow((F.col("x") - F.col("_cx")).cast("double"), F.lit(2.0)) + F.pow((F.col("y") - F.col("_k.y")).cast("double"), F.lit(2.0))
-        options = asked.join(seen, [by, "y", "_cx"])
-        best = options.groupBy(by, "y", "x").agg(F.min(F.struct(d2.alias("d2"), F.col("_k.y").alias("cy"), "_cx", F.col("_k.value").alias("value"))).alias("_b"))
+        d2 = F.pow((F.col("x") - F.col("_cx")).cast("double"), F.lit(2.0)) + F.pow((F.col("y") - F.col("cy")).cast("double"), F.lit(2.0))
+        options = joined_back(asked, columns, [by, "y", "_cx"])
+        best = options.groupBy(by, "y", "x").agg(F.min(F.struct(d2.alias("d2"), "cy", "_cx", "value")).alias("_b"))
         last = radius >= span
         found = best if last else best.where(F.col("_b.d2") <= float(radius * radius))
         found = staged(found.select(by, "y", "x", F.col("_b.value").alias("value")), "found")
@@ -302,5 +318,4 @@ def fill_nearest(grid: DataFrame, by: str = KEY) -> DataFrame:
     fills = filled[0]
     for more in filled[1:]:
         fills = fills.unionByName(more)
-    joined = cells.join(fills.withColumnRenamed("value", "_fill"), [by, "y", "x"], "left")
-    return joined.select(by, "y", "x", F.coalesce("value", "_fill").alias("value"))
+    return fills

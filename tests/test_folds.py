@@ -180,3 +180,73 @@ def test_components_inside_samples_take_one_level(spark, monkeypatch):
     got = graphs.components(spark.range(30_000), edges)
     assert got.where("component <> id - id % 10").isEmpty()
     assert made.count("stars") <= 2 and not rounds
+
+
+def holes(draw, groups, height, width, share):
+    return [(g, y, x, None if draw.random() < share else float(draw.randrange(50))) for g in groups for y in range(height) for x in range(width)]
+
+
+def nearest_known(data):
+    out = []
+    for g, y, x, v in data:
+        near = [((y - a) ** 2 + (x - b) ** 2, a, b, w) for h, a, b, w in data if h == g and w is not None]
+        out.append((g, y, x, v if v is not None or not near else min(near)[3]))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 17, 4])
+def test_nearest_fill(spark, monkeypatch, limit):
+    """Sparse and full grids, ties, one without any value; rows within and beyond the limit of a task."""
+    from pagemill.operators import grids
+
+    monkeypatch.setattr(folds, "FOLD_ROWS", limit)
+    draw = random.Random(5)
+    data = holes(draw, [1, 2], 6, 7, 0.6) + holes(draw, [3], 5, 9, 0.95) + holes(draw, [4], 3, 3, 1.0) + [(5, 0, 0, None), (5, 0, 2, 1.0), (5, 0, -2, 7.0), (5, 1, 0, 9.0)]
+    got = grids.fill_nearest(spark.createDataFrame(data, "sample int, y int, x int, value double"))
+    assert {r[:3]: r[3] for r in map(tuple, got.select("sample", "y", "x", "value").collect())} == {r[:3]: r[3] for r in nearest_known(data)}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_envelope(seed):
+    """Every parabola that is least somewhere stays, those that only touch the envelope included."""
+    draw = random.Random(seed)
+    x = sorted(draw.sample(range(-20, 20), 12))
+    f = [draw.randrange(12) ** 2 for _ in x]
+    stack, starts = folds.envelope(x, f)
+    for t in range(-25, 26):
+        cost = [(t - a) ** 2 + b for a, b in zip(x, f, strict=True)]
+        assert {k for k, c in enumerate(cost) if c == min(cost)} <= set(stack)
+    assert all(a[0] * b[1] <= b[0] * a[1] for a, b in zip(starts[1:], starts[2:], strict=False))
+
+
+def test_boxes_by_summed_area(spark):
+    """Boxes inside, across and outside grids with gaps, null conditions and repeated cells."""
+    from pagemill.operators import boxes as bx
+
+    draw = random.Random(7)
+    cells = [(g, y, x, draw.choice([True, True, True, True, False, None])) for g in (1, 2) for y in range(-2, 6) for x in range(3, 10) if g == 1 or draw.random() < 0.5] + [(2, 0, 4, True)]
+    asked = [(g, k, *sorted(draw.uniform(-4, 8) for _ in "ab"), *sorted(draw.uniform(1, 12) for _ in "ab")) for g in (1, 2, 3) for k in range(60)]
+    asked += [(1, 100, -9.0, 20.0, -9.0, 20.0), (1, 101, 2.0, 2.0, 4.0, 6.0), (1, 102, 2.0, 3.0, 4.0, 5.0), (1, 103, 5.0, 1.0, 4.0, 9.0)]
+    want, share = [], []
+    for g, k, y0, y1, x0, x1 in asked:
+        inside = [c for h, y, x, c in cells if h == g and y0 <= y < y1 and x0 <= x < x1]
+        known = [c for c in inside if c is not None]
+        if inside:
+            want.append((g, k, len(inside), all(known) if known else None))
+        places = {(y, x) for h, y, x, c in cells if h == g and c and y0 <= y < y1 and x0 <= x < x1}
+        share.append((g, k, len(places)))
+    grid = spark.createDataFrame(cells, "sample int, y int, x int, ok boolean")
+    boxes = spark.createDataFrame(asked, "sample int, box_id int, y0 double, y1 double, x0 double, x1 double")
+    assert {r[:2]: r for r in map(tuple, bx.box_all(boxes, grid, F.col("ok")).select("sample", "box_id", "cells", "all").collect())} == {r[:2]: r for r in want}
+    assert sorted(map(tuple, bx.box_inside(boxes, grid.where("ok")).select("sample", "box_id", "inside").collect())) == sorted(share)
+
+
+def test_box_rows_do_not_grow_with_area(spark):
+    """A box that covers a million cells asks for four."""
+    from pagemill.operators import boxes as bx
+
+    grid = spark.range(100).select(F.lit(1).alias("sample"), (F.col("id") / 10).cast("int").alias("y"), (F.col("id") % 10).cast("int").alias("x"))
+    boxes = spark.range(50).select(F.lit(1).alias("sample"), F.col("id").alias("box_id"), F.lit(-1e6).alias("y0"), F.lit(1e6).alias("y1"), F.lit(-1e6).alias("x0"), F.lit(1e6).alias("x1"))
+    plan = bx.box_sums(boxes, grid, {})._jdf.queryExecution().toString()
+    assert {r["cells"] for r in bx.box_sums(boxes, grid, {}).collect()} == {100}
+    assert "sequence(cast(ceil" not in plan.lower()
