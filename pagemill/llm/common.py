@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = bytes([9, 10, 11, 12, 13, 32])  # fixed values: the word separators of every operator here
@@ -34,6 +34,19 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+ROW = "_whole_row"
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``ROW``, so that columns of an operator never meet those of the input, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW)
+
+
+def unpacked(docs: DataFrame, **made: Column) -> list[Column]:
+    """The columns of ``docs`` out of ``ROW``, those of ``made`` replaced."""
+    return [(made[c] if c in made else F.col(f"{ROW}.`{c}`")).alias(c) for c in docs.columns]
+
+
 LAST = (1 << 63) - 1  # stands for a missing doc_id in Python stages, where a null would turn ids into floats
 
 

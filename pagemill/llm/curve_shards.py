@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import parts, set_up
+from pagemill.llm.common import parts, set_up, unpacked, whole
 from pagemill.session import staged
 
 BITS = 8
@@ -123,10 +123,11 @@ def curve_shards(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFra
 def sharded_documents(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     """All columns of ``docs`` with ``shard, slot``, laid out in curve order. Here the texts move, once."""
     set_up(docs.sparkSession)
-    rows = docs.select("*", F.col("doc_id").cast("long").alias("_doc"), F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang"), *_measured(docs))
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    meta = [F.col("doc_id").cast("long").alias("_doc"), F.col("source").cast("string").alias("_source"), F.col("lang").cast("string").alias("_lang")]
+    rows = docs.select(whole(docs), *meta, *_measured(docs))
     ordered, n = placed(_indexed(rows, bits), ["_h", "_doc", "_crc", "_size"])
-    return _cut(ordered, n, shards).select(*kept, "shard", "slot")
+    kept = docs.drop("shard", "slot")
+    return _cut(ordered, n, shards).select(*unpacked(kept), "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:

@@ -222,7 +222,7 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (
     and text, and of those with the same text and no ``doc_id``.
     """
     gone = near_copies(docs, width, similarity).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
     return kept if repeats else _rows_once(docs, kept)
 
 

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import set_up
+from pagemill.llm.common import set_up, unpacked, whole
 from pagemill.session import staged
 
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"  # fixed value: what stands between words
@@ -147,6 +147,6 @@ def clean_documents(docs: DataFrame, items: DataFrame, width: int = WINDOW, part
     places = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("pos")).distinct()
     hits = staged(places.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_hit")), "hits")
     text = F.col("text").cast("string")
-    both = docs.select("*", *_key(docs)).join(hits, KEY, "left")
-    bad = (F.col("n_hit") > 0) & (F.col("n_hit") * parts_hit >= _n_terms(terms(text)))
-    return both.where(~F.coalesce(bad, F.lit(False))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    both = docs.select(whole(docs), *_key(docs), _n_terms(terms(text)).alias("_n_terms")).join(hits, KEY, "left")
+    bad = (F.col("n_hit") > 0) & (F.col("n_hit") * parts_hit >= F.col("_n_terms"))
+    return both.where(~F.coalesce(bad, F.lit(False))).select(*unpacked(docs))

@@ -45,7 +45,7 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     from pagemill.llm.mixing import mix_sources
 
-    return mix_sources(table(spark, folder, "documents"))
+    return mix_sources(table(spark, folder, "documents"), tell_shards=True)
 
 
 @query

@@ -102,3 +102,28 @@ def test_edges(spark):
     assert M.mix_sources(empty).count() == 0 and M.mixed_documents(empty).count() == 0
     nothing = spark.createDataFrame([(1, None, None, "", "")], SCHEMA)
     assert [tuple(r) for r in M.mix_sources(nothing).collect()] == [(1, 0, 0, 0.0, 0)] and M.mixed_documents(nothing).count() == 0
+
+
+def test_counts_per_shard_are_a_draw(spark):
+    """Every shard owns the slots that the draw gave it, and the counts spread as a multinomial draw does."""
+    sizes = spark.createDataFrame([("a", 400_000), ("b", 90_000), (None, 700)], "source string, source_size long")
+    sources = M.targets(sizes)
+    drawn = M.draws(sources, 64, 5, 8192).collect()
+    made = M.slots(sources, 64, 5, 8192).collect()
+    counts = Counter((r.no, r.shard) for r in made)
+    assert counts == {(r.no, r.shard): r.n for r in drawn}
+    want = {r.no: round(r.target) for r in sources.collect()}
+    assert {n: sum(r.words for r in made if r.no == n) for n in want} == want
+    for no in want:
+        each = [r.n for r in drawn if r.no == no]
+        total, shards = sum(each), round(sum(want.values()) / 8192)
+        spread = sum((n - total / shards) ** 2 for n in each) / (total / shards) + (shards - len(each)) * total / shards
+        assert abs(spread - (shards - 1)) < 5 * (2 * shards) ** 0.5  # chi-squared
+
+
+def test_many_rows_without_id_spread(spark):
+    """A third of the rows without id: no chunk holds them all."""
+    docs = spark.createDataFrame([(None if k % 3 else k, "same five words of text", "s") for k in range(3000)], "doc_id long, text string, source string")
+    placed, _ = M._planned(M.measured(docs), 5)
+    starts = sorted(r.start for r in placed.collect())
+    assert starts == list(range(0, 15_000, 5))

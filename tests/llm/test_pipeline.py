@@ -93,3 +93,17 @@ def test_edges(spark, tmp_path):
         out = C.run(spark, folder)
         assert set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars", "shard_hint", "shard", "slot"}
         assert (out.count() > 0) == bool(rows)
+
+
+OWN = ["_h", "_no", "_size", "_hash", "_gone", "_id", "n_hit", "_doc", "_source", "_key", "_text", "start", "pass", "block", "component", "node", "score", "_whole_row"]
+
+
+@pytest.mark.parametrize("name, stage", C.STAGES)
+def test_columns_named_as_the_stages_own(spark, name, stage):
+    """Further columns come back as they were given, whatever their names."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    more = docs.select("*", *[(docs["doc_id"] * 100 + k).alias(c) for k, c in enumerate(OWN)])
+    out = stage(spark, more, FOLDER)
+    assert set(more.columns) <= set(out.columns)
+    rows = out.collect()
+    assert rows and all(r[c] == r.doc_id * 100 + k for r in rows for k, c in enumerate(OWN))
