@@ -125,20 +125,53 @@ def largest_component(labels: DataFrame, by: Sequence[str], label: str = "compon
     return labels.join(best.select(*by, F.col("_b.c").alias(label)), [*by, label], "left_semi")
 
 
-def _depths(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """Distance of every node from the start of its tree: ``(component, node, depth)``."""
-    frontier = staged(starts.select("component", F.col("node"), F.lit(None).cast("long").alias("prev"), F.lit(0).alias("depth")), "depth")
-    levels = [frontier]
+def _tour(both: DataFrame) -> DataFrame:
+    """A walk around each tree, as places of its edges: ``(component, a, b, there, back, n)`` with ``a < b``.
+
+    ``both`` lists every edge both ways. From x to y the walk goes on to the neighbour of y that follows x, in a circle, and so passes
+    every edge once each way. It starts with the first edge of the least node. A step's place is told by the number of steps after it: in
+    each round a step looks as far ahead again as it could see so far, so n steps take log2(n) rounds whatever the tree's shape.
+    """
+    around = staged(neighbours(with_positions(both, ["a"], ["b"], "_pos"), ["a"], "_pos", nxt=["b"]), "around")
+    first = around.where("_pos = 0").select("a", F.col("b").alias("_first"))
+    onward = F.coalesce("next_b", "_first")
+    ends = (F.col("a") == F.col("component")) & (onward == F.col("_first"))
+    walk = staged(around.join(first, "a").select(
+        "component", F.col("b").alias("x"), F.col("a").alias("y"), F.when(~ends, F.col("a")).alias("next_x"), F.when(~ends, onward).alias("next_y"),
+        F.when(ends, 0).otherwise(1).cast("long").alias("left"),
+    ), "walk")
     while True:
-        step = frontier.join(edges, F.col("node") == F.col("a")).where("prev IS NULL OR b <> prev")
-        frontier = staged(step.select("component", F.col("b").alias("node"), F.col("a").alias("prev"), (F.col("depth") + 1).alias("depth")), "depth")
-        if frontier.isEmpty():
+        going = walk.where("next_x IS NOT NULL")
+        if going.isEmpty():
             break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("component", "node", "depth")
+        ahead = walk.select(F.col("x").alias("next_x"), F.col("y").alias("next_y"), F.col("next_x").alias("_x"), F.col("next_y").alias("_y"), F.col("left").alias("_more"))
+        jumped = going.join(ahead, ["next_x", "next_y"]).select("component", "x", "y", F.col("_x").alias("next_x"), F.col("_y").alias("next_y"), (F.col("left") + F.col("_more")).alias("left"))
+        last, walk = walk, staged(walk.where("next_x IS NULL").unionByName(jumped), "walk")
+        forget(last)
+    n = walk.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    up = F.col("x") < F.col("y")
+    edges = walk.groupBy("component", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        F.max(F.when(up, F.col("left"))).alias("_there"), F.max(F.when(~up, F.col("left"))).alias("_back"))
+    place = lambda c: F.col("n") - 1 - F.col(c)
+    return staged(edges.join(n, "component").select("component", "a", "b", place("_there").alias("there"), place("_back").alias("back"), "n"), "tour")
+
+
+def _depths(tour: DataFrame, starts: DataFrame) -> DataFrame:
+    """Distance of every node from the start of its tree: ``(component, node, depth)``.
+
+    The walk is a circle, so turning it makes it begin at any node. Of an edge's two places the earlier one leads down, to a new
+    node; a node's depth is the number of steps down less the number of steps up so far.
+    """
+    leaving = F.when(F.col("a") == F.col("node"), F.col("there")).when(F.col("b") == F.col("node"), F.col("back"))
+    begin = tour.join(starts.select("component", "node"), "component").groupBy("component").agg(F.min(leaving).alias("_begin"))
+    turned = lambda c: F.pmod(F.col(c) - F.col("_begin"), F.col("n"))
+    rows = tour.join(begin, "component").select("component", "a", "b", turned("there").alias("_there"), turned("back").alias("_back"))
+    below = F.when(F.col("_there") < F.col("_back"), F.col("b")).otherwise(F.col("a"))
+    down = F.struct(F.least("_there", "_back").alias("at"), F.lit(1).alias("step"), below.alias("node"))
+    up = F.struct(F.greatest("_there", "_back").alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("node"))
+    walk = scan(rows.select("component", F.inline(F.array(down, up))), ["component"], "at", {"depth": running_sum(F.col("step"))})
+    found = walk.where("node IS NOT NULL").select("component", "node", F.col("depth").cast("int").alias("depth"))
+    return found.unionByName(starts.select("component", "node", F.lit(0).alias("depth")))
 
 
 def _farthest(depths: DataFrame) -> DataFrame:
@@ -149,7 +182,8 @@ def _farthest(depths: DataFrame) -> DataFrame:
 def longest_path(edges: DataFrame) -> DataFrame:
     """Nodes of the longest path of every tree: ``(component, step, node, length)``; cycles give nothing.
 
-    Trees that fit a task are walked there. Ties between ends go to the lesser node.
+    Trees that fit a task are walked there, larger ones by a tour found in a logarithmic number of rounds. Ties between ends go to the
+    lesser node.
     """
     once = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "tree")
     nodes = once.select(F.col("a").alias("id")).unionByName(once.select(F.col("b").alias("id"))).distinct()
@@ -164,18 +198,18 @@ def longest_path(edges: DataFrame) -> DataFrame:
     short = folded(small, ["component"], longest_paths, ["component", "step", "node", "length"])
     if large.isEmpty():
         return short
-    return short.unionByName(_longest_rounds(large.select("a", "b"), large.select("component").distinct()))
+    return short.unionByName(_longest_by_tour(large.select("component", "a", "b"), large.select("component").distinct()))
 
 
-def _longest_rounds(both: DataFrame, trees: DataFrame) -> DataFrame:
-    """Breadth-first rounds for all components together. On a tree the path between its
-    two far ends is made of the nodes whose distances to both ends add up to its length.
+def _longest_by_tour(both: DataFrame, trees: DataFrame) -> DataFrame:
+    """All trees together, by one walk around each of them. On a tree the path between its two far ends is made of the nodes whose
+    distances to both ends add up to its length.
     """
-    both = staged(both, "tree")
-    one_end = staged(_farthest(_depths(both, trees.select("component", F.col("component").alias("node")))), "ends")
-    from_one = staged(_depths(both, one_end), "depths")
+    tour = _tour(both)
+    one_end = staged(_farthest(_depths(tour, trees.select("component", F.col("component").alias("node")))), "ends")
+    from_one = staged(_depths(tour, one_end), "depths")
     other_end = staged(_farthest(from_one), "ends")
-    from_other = _depths(both, other_end).withColumnRenamed("depth", "_back")
+    from_other = _depths(tour, other_end).withColumnRenamed("depth", "_back")
     path = from_one.join(from_other, ["component", "node"]).join(other_end.select("component", "length"), "component")
     return path.where("depth + _back = length").select("component", F.col("depth").alias("step"), "node", "length")
 
