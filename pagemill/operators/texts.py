@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pagemill.operators.ordered import neighbours, running_sum, scan
 from pagemill.operators.words import substring_grams
 from pagemill.session import staged
 
@@ -34,37 +35,99 @@ def text_overlap_join(
     return grams.join(known, [*by, "gram"]).select(*by, *a_id, *b_id).distinct()
 
 
-def gram_matches(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b") -> DataFrame:
-    """All places ``(i, j)`` where an n-gram of ``a`` equals one of ``b``; ``a`` is the smaller side."""
-    known = _probe_side(substring_grams(a, a_text, n, a_id).withColumnRenamed("pos", "i"))
-    return substring_grams(b, b_text, n, b_id).withColumnRenamed("pos", "j").join(known, "gram").select(*a_id, *b_id, "i", "j")
+def _places(text: str) -> tuple[list[dict[str, int]], list[int], list[int], list[int]]:
+    """Suffix automaton of a text: of each state the steps, the longest length, the next shorter state and where its runs first end."""
+    steps, size, shorter, ends = [{}], [0], [-1], [-1]
+
+    def state(step: dict[str, int], length: int, link: int, end: int) -> int:
+        for column, value in zip((steps, size, shorter, ends), (step, length, link, end), strict=True):
+            column.append(value)
+        return len(steps) - 1
+
+    whole = 0
+    for at, sign in enumerate(text):
+        new, p = state({}, size[whole] + 1, 0, at), whole
+        while p >= 0 and sign not in steps[p]:
+            steps[p][sign] = new
+            p = shorter[p]
+        if p >= 0:
+            q = steps[p][sign]
+            if size[q] > size[p] + 1:  # the shorter runs of q now end in one more place than its longer ones
+                part = state(dict(steps[q]), size[p] + 1, shorter[q], ends[q])
+                while p >= 0 and steps[p].get(sign) == q:
+                    steps[p][sign] = part
+                    p = shorter[p]
+                shorter[q] = part
+                q = part
+            shorter[new] = q
+        whole = new
+    return steps, size, shorter, ends
+
+
+def _longest_in(places: tuple[list[dict[str, int]], list[int], list[int], list[int]], text: str) -> tuple[int, int, int]:
+    """``(i, j, length)`` of the longest run that ``text`` shares with the text of ``places``, at its first places."""
+    steps, size, shorter, ends = places
+    state = length = 0
+    best = (0, 0, 0)
+    for at, sign in enumerate(text):
+        while state and sign not in steps[state]:
+            state = shorter[state]
+            length = size[state]
+        if sign in steps[state]:
+            state, length = steps[state][sign], length + 1
+            best = min(best, (-length, ends[state] - length + 1, at - length + 1))
+    return best[1], best[2], -best[0]
+
+
+@F.pandas_udf(StructType().add("i", "integer").add("j", "integer").add("length", "long"))
+def _longest_run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    found: list[tuple[int, int, int]] = [(0, 0, 0)] * len(a)
+    for text, rows in pd.Series(range(len(a))).groupby(a.to_numpy(), sort=False):
+        places = _places(text)
+        for k in rows:
+            found[k] = _longest_in(places, b.iloc[k])
+    return pd.DataFrame(found, columns=["i", "j", "length"])
 
 
 def lcs_align(a: DataFrame, b: DataFrame, n: int, a_id: Sequence[str], b_id: Sequence[str], a_text: str = "a", b_text: str = "b") -> DataFrame:
     """Longest common run of each pair, at least ``n`` long: ``(i, j, length)`` of its start.
 
-    n-gram matches on one diagonal ``i - j`` that follow each other form one run; ties go
-    to the earlier place in ``a``, then in ``b``. Shorter runs give no row.
+    Pairs that share an n-gram are found by an equi-join. Each of them is one row, whose texts are walked through once (the automaton of a
+    text of ``a`` serves all its pairs in a batch), so repeated n-grams add no rows. Ties go to the earlier place in ``a``, then in
+    ``b``. Pairs whose runs are all shorter, null and empty texts give no row; of rows that repeat an id the best counts.
     """
     pair = [*a_id, *b_id]
-    matches = gram_matches(a, b, n, a_id, b_id, a_text, b_text).withColumn("diagonal", F.col("i") - F.col("j"))
-    keys = [*pair, "diagonal"]
-    rows = neighbours(matches, keys, "i", prev=["j"], keep_chunk=True)
-    breaks = (F.col("prev_j").isNull() | (F.col("prev_j") + 1 != F.col("j"))).cast("int")
-    rows = scan(rows.withColumn("_break", breaks), keys, "i", {"run": running_sum(F.col("_break"))})
-    runs = rows.groupBy(*keys, "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + n - 1).alias("length"))
-    best = runs.groupBy(*pair).agg(F.min(F.struct((-F.col("length")).alias("_n"), "i", "j")).alias("_b"))
-    return best.select(*pair, "_b.i", "_b.j", (-F.col("_b._n")).alias("length"))
+    pairs = text_overlap_join(a, b, n, a_id, b_id, a_text, b_text)
+    texts = pairs.join(a.select(*a_id, F.col(a_text).alias("_a")).where("_a IS NOT NULL"), [*a_id]).join(b.select(*b_id, F.col(b_text).alias("_b")).where("_b IS NOT NULL"), [*b_id])
+    runs = texts.select(*pair, _longest_run("_a", "_b").alias("_r"))
+    best = runs.groupBy(*pair).agg(F.min(F.struct((-F.col("_r.length")).alias("n"), F.col("_r.i").alias("i"), F.col("_r.j").alias("j"))).alias("_b"))
+    return best.select(*pair, "_b.i", "_b.j", (-F.col("_b.n")).alias("length"))
+
+
+FIRST_BAND, LAST_BAND = 32, 2048
+
+
+def edit_distance(a: str, b: str) -> Column:
+    """Edit distance; the work is that of a band as wide as the distance, not the product of the lengths.
+
+    A band of 32 is tried first, then bands eight times as wide, each only where the one before was too narrow. Past the widest band, and for
+    texts that are short anyway, the whole table is filled in. All ways give the exact distance; it is null if a text is.
+    """
+    bands, width = [], FIRST_BAND
+    while width <= LAST_BAND:
+        fits = F.greatest(F.length(a), F.length(b)) > 2 * width  # a wider band would be the whole table
+        bands.append(F.when(fits, F.nullif(F.levenshtein(a, b, width), F.lit(-1))))
+        width *= 8
+    return F.coalesce(*bands, F.levenshtein(a, b))
 
 
 def text_errors(df: DataFrame, truth: str, found: str, ids: Sequence[str] = ()) -> DataFrame:
     """Edit distance, and character error rate against the truth (NULL for an empty truth).
 
-    A distance costs the product of the lengths, so few rows are much work: with ``ids`` they are dealt out first.
+    A distance costs the length times the distance, so few rows can be much work: with ``ids`` they are dealt out first.
     """
     df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *ids) if ids else df
-    distance = F.levenshtein(truth, found)
-    return df.withColumn("distance", distance).withColumn("cer", F.try_divide(F.col("distance").cast("double"), F.length(truth).cast("double")))
+    return df.withColumn("distance", edit_distance(truth, found)).withColumn("cer", F.try_divide(F.col("distance").cast("double"), F.length(truth).cast("double")))
 
 
 def mncer(truth: DataFrame, pairs: DataFrame, by: Sequence[str], word: Sequence[str]) -> DataFrame:
@@ -73,6 +136,6 @@ def mncer(truth: DataFrame, pairs: DataFrame, by: Sequence[str], word: Sequence[
     ``pairs`` holds ``(by, word, truth_text, found_text)``.
     """
     longer = F.greatest(F.length("truth_text"), F.length("found_text"))
-    scored = pairs.select(*by, *word, F.try_divide(F.levenshtein("truth_text", "found_text").cast("double"), longer.cast("double")).alias("_e"))
+    scored = pairs.select(*by, *word, F.try_divide(edit_distance("truth_text", "found_text").cast("double"), longer.cast("double")).alias("_e"))
     rows = truth.select(*by, *word).join(scored, [*by, *word], "left")
     return rows.groupBy(*by).agg(F.avg(F.coalesce("_e", F.lit(1.0))).alias("mncer"), F.count("_e").alias("matched"), F.count(F.lit(1)).alias("words"))
