@@ -97,6 +97,76 @@ def pair_best(by: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fold
 
 
+def pair_optimal(by: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One-to-one pairs of ``(by, i, j, score)`` with the largest total; only scores above 0 pair.
+
+    Items of ``i`` come in one after another. Each looks for the cheapest chain of changes that ends in a free item of ``j`` or in an item of
+    ``i`` that stays single instead; gains of ``i`` and prices of ``j`` add up to at least the score of every row and to the score itself
+    of every pair, which proves the total to be the largest. A search ends at the first such end, so it stays near its start.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["score"] > 0]
+        i, j = ([_plain(v) for v in rows[c].tolist()] for c in ("i", "j"))
+        group, score = _codes(rows[by])[0].tolist() if len(rows) else [], rows["score"].tolist()
+        left: dict[tuple, int] = {}
+        right: dict[tuple, int] = {}
+        offers: list[list[tuple[int, float, int]]] = []
+        for k in sorted(range(len(rows)), key=lambda k: (group[k], i[k], j[k], -score[k])):
+            a, b = left.setdefault((group[k], i[k]), len(left)), right.setdefault((group[k], j[k]), len(right))
+            if a == len(offers):
+                offers.append([])
+            offers[a].append((b, score[k], k))
+        gain, price = [0.0] * len(left), [0.0] * len(right)
+        taken, owner, chosen = [-1] * len(left), [-1] * len(right), [-1] * len(left)
+
+        def place(start: int) -> None:
+            gain[start] = max(0.0, max(w - price[b] for b, w, _ in offers[start]))
+            limit, single, free = gain[start], start, -1  # the cheapest end so far: the start itself stays single
+            inside, came, front = [(0.0, start)], {}, []
+
+            def look(a: int, far: float) -> None:
+                for b, w, k in offers[a]:
+                    if b not in came and far + gain[a] + price[b] - w < limit:
+                        heapq.heappush(front, (max(far, far + gain[a] + price[b] - w), b, a, k))
+
+            look(start, 0.0)
+            while front and front[0][0] < limit:
+                far, b, a, k = heapq.heappop(front)
+                if b in came:
+                    continue
+                came[b] = (far, a, k)
+                other = owner[b]
+                if other < 0:
+                    limit, free = far, b
+                    break
+                inside.append((far, other))
+                if far + gain[other] < limit:
+                    limit, single = far + gain[other], other
+                look(other, far)
+            for far, a in inside:
+                gain[a] -= max(0.0, limit - far)
+            for b, (far, _, _) in came.items():
+                price[b] += max(0.0, limit - far)
+            b = free
+            if b < 0:
+                if single == start:
+                    return
+                b, taken[single], chosen[single] = taken[single], -1, -1
+            while True:
+                _, a, k = came[b]
+                owner[b], chosen[a] = a, k
+                taken[a], b = b, taken[a]
+                if a == start:
+                    return
+
+        for start in range(len(left)):
+            place(start)
+        return rows.iloc[sorted(k for k in chosen if k >= 0)]
+
+    return fold
+
+
 def drop_steep(by: list[str], low: float, high: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Points of ``(by, seq, x, y)`` that stay when the one with the greatest gain (ties: the earlier) goes, again and again."""
 

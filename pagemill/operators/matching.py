@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.operators.folds import folded, pair_best, sized
+from pagemill.operators.folds import folded, pair_best, pair_optimal, sized
 from pagemill.operators.graphs import COMPONENT, with_component
-from pagemill.operators.ordered import running_sum, scan, with_positions
+from pagemill.operators.ordered import joined_back, running_sum, scan, with_positions
 from pagemill.session import forget, staged
 
 
@@ -206,6 +206,57 @@ def _pair_rounds(live: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "i", "j", "score")
 
 
+def optimal_pairs(scores: DataFrame, by: Sequence[str], tolerance: float = 0.01) -> DataFrame:
+    """One-to-one pairs with the largest total score; rows with a null score or one of 0 or less never pair.
+
+    Groups that fit a task are solved there, exactly; larger groups are split into parts that share no item, and those that fit are solved
+    likewise. Larger parts go through an auction, whose total falls short of the largest by at most
+    ``tolerance`` times the part's top score for each pair; rivals for one item may take ``1 / tolerance`` rounds. Of rows that repeat a
+    pair the best counts.
+    """
+    by = list(by)
+    columns = [*by, "i", "j", "score"]
+    small, live = sized(scores.select(*columns).where("score > 0"), by, "scores")
+    pairs = folded(small, by, pair_optimal(by), columns)
+    if live.isEmpty():
+        return pairs
+    parts, live = sized(with_component(live, by, "i", "j", one_kind=False), [*by, COMPONENT], "scores")
+    pairs = pairs.unionByName(folded(parts, [*by, COMPONENT], pair_optimal([*by, COMPONENT]), columns))
+    return pairs if live.isEmpty() else pairs.unionByName(_auction(live, tolerance).select(*columns))
+
+
+def _auction(live: DataFrame, tolerance: float) -> DataFrame:
+    """Rounds over all parts at once: every waiting item of ``i`` bids for the item of ``j`` that is worth most to it at today's price.
+
+    It bids as much as makes that item worth the same as its second choice (or as staying single), and a step more, so every bid raises a
+    price by a step of ``tolerance`` times the part's top score at least. The highest bid (ties: least ``i``) takes the item, and the owner it
+    had waits again. Who finds nothing of worth stays single for good, since prices only rise.
+    """
+    part = COMPONENT
+    best = F.max(F.struct("score", F.struct(*[c for c in live.columns if c not in (part, "i", "j", "score")]).alias("_rest"))).alias("_best")
+    edges = live.groupBy(part, "i", "j").agg(best).select(part, "i", "j", "_best.score", "_best._rest")
+    edges = staged(joined_back(edges, edges.groupBy(part).agg((F.max("score") * tolerance).alias("_step")), [part]), "offers")
+    held = edges.select(part, "j", "i", F.col("score").alias("price")).limit(0)
+    waiting = staged(edges.select(part, "i").distinct(), "waiting")
+    while not waiting.isEmpty():
+        worth = F.col("score") - F.coalesce("price", F.lit(0.0))
+        priced = edges.join(waiting, [part, "i"], "left_semi").join(held.select(part, "j", "price"), [part, "j"], "left")
+        wanted = priced.select(part, "i", "j", "score", "_step", worth.alias("_worth")).where("_worth > 0")
+        two = wanted.withColumn("_n", F.row_number().over(Window.partitionBy(part, "i").orderBy(F.desc("_worth"), "j"))).where("_n <= 2")
+        of = lambda n, c: F.max(F.when(F.col("_n") == n, F.col(c)))
+        bid = of(1, "score") - F.coalesce(of(2, "_worth"), F.lit(0.0)) + of(1, "_step")
+        bids = staged(two.groupBy(part, "i").agg(of(1, "j").alias("j"), bid.alias("price")), "bids")
+        top = bids.groupBy(part, "j").agg(F.min(F.struct((-F.col("price")).alias("p"), "i")).alias("_b"))
+        won = top.select(part, "j", "_b.i", (-F.col("_b.p")).alias("price"))
+        outbid = held.join(won.select(part, "j"), [part, "j"], "left_semi").select(part, "i")
+        used = [waiting, held, bids]
+        waiting = staged(bids.select(part, "i").join(won.select(part, "i"), [part, "i"], "left_anti").unionByName(outbid), "waiting")
+        held = staged(held.join(won.select(part, "j"), [part, "j"], "left_anti").unionByName(won), "held")
+        for old in used:
+            forget(old)
+    return edges.join(held.select(part, "i", "j"), [part, "i", "j"]).select("i", "j", "score", "_rest.*")
+
+
 def order_matches(df: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Add the 0-based ``rank`` of each match in its sample."""
     return with_positions(staged(df, "matches"), by, order, "rank")

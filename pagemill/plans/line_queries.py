@@ -176,9 +176,7 @@ def _(t):
     return score.select("line_id", *[r6(c).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@query(
-    "a19_series_set_score", "v_poly",
-    """c AS (SELECT line_id, s, seq, x, y * (1 - 0.5 * s) AS y FROM v_poly, range(2) r(s)),
+CURVE_PAIRS = """c AS (SELECT line_id, s, seq, x, y * (1 - 0.5 * s) AS y FROM v_poly, range(2) r(s)),
     ga AS (SELECT line_id, 1 - s AS k, seq, x + 0.1::DOUBLE AS x, y * 0.9::DOUBLE AS y FROM c), pa AS (SELECT line_id, s AS k, seq, x, y FROM c),
     g AS (SELECT *, lag(x) OVER w AS px, lead(x) OVER w AS nx FROM ga WINDOW w AS (PARTITION BY line_id, k ORDER BY seq)),
     p AS (SELECT *, lag(x) OVER w AS px, lead(x) OVER w AS nx FROM pa WINDOW w AS (PARTITION BY line_id, k ORDER BY seq)),
@@ -191,15 +189,36 @@ def _(t):
     s AS (SELECT v.line_id, v.i, v.j, w0, sum((1 - CASE WHEN abs(y) + eps > 0 THEN least(1, abs(y - yi) / (abs(y) + eps)) WHEN y = yi THEN 0 ELSE 1 END) * w) / sum(w) AS v FROM v JOIN e ON v.line_id = e.line_id AND v.j = e.j GROUP BY ALL),
     f AS (SELECT line_id, i, j, max(v) FILTER (w0 = 'r') AS r, max(v) FILTER (w0 = 'p') AS p FROM s GROUP BY ALL),
     h AS (SELECT line_id, i, j, CASE WHEN r + p > 0 THEN 2 * r * p / (r + p) ELSE 0 END AS f1 FROM f),
-    t AS (SELECT line_id, sum(f1) FILTER (i <> j) AS across, sum(f1) FILTER (i = j) AS along, max(f1) FILTER (i <> j) >= max(f1) FILTER (i = j) AS first FROM h GROUP BY line_id)
+"""
+
+
+def noisy_curves(t):
+    """Two curves per line, and a prediction of both under swapped names, moved a little."""
+    gt = t.poly.select("line_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("series"), "x", "y").withColumn("y", F.col("y") * (1 - 0.5 * F.col("series")))
+    return gt.select("line_id", (1 - F.col("series")).alias("series"), (F.col("x") + 0.1).alias("x"), (F.col("y") * 0.9).alias("y")), gt
+
+
+@query(
+    "a19_series_set_score", "v_poly",
+    f"""{CURVE_PAIRS}    t AS (SELECT line_id, sum(f1) FILTER (i <> j) AS across, sum(f1) FILTER (i = j) AS along, max(f1) FILTER (i <> j) >= max(f1) FILTER (i = j) AS first FROM h GROUP BY line_id)
     SELECT line_id, round(CASE WHEN first THEN across ELSE along END / 2, 6) AS score_6a, round(CASE WHEN first THEN across ELSE along END / 2, 6) AS score_6b FROM t""",
 )
 def _(t):
-    gt = t.poly.select("line_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("series"), "x", "y").withColumn("y", F.col("y") * (1 - 0.5 * F.col("series")))
-    pred = gt.select("line_id", (1 - F.col("series")).alias("series"), (F.col("x") + 0.1).alias("x"), (F.col("y") * 0.9).alias("y"))
+    pred, gt = noisy_curves(t)
     return ms.series_set_score(pred, gt, ["line_id"]).select("line_id", r6("score_6a").alias("score_6a"), r6("score_6b").alias("score_6b"))
 
 
+@query(
+    "a19_series_set_optimal", "v_poly",
+    f"""{CURVE_PAIRS}    t AS (SELECT line_id, greatest(coalesce(sum(f1) FILTER (i <> j), 0), coalesce(sum(f1) FILTER (i = j), 0)) AS total FROM h GROUP BY line_id)
+    SELECT line_id, round(total / 2, 6) AS score_6a, round(total / 2, 6) AS score_6b FROM t""",
+)
+def _(t):
+    pred, gt = noisy_curves(t)
+    score = ms.series_set_score(pred, gt, ["line_id"], pairing=mt.optimal_pairs)
+    return score.select("line_id", r6("score_6a").alias("score_6a"), r6("score_6b").alias("score_6b"))
+
+
 @query(
     "a21_interval_means", "",
     """s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS step FROM events)
@@ -410,7 +429,31 @@ def _(t):
     return pairs.select("block", "i", "j", r6("score").alias("score"))
 
 
-@query("g06_eliminate", "v_poly")
+@query(
+    "g05_optimal_total", "v_sim",
+    """r AS (SELECT block, dense_rank() OVER (PARTITION BY block ORDER BY i) - 1 AS a, dense_rank() OVER (PARTITION BY block ORDER BY j) - 1 AS b, sim FROM v_sim),
+    o AS (SELECT block, a, CAST(1 AS BIGINT) << b AS bit, sim FROM r WHERE sim > 0 UNION ALL SELECT DISTINCT block, a, CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM r),
+    d(block, a, used, total) AS (SELECT DISTINCT block, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE) FROM r
+      UNION ALL SELECT d.block, d.a + 1, d.used | o.bit, max(d.total + o.sim) FROM d JOIN o ON o.block = d.block AND o.a = d.a AND d.used & o.bit = 0 GROUP BY d.block, d.a, d.used | o.bit)
+    SELECT block, round(max(total), 6) + 0.0 AS total FROM d GROUP BY block""",
+)
+def _(t):
+    pairs = mt.optimal_pairs(t.sim.withColumnRenamed("sim", "score"), ["block"])
+    return t.sim.select("block").distinct().join(pairs.groupBy("block").agg(F.sum("score").alias("_s")), "block", "left").select("block", r6(F.coalesce("_s", F.lit(0.0))).alias("total"))
+
+
+STEEP = "coalesce(CAST(({b}.y - {a}.y) / nullif({b}.x - {a}.x, 0) NOT BETWEEN -60 AND 60 AS INT), 0)"
+STEEP_GAIN = " ".join((STEEP.format(a="pts[k - 1]", b="pts[k]"), "+", STEEP.format(a="pts[k]", b="pts[k + 1]"), "-", STEEP.format(a="pts[k - 1]", b="pts[k + 1]")))
+
+
+@query(
+    "g06_eliminate", "v_poly",
+    f"""g(line_id, n, pts) AS (SELECT line_id, 0, list({{'seq': seq, 'x': x, 'y': y}} ORDER BY seq) FROM v_poly GROUP BY line_id
+      UNION ALL SELECT line_id, n + 1, list_concat(pts[1:gone - 1], pts[gone + 1:len(pts)])
+      FROM (SELECT *, list_position(gains, list_max(gains)) AS gone FROM (SELECT *, list_transform(range(1, len(pts) + 1), lambda k: {STEEP_GAIN}) AS gains FROM g)) WHERE list_max(gains) > 0),
+    l AS (SELECT line_id, unnest(arg_max(pts, n)) AS p FROM g GROUP BY line_id)
+    SELECT line_id, p.seq AS seq, p.x AS x, p.y AS y FROM l""",
+)
 def _(t):
     return gr.eliminate(t.poly, ["line_id"], -60.0, 60.0).select("line_id", "seq", "x", "y")
 

@@ -269,7 +269,7 @@ def _(t):
     iou = fn.box_iou(bx.A_BOX, bx.B_BOX)
     texts = overlaps.select("doc_id", F.col("a_id").alias("i"), F.col("b_id").alias("j"), iou.alias("score"), F.col("a_text").alias("truth_text"), F.col("b_text").alias("found_text"))
     texts = staged(texts, "overlaps")
-    pairs = mt.greedy_pairs(texts.where("score > 1e-10"), ["doc_id"]).join(texts.drop("score"), ["doc_id", "i", "j"])
+    pairs = mt.optimal_pairs(texts.where("score > 1e-10"), ["doc_id"]).join(texts.drop("score"), ["doc_id", "i", "j"])
     scores = tx.mncer(truth, pairs.withColumnRenamed("i", "id"), ["doc_id"], ["id"])
     return scores.select("doc_id", r6("mncer").alias("mncer"), "matched", "words")
 
