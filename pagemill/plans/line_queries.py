@@ -702,6 +702,17 @@ def _(t):
     return t.spark.read.schema(source.schema).parquet(sink).select(*source.columns)
 
 
+@query("i01_ledger_batches", "", "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN 2 WHEN event_id % 5 = 3 THEN 1 ELSE 0 END::BIGINT AS ingest_batch FROM events")
+def _(t):
+    """Three deliveries with overlaps; every sample stays in the batch that brought it first."""
+    rows = t.events.select("event_id", "user_id")
+    checkpoint, sink, inbox = (new_folder(t.spark, name) for name in ("ledger-state", "ledger-sink", "ledger-inbox"))
+    for last in (2, 3, 4):
+        rows.where(F.pmod("event_id", F.lit(5)).between(last - 2, last)).write.mode("append").parquet(inbox)
+        st.ingest_stream(st.file_stream(t.spark, inbox, rows.schema), "event_id", checkpoint, sink, 64)
+    return t.spark.read.schema("event_id long, ingest_batch long").parquet(sink)
+
+
 @query("i02_running_class_iou", "v_class", f"{IOU_BASE} {IOU_COLUMNS} FROM s")
 def _(t):
     documents = st.table_stream(t.spark, f"{t.folder}/documents.parquet")

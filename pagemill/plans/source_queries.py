@@ -15,6 +15,28 @@ def _(t):
     return t.manifest.withColumn("doc_key", F.concat_ws("_", "host", "key"))
 
 
+@query("s01_scan_files", "v_manifest", """SELECT DISTINCT host, coalesce(nullif(lang, ''), 'none') AS lang, 'lang=' || coalesce(nullif(lang, ''), 'none') AS parent FROM v_manifest""")
+def _(t):
+    """Pages are laid out as one file per host and language, and the files are listed with the keys their paths tell."""
+    root = new_folder(t.spark, "scan")
+    pages = t.manifest.select("sample", "host", F.coalesce(F.nullif("lang", F.lit("")), F.lit("none")).alias("lang"))
+    pages.repartition("host", "lang").write.partitionBy("host", "lang").parquet(root)
+    files = mf.scan_manifest(t.spark, root, "*.parquet", {"host": "/host=([^/]+)/", "lang": "/lang=([^/]+)/"})
+    parent = F.regexp_extract(mf.parent_stem_key("path"), "^(.*)_part-", 1)
+    return files.where("length > 0").select("host", "lang", parent.alias("parent")).distinct()
+
+
+@query(
+    "s01_parent_stem", "",
+    r"""SELECT page_id AS sample, regexp_extract(path, '([^/]+)/[^/]+$', 1) || '_' || regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[^.]*$', '') AS doc_key
+    FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages) p""",
+)
+def _(t):
+    """For documents named by their folder: the key is folder and file name without its ending."""
+    path = F.regexp_replace("url", "[?#].*$", "")
+    return t.pages.select(F.col("page_id").alias("sample"), mf.parent_stem_key(path).alias("doc_key"))
+
+
 LINE_COLUMNS = """SELECT doc_id, 'doc/' || doc_id AS image_path, 'text_line' AS type, doc_id || '-' || line_no AS id, line_no, x0, y AS y0, x1,
     CASE WHEN x0 IS NOT NULL THEN 2 END AS n_points, CASE WHEN x0 IS NOT NULL THEN 10.0::DOUBLE END AS width, text FROM v_lines"""
 
