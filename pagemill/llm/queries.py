@@ -78,11 +78,23 @@ p AS (
   SELECT r, s, n, array_to_string(t[s : s + n - 1], ' ') AS win
   FROM (SELECT r, t, unnest(generate_series(1, len(t))) AS s FROM d), (SELECT DISTINCT n FROM w) WHERE s + n - 1 <= len(t)),
 m AS (SELECT r, item, s, p.n FROM p JOIN w USING (n, win)),
+sg AS (
+  SELECT DISTINCT item, list_sort(list_distinct(t[s : s + 12])) AS seg
+  FROM (SELECT item, t, unnest(list_distinct(generate_series(1, greatest(len(t) - 12, 1), 13) || [greatest(len(t) - 12, 1)])) AS s FROM i WHERE len(t) > 0)),
+st AS (SELECT row_number() OVER () AS sid, item, seg, CAST(ceil(round(0.8 * len(seg), 9)) AS INT) AS need FROM sg),
+su AS (SELECT sid, need, unnest(seg) AS term FROM st),
+dw AS (SELECT r, unnest(generate_series(1, len(t))) AS pos, unnest(t) AS term FROM d),
+q AS (SELECT r, sid FROM (SELECT DISTINCT r, term FROM dw) JOIN su USING (term) GROUP BY r, sid, need HAVING count(*) >= need),
+v AS (
+  SELECT r, sid, need, count(DISTINCT term) OVER (PARTITION BY r, sid ORDER BY pos RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n_in
+  FROM q JOIN su USING (sid) JOIN dw USING (r, term)),
+z AS (SELECT r, count(DISTINCT item) AS n_near FROM v JOIN st USING (sid) WHERE n_in >= v.need GROUP BY r),
 h AS (SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(generate_series(s, s + n - 1)) AS pos FROM m) GROUP BY r),
 g AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY r)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r)"""
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(t) AS contaminated,
+  CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN g USING (r) LEFT JOIN z USING (r)"""
 
 
 @query

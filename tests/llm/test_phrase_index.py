@@ -1,4 +1,4 @@
-"""Passages by the index against a plain search, blocks of items, edge cases."""
+"""Passages and near matches by the index against a plain search, terms beyond the broadcast bound, edge cases."""
 
 import hashlib
 import random
@@ -14,6 +14,18 @@ def words(text):
     return [w for w in re.split("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if c < "\x80" else c for c in text or "")) if w]
 
 
+def near_items(d, items, width):
+    out = set()
+    for item_id, passage, *_ in items:
+        t = words(passage)
+        last = max(len(t) - width, 0)
+        for s in {*range(0, last + 1, width), last} if t else ():
+            distinct = set(t[s : s + width])
+            if any(len(distinct & set(d[p : p + width])) * 5 >= len(distinct) * 4 for p in range(len(d))):
+                out.add(str(item_id))
+    return out
+
+
 def brute(docs, items, width=13):
     out = []
     for doc_id, text, *_ in docs:
@@ -27,7 +39,7 @@ def brute(docs, items, width=13):
                         hit |= set(range(p, p + len(w)))
                         named.add(str(item_id))
         sha = hashlib.sha256(",".join(sorted(named)).encode()).hexdigest()
-        out.append((doc_id, len(d), len(hit), len(named), sha, bool(hit) and 20 * len(hit) >= len(d)))
+        out.append((doc_id, len(d), len(hit), len(named), sha, bool(hit) and 20 * len(hit) >= len(d), len(near_items(d, items, width))))
     return sorted(out, key=str)
 
 
@@ -43,8 +55,9 @@ def test_random_texts(spark, monkeypatch):
     kept = sorted(tuple(r) for r in P.clean_documents(d, i, 3).fillna(-1).collect())
     bad = [r[5] for r in sorted(brute(docs, items, 3), key=str)]
     assert len(kept) == bad.count(False)
-    monkeypatch.setattr(P, "BLOCK_TERMS", 60)  # several blocks of items give the same
-    assert sorted(map(tuple, P.contamination(d, i, 3).collect()), key=str) == brute(docs, items, 3)
+    monkeypatch.setattr(P, "BROADCAST_BYTES", 60)  # terms beyond the bound give the same
+    for width in (3, 13):
+        assert sorted(map(tuple, P.contamination(d, i, width).collect()), key=str) == brute(docs, items, width)
 
 
 def test_long_text_and_empty_tables(spark):
@@ -61,8 +74,30 @@ def test_long_text_and_empty_tables(spark):
 
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon"
-    d = spark.createDataFrame([(1, "x epsilon of delta and gamma with beta alpha y", "", "", 0), (2, "alpha q r s beta", "", "", 0)], DOCS)
+    texts = ["x epsilon of delta and gamma with beta alpha y", "alpha q r s beta", "beta gamma delta epsilon", "alpha beta gamma x delta" + " y" * 9 + " epsilon"]
+    d = spark.createDataFrame([(k + 1, t, "", "", 0) for k, t in enumerate(texts)], DOCS)
     i = spark.createDataFrame([(1, item, "")], ITEMS)
-    stored, anchored = P.index(d, i)
-    assert [r._doc for r in P.proximity_matches(stored, anchored, 0.8).collect()] == ["1"]
-    assert P.phrase_matches(stored, anchored).count() == 0
+    found = P.index(d, i)
+    near = {(r._doc, r.share) for r in P.proximity_matches(found.postings, found.segments).collect()}
+    assert near == {("1", 1.0), ("3", 0.8), ("4", 0.8)}
+    assert P.phrase_matches(found.postings, found.windows).count() == 0
+
+
+def test_near_copies_of_long_items(spark):
+    """Two words of thirteen replaced, the rarest ones too, or all put in another order, are found; three are not."""
+    item = [f"rare{k}" for k in range(3)] + [f"w{k}" for k in range(10)]
+    swap = lambda *at: " ".join("zz" if k in at else w for k, w in enumerate(item))
+    texts = [swap(0, 1), swap(0, 1, 2), swap(5), " ".join(reversed(item)), " ".join(item[3:]) * 5]
+    d = spark.createDataFrame([(k, f"so {t} on", "", "", 0) for k, t in enumerate(texts)], DOCS)
+    i = spark.createDataFrame([(1, " ".join(item), "")], ITEMS)
+    assert {r.doc_id: r.n_near for r in P.contamination(d, i).collect()} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_windows_of_one_common_term(spark):
+    """A posting meets windows as a whole, so many windows of one common term make no more rows than there are matches."""
+    run = "a " * 400
+    items = [(k, "a " * k + f"b{k} " + "a " * 12, "") for k in range(1, 12)] + [(50, "a " * 13, "")]
+    d = spark.createDataFrame([(1, run, "", "", 0), (2, run + "b3 " + run, "", "", 0)], DOCS)
+    found = P.index(d, spark.createDataFrame(items, ITEMS), near=None)
+    matches = P.phrase_matches(found.postings, found.windows)
+    assert {(r.item, r._doc): r["count"] for r in matches.groupBy("item", "_doc").count().collect()} == {("50", "1"): 388, ("50", "2"): 776, ("3", "2"): 4}
