@@ -76,10 +76,10 @@ def item_segments(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return rows.select("item", F.explode(F.transform(starts, lambda s: F.array_sort(F.array_distinct(F.slice("_t", s, width))))).alias("segment")).distinct()
 
 
-def few(rows: DataFrame) -> bool:
-    """Whether the distinct terms of a staged table may be broadcast."""
-    size, n = rows.agg(F.sum(F.octet_length("term")), F.count(F.lit(1))).first()
-    return (size or 0) + 64 * n <= BROADCAST_BYTES
+def few(rows: DataFrame, more: Column | None = None) -> bool:
+    """Whether the distinct terms of a table, and ``more`` bytes in each row, may be broadcast."""
+    each = F.octet_length("term") + 64 + (F.lit(0) if more is None else more)
+    return (rows.agg(F.sum(each)).first()[0] or 0) <= BROADCAST_BYTES
 
 
 def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -125,6 +125,8 @@ def phrase_matches(stored: DataFrame, anchored: DataFrame) -> DataFrame:
     """Exact matches: ``item``, document key, ``start``, ``length``."""
     # offset and length of the windows of a term: at most width * width of them
     shapes = anchored.groupBy("term").agg(F.collect_set(F.struct("at", F.size("window").alias("length"))).alias("_s"))
+    # a common term has many postings, so they are shuffled by term only where the terms are too many to broadcast
+    shapes = F.broadcast(shapes) if few(shapes, 16 * F.size("_s")) else shapes
     shifted = stored.join(shapes, "term").select("term", *KEY, "pos", "before", "after", F.inline("_s"))
     left, right = F.col("at"), F.col("length") - F.col("at") - 1
     shifted = shifted.where((F.size("before") >= left) & (F.size("after") >= right))
