@@ -16,18 +16,22 @@ from pagemill.session import forget, staged
 CONTRACT_ROWS = 1 << 19
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    """Replace edges by (node, least node connected by them)."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a):]
-    label = np.arange(len(nodes))
+def least_connected(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the least node that the edges connect it to."""
+    label = np.arange(n)
     while True:
         lu, lv = label[u], label[v]
         if np.array_equal(lu, lv):
-            break
+            return label
         np.minimum.at(label, np.maximum(lu, lv), np.minimum(lu, lv))
         while not np.array_equal(label, label[label]):
             label = label[label]
+
+
+def _stars(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Replace edges by (node, least node connected by them)."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = least_connected(flat[: len(a)], flat[len(a):], len(nodes))
     moved = label != np.arange(len(nodes))
     return pd.DataFrame({"u": nodes[moved], "v": nodes[label[moved]]})
 

@@ -2,13 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+
+from pagemill.operators.graphs import least_connected
+from pagemill.operators.ordered import neighbours, running_max, scan, with_positions
+from pagemill.session import staged
 
 OVERLAP = 0.9
 GAP = 1.2
+INTS = ArrayType(IntegerType())
+
+
+@F.pandas_udf(StructType().add("word_no", INTS).add("start", INTS).add("length", INTS))
+def _cuts(texts: pd.Series) -> pd.DataFrame:
+    found: list[tuple] = []
+    for text in texts:
+        if text is None:
+            found.append((None, None, None))
+            continue
+        ends = np.flatnonzero(np.append(np.frombuffer(text.encode("utf-32-le"), np.uint32), 32) == 32).astype(np.int32)
+        starts = np.append(np.int32(0), ends[:-1] + np.int32(1))
+        kept = np.flatnonzero(ends > starts).astype(np.int32)
+        found.append((kept, starts[kept], (ends - starts)[kept]))
+    return pd.DataFrame(found, columns=["word_no", "start", "length"])
+
+
+def with_cuts(lines: DataFrame, text: str = "text") -> DataFrame:
+    """Add the arrays ``word_no``, ``start`` and ``length`` of the words of each line: pieces between blanks, in characters, empty ones left out.
+
+    Where a word starts follows from its line alone, so no rows move.
+    """
+    return lines.withColumn("_cuts", _cuts(text)).select("*", "_cuts.*").drop("_cuts")
+
+
+def line_words(lines: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """One row per word of a line: ``(keep, word_no, start, text)``."""
+    zipped = F.arrays_zip("word_no", "start", F.array_remove(F.split(text, " "), "").alias("text"))
+    return with_cuts(lines.select(*keep, text), text).select(*keep, F.inline(zipped)).toDF(*keep, "word_no", "start", "text")
 
 
 def word_pairs(words: DataFrame, by: Sequence[str], word: Sequence[str]) -> DataFrame:
@@ -48,6 +84,90 @@ def word_pairs(words: DataFrame, by: Sequence[str], word: Sequence[str]) -> Data
     return pairs.where(close & (iou >= OVERLAP)).select(*by, *[f"a_{w}" for w in word], *[f"b_{w}" for w in word], gap.alias("gap"))
 
 
+SIDES = ("left", "top", "width", "height")
+
+
+def split_apart(lines: DataFrame, by: Sequence[str], line: str) -> tuple[DataFrame, DataFrame | None]:
+    """Lines whose height range no other line of the group touches, and the others (None: there are none).
+
+    ``lines`` has the boxes of its words as arrays ``left``, ``top``, ``width`` and ``height``. Words of lines that lie apart follow words of their
+    own line only. Just one row per line is moved to find out.
+    """
+    by = list(by)
+    bottom = F.array_max(F.zip_with("top", "height", lambda t, h: t + h))
+    extents = staged(lines.select(*by, line, F.array_min("top").alias("_y0"), bottom.alias("_y1")).where("_y0 IS NOT NULL"), "extents")
+    rows = neighbours(with_positions(extents, by, ["_y0", line], "_pos"), by, "_pos", nxt=["_y0"])
+    rows = scan(rows, by, "_pos", {"_above": running_max(F.col("_y1"), inclusive=False)})
+    near = staged(rows.where("_above > _y0 OR next__y0 < _y1").select(*by, line), "near")
+    if near.isEmpty():
+        return lines, None
+    return lines.join(near, [*by, line], "left_anti"), lines.join(near, [*by, line], "left_semi")
+
+
+def _following(left: np.ndarray, top: np.ndarray, width: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words of a line that follow each other (see ``word_pairs``), and the gaps between them."""
+    order = np.argsort(left, kind="stable")
+    right, bottom = left + width, top + height
+    reach = right + (height + height / OVERLAP) / 2 * GAP * (1 + 1e-9)
+    first, last = np.searchsorted(left[order], right, "right"), np.searchsorted(left[order], reach, "right")
+    n = np.maximum(last - first, 0)
+    a = np.repeat(np.arange(len(left)), n)
+    b = order[np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
+    gap = left[b] - right[a]
+    inter = np.maximum(0.0, np.minimum(bottom[a], bottom[b]) - np.maximum(top[a], top[b]))
+    kept = (gap > 0) & (gap < GAP * (height[a] + height[b]) / 2) & (inter / (height[a] + height[b] - inter) >= OVERLAP)
+    return a[kept], b[kept], gap[kept]
+
+
+def _each_line(*arrays: pd.Series) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for word, *sides in zip(*arrays, strict=True):
+            yield np.asarray(word, dtype=np.int32), _following(*[np.asarray(s, dtype=float) for s in sides])
+
+
+@F.pandas_udf(StructType().add("a", INTS).add("b", INTS).add("gap", ArrayType(DoubleType())))
+def _line_pairs(word: pd.Series, left: pd.Series, top: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+    found = [(no[a], no[b], gap) for no, (a, b, gap) in _each_line(word, left, top, width, height)]
+    return pd.DataFrame(found, columns=["a", "b", "gap"])
+
+
+@F.pandas_udf(INTS)
+def _line_runs(word: pd.Series, left: pd.Series, top: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    first, a_ends, b_ends, numbers = 0, [], [], []
+    for no, (a, b, _) in _each_line(word, left, top, width, height):
+        rank = np.empty(len(no), dtype=np.int64)
+        rank[np.argsort(no, kind="stable")] = np.arange(first, first + len(no))
+        a_ends.append(rank[a])
+        b_ends.append(rank[b])
+        numbers.append((no, rank, first))
+        first += len(no)
+    label = least_connected(np.concatenate(a_ends), np.concatenate(b_ends), first) if numbers else []
+    return pd.Series([np.sort(no)[label[rank] - start] for no, rank, start in numbers], dtype=object)
+
+
+def in_boxes(lines: DataFrame, word: str) -> DataFrame:
+    """The words of lines as rows."""
+    zipped = F.arrays_zip(word, *SIDES)
+    return lines.select(*[c for c in lines.columns if c not in (word, *SIDES)], F.inline(zipped))
+
+
+def line_word_pairs(lines: DataFrame, by: Sequence[str], line: str, word: str) -> DataFrame:
+    """``word_pairs`` of words that come as arrays of their lines (see ``split_apart``); same rows.
+
+    Lines that lie apart are done inside their row; only the words of the others meet in cells.
+    """
+    apart, rest = split_apart(lines.where(F.size(word) > 0), by, line)
+    found = apart.withColumn("_p", _line_pairs(word, *SIDES)).select(*by, line, F.inline(F.arrays_zip("_p.a", "_p.b", "_p.gap"))).toDF(*by, line, "a", "b", "gap")
+    pairs = found.select(*by, F.col(line).alias(f"a_{line}"), F.col("a").alias(f"a_{word}"), F.col(line).alias(f"b_{line}"), F.col("b").alias(f"b_{word}"), "gap")
+    return pairs if rest is None else pairs.unionByName(word_pairs(in_boxes(rest, word), by, [line, word]))
+
+
+def line_runs(apart: DataFrame, by: Sequence[str], line: str, word: str) -> DataFrame:
+    """Runs of words that follow each other, in lines that lie apart: ``(by, line, word, first)`` with the least word of the run."""
+    zipped = F.arrays_zip(word, "_first")
+    return apart.withColumn("_first", _line_runs(word, *SIDES)).select(*by, line, F.inline(zipped)).toDF(*by, line, word, "first")
+
+
 def bounds(words: DataFrame, by: Sequence[str]) -> DataFrame:
     """Union box of the words of a group as mid line and height."""
     box = words.groupBy(*by).agg(

@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.operators.ordered import running_sum, scan, with_positions
+from pagemill.operators.ordered import with_positions
+from pagemill.operators.words import line_words, with_cuts
 from pagemill.session import SPREAD, prepare
 from pagemill.sources.manifest import derive_keys
 
@@ -62,16 +63,25 @@ class Tables:
 
     @cached_property
     def words(self) -> DataFrame:
-        parts = self.textlines.select("doc_id", "line_no", F.posexplode(F.split("text", " ")).alias("word_no", "text"))
-        placed = scan(parts, ["doc_id", "line_no"], "word_no", {"_offset": running_sum(F.length("text") + 1, inclusive=False)})
-        return placed.where(F.length("text") > 0).select(
+        return line_words(self.textlines, ["doc_id", "line_no"]).select(
             "doc_id", "line_no", "word_no", "text",
-            (F.col("_offset") * 6.0).alias("left"),
+            (F.col("start") * 6.0).alias("left"),
             (F.col("line_no") * 20.0).alias("top"),
             (F.length("text") * 6.0).alias("width"),
             F.lit(10.0).alias("height"),
         )
 
+    @cached_property
+    def word_lines(self) -> DataFrame:
+        """The boxes of the words as arrays of their line."""
+        times = lambda c, factor: F.transform(c, lambda v: v * factor)
+        each = lambda value: F.array_repeat(value, F.size("word_no"))
+        return with_cuts(self.textlines).select(
+            "doc_id", "line_no", "word_no",
+            times("start", 6.0).alias("left"), each(F.col("line_no") * 20.0).alias("top"),
+            times("length", 6.0).alias("width"), each(F.lit(10.0)).alias("height"),
+        )
+
     @cached_property
     def line_rows(self) -> DataFrame:
         """One row per text line with its mid line as points; no words, no line."""
