@@ -411,7 +411,7 @@ def _(t):
 )
 def _(t):
     lines = t.boxes.select("sample", "box_id", "x0", "y0", (F.col("x0") + 4 + F.col("box_id")).alias("x1"), "y1")
-    return bx.suppress_contained(lines, ["sample"], "box_id", 0.9).select("sample", "box_id")
+    return bx.suppress_contained(lines, ["sample"], "box_id", 0.9, height=10.0).select("sample", "box_id")
 
 
 @query(
