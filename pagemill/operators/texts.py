@@ -23,7 +23,7 @@ def text_overlap_join(
 ) -> DataFrame:
     """Id pairs of texts that share a run of at least ``n`` characters; ``a`` is the smaller side.
 
-    With ``by`` only texts of the same sample meet, which makes short runs useful.
+    With ``by`` only texts of the same sample meet, which makes short runs useful; samples without a text of ``a`` are left out first.
 
     Two texts share such a run exactly if they share an n-gram, so this is an equi-join
     on n-grams: every joined row is a true result, none is a mere candidate. Repeats of a pair
@@ -31,6 +31,8 @@ def text_overlap_join(
     """
     by = list(by)
     known = _probe_side(substring_grams(a, a_text, n, [*by, *a_id]).select(*by, *a_id, "gram").distinct())
+    if by:
+        b = b.join(known.select(*by).distinct(), by, "left_semi")
     grams = substring_grams(b, b_text, n, [*by, *b_id]).select(*by, *b_id, "gram").distinct() if by else substring_grams(b, b_text, n, b_id)
     return grams.join(known, [*by, "gram"]).select(*by, *a_id, *b_id).distinct()
 

@@ -4,6 +4,7 @@ import math
 
 from pagemill.operators import boxes as bx
 from pagemill.operators import measures as ms
+from pagemill.operators import texts as tx
 from pagemill.operators.matching import optimal_pairs
 
 
@@ -29,3 +30,11 @@ def test_share_of_lines_of_one_height(spark):
     """Nine tenths of 13 by 10 are 117.00000000000001 when multiplied from the left, and 117 are shared."""
     df = spark.createDataFrame([(1, 0, 0.0, 0.0, 20.0, 10.0), (1, 1, 0.0, 1.0, 13.0, 11.0)], "s int, k int, x0 double, y0 double, x1 double, y1 double")
     assert {r.k for r in bx.suppress_contained(df, ["s"], "k", 0.9, height=10.0).collect()} == {0, 1}
+
+
+def test_samples_without_a_partner_are_left_out_first(spark):
+    a = spark.createDataFrame([(1, "abcd")], "s int, a string")
+    b = spark.createDataFrame([(1, 0, "xbcdx"), (1, 1, "xx"), (2, 0, "abcd")], "s int, m int, b string")
+    got = tx.text_overlap_join(a, b, 3, [], ["m"], by=["s"])
+    assert [tuple(r) for r in got.collect()] == [(1, 0)]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
