@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagemill.operators.words import substring_grams
+from pagemill.operators.words import gram_windows, substring_grams
 from pagemill.session import staged
 
 
+STEP = 4  # n-grams that share one first look-up
+
+
 def _probe_side(grams: DataFrame) -> DataFrame:
     """Grams to look up, staged: Spark knows the bytes of a staged table and broadcasts it only below its own limit."""
     return staged(grams, "grams")
@@ -26,14 +29,22 @@ def text_overlap_join(
     With ``by`` only texts of the same sample meet, which makes short runs useful; samples without a text of ``a`` are left out first.
 
     Two texts share such a run exactly if they share an n-gram, so this is an equi-join
-    on n-grams: every joined row is a true result, none is a mere candidate. Repeats of a pair
+    on n-grams: every joined row is a true result, none is a mere candidate. Without ``by``, of each ``STEP`` neighbouring n-grams of
+    ``b`` only the characters they have in common are looked up first, which leaves out most places at a fraction of the look-ups. Repeats of a pair
     are combined in the tasks before the last shuffle.
     """
     by = list(by)
     known = _probe_side(substring_grams(a, a_text, n, [*by, *a_id]).select(*by, *a_id, "gram").distinct())
     if by:
         b = b.join(known.select(*by).distinct(), by, "left_semi")
-    grams = substring_grams(b, b_text, n, [*by, *b_id]).select(*by, *b_id, "gram").distinct() if by else substring_grams(b, b_text, n, b_id)
+        grams = substring_grams(b, b_text, n, [*by, *b_id]).select(*by, *b_id, "gram").distinct()
+    elif n >= 2 * STEP:
+        cores = _probe_side(substring_grams(a, a_text, n - STEP + 1, []).select(F.col("gram").alias("core")).distinct())
+        near = gram_windows(b, b_text, n, STEP, b_id).join(cores, "core", "left_semi")
+        places = near.select(*b_id, "window", F.explode(F.sequence(F.lit(0), F.length("window") - n)).alias("_i"))
+        grams = places.select(*b_id, F.substr(F.col("window"), F.col("_i") + 1, F.lit(n)).alias("gram"))
+    else:
+        grams = substring_grams(b, b_text, n, b_id)
     return grams.join(known, [*by, "gram"]).select(*by, *a_id, *b_id).distinct()
 
 

@@ -218,3 +218,17 @@ def substring_grams(df: DataFrame, text: str, n: int, keep: Sequence[str], block
     blocks = blocks.select(*keep, "_start", F.substr(F.col(text), F.col("_start") + 1, F.lit(block + n - 1)).alias("_part"))
     places = blocks.select("*", F.explode(F.sequence(F.lit(0), F.length("_part") - n)).alias("_i"))
     return places.select(*keep, (F.col("_start") + F.col("_i")).alias("pos"), F.substr(F.col("_part"), F.col("_i") + 1, F.lit(n)).alias("gram"))
+
+
+def gram_windows(df: DataFrame, text: str, n: int, step: int, keep: Sequence[str], block: int = 64) -> DataFrame:
+    """Pieces of a text that hold ``step`` n-grams each, with the ``n - step + 1`` characters that all of these have in common.
+
+    Every n-gram of the text lies in one piece, rows ``(keep, window, core)``; ``block`` is a multiple of ``step``.
+    """
+    starts = F.explode(F.sequence(F.lit(0), F.length(text) - n, F.lit(block))).alias("_start")
+    blocks = df.where(F.length(text) >= n).select(*keep, text, starts)
+    blocks = blocks.select(*keep, F.substr(F.col(text), F.col("_start") + 1, F.lit(block + n + step - 2)).alias("_part"))
+    last = F.least(F.lit(block - step), F.length("_part") - n)
+    places = blocks.select(*keep, "_part", F.explode(F.sequence(F.lit(0), last, F.lit(step))).alias("_i"))
+    core = F.substr(F.col("_part"), F.col("_i") + step, F.lit(n - step + 1)).alias("core")
+    return places.select(*keep, F.substr(F.col("_part"), F.col("_i") + 1, F.lit(n + step - 1)).alias("window"), core)

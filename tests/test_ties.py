@@ -1,10 +1,12 @@
 """Undefined means, and shares at their limit."""
 
 import math
+import random
 
 from pagemill.operators import boxes as bx
 from pagemill.operators import measures as ms
 from pagemill.operators import texts as tx
+from pagemill.operators import words as wd
 from pagemill.operators.matching import optimal_pairs
 
 
@@ -38,3 +40,13 @@ def test_samples_without_a_partner_are_left_out_first(spark):
     got = tx.text_overlap_join(a, b, 3, [], ["m"], by=["s"])
     assert [tuple(r) for r in got.collect()] == [(1, 0)]
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_hold_every_gram_once(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("abä😀") for _ in range(k)) for k in (0, 11, 12, 13, 15, 16, 63, 64, 65, 75, 76, 79, 80, 140, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    rows = wd.gram_windows(df, "text", 12, 4, ["k"]).collect()
+    assert all(r.core == r.window[3:12] for r in rows)
+    got = sorted((r.k, r.window[i : i + 12]) for r in rows for i in range(len(r.window) - 11))
+    assert got == sorted((k, t[i : i + 12]) for k, t in enumerate(texts) for i in range(len(t) - 11))
