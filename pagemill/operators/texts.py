@@ -148,7 +148,12 @@ def mncer(truth: DataFrame, pairs: DataFrame, by: Sequence[str], word: Sequence[
 
     ``pairs`` holds ``(by, word, truth_text, found_text)``.
     """
+    found = pairs.select(*by, *word, "truth_text", "found_text")
+    return paired_mncer(truth.select(*by, *word).join(found, [*by, *word], "left"), by)
+
+
+def paired_mncer(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same of truth words that carry the text of their partner: rows ``(by, truth_text, found_text)``."""
     longer = F.greatest(F.length("truth_text"), F.length("found_text"))
-    scored = pairs.select(*by, *word, F.try_divide(edit_distance("truth_text", "found_text").cast("double"), longer.cast("double")).alias("_e"))
-    rows = truth.select(*by, *word).join(scored, [*by, *word], "left")
-    return rows.groupBy(*by).agg(F.avg(F.coalesce("_e", F.lit(1.0))).alias("mncer"), F.count("_e").alias("matched"), F.count(F.lit(1)).alias("words"))
+    scored = rows.select(*by, F.try_divide(edit_distance("truth_text", "found_text").cast("double"), longer.cast("double")).alias("_e"))
+    return scored.groupBy(*by).agg(F.avg(F.coalesce("_e", F.lit(1.0))).alias("mncer"), F.count("_e").alias("matched"), F.count(F.lit(1)).alias("words"))

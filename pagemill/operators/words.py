@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
+from pagemill.operators.folds import pair_optimal
 from pagemill.operators.graphs import least_connected
 from pagemill.operators.ordered import neighbours, running_max, scan, with_positions
 from pagemill.session import staged
@@ -87,18 +88,25 @@ def word_pairs(words: DataFrame, by: Sequence[str], word: Sequence[str]) -> Data
 SIDES = ("left", "top", "width", "height")
 
 
-def split_apart(lines: DataFrame, by: Sequence[str], line: str) -> tuple[DataFrame, DataFrame | None]:
+def split_apart(lines: DataFrame, by: Sequence[str], line: str, sides: Sequence[str] = ("",), most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Lines whose height range no other line of the group touches, and the others (None: there are none).
 
-    ``lines`` has the boxes of its words as arrays ``left``, ``top``, ``width`` and ``height``. Words of lines that lie apart follow words of their
-    own line only. Just one row per line is moved to find out.
+    ``lines`` has the boxes of its words as arrays ``left``, ``top``, ``width`` and ``height``, once per prefix in ``sides``. Words of lines that lie
+    apart meet words of their own line only. Just one row per line is moved to find out. With ``most``, lines in which more pairs of words
+    could be made are among the others.
     """
     by = list(by)
-    bottom = F.array_max(F.zip_with("top", "height", lambda t, h: t + h))
-    extents = staged(lines.select(*by, line, F.array_min("top").alias("_y0"), bottom.alias("_y1")).where("_y0 IS NOT NULL"), "extents")
+    bottom = lambda s: F.array_max(F.zip_with(f"{s}top", f"{s}height", lambda t, h: t + h))
+    ends = [[F.array_min(f"{s}top") for s in sides], [bottom(s) for s in sides]]
+    first, last = (f(*c) if len(c) > 1 else c[0] for f, c in zip((F.least, F.greatest), ends, strict=True))
+    pairs = F.lit(1).cast("long")
+    for s in sides:
+        pairs = pairs * F.size(f"{s}top")
+    many = F.lit(False) if most is None else pairs > most
+    extents = staged(lines.select(*by, line, first.alias("_y0"), last.alias("_y1"), many.alias("_many")).where("_y0 IS NOT NULL"), "extents")
     rows = neighbours(with_positions(extents, by, ["_y0", line], "_pos"), by, "_pos", nxt=["_y0"])
     rows = scan(rows, by, "_pos", {"_above": running_max(F.col("_y1"), inclusive=False)})
-    near = staged(rows.where("_above > _y0 OR next__y0 < _y1").select(*by, line), "near")
+    near = staged(rows.where("_above > _y0 OR next__y0 < _y1 OR _many").select(*by, line), "near")
     if near.isEmpty():
         return lines, None
     return lines.join(near, [*by, line], "left_anti"), lines.join(near, [*by, line], "left_semi")
@@ -151,6 +159,76 @@ def in_boxes(lines: DataFrame, word: str) -> DataFrame:
     return lines.select(*[c for c in lines.columns if c not in (word, *SIDES)], F.inline(zipped))
 
 
+PAIRS_IN_A_LINE = 1 << 20  # lines with more pairs of words meet in cells instead
+
+
+def _stretch(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ``at[k]`` and a number from ``first[k]`` up to ``last[k]``, the end left out."""
+    n = np.maximum(last - first, 0)
+    return np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+
+
+def _overlapping(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the boxes of the same line that share some area, and their IoU. Boxes are columns ``x0, y0, x1, y1``.
+
+    One of two boxes starts inside the other, so both kinds of starts are looked up in sorted order.
+    """
+    values, rank = np.unique(np.concatenate((a[0], a[2], b[0], b[2])), return_inverse=True)
+    a0, a1, b0, b1 = np.split(rank.astype(np.int64), np.cumsum((len(line_a), len(line_a), len(line_b))))
+    size = np.int64(len(values) + 1)
+    a0, a1, b0, b1 = line_a * size + a0, line_a * size + a1, line_b * size + b0, line_b * size + b1
+    by_b, by_a = np.argsort(b0, kind="stable"), np.argsort(a0, kind="stable")
+    i, k = _stretch(np.arange(len(a0)), np.searchsorted(b0[by_b], a0), np.searchsorted(b0[by_b], a1))
+    m, n = _stretch(np.arange(len(b0)), np.searchsorted(a0[by_a], b0, "right"), np.searchsorted(a0[by_a], b1))
+    i, j = np.concatenate((i, by_a[n])), np.concatenate((by_b[k], m))
+    p, q = a[:, i], b[:, j]
+    w, h = np.minimum(p[2], q[2]) - np.maximum(p[0], q[0]), np.minimum(p[3], q[3]) - np.maximum(p[1], q[1])
+    inter = np.maximum(0.0, w) * np.maximum(0.0, h)
+    union = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - inter
+    score = np.where(union > 0, inter / union, 0.0)
+    kept = (w > 0) & (h > 0) & (score > 1e-10)
+    return i[kept], j[kept], score[kept]
+
+
+@F.pandas_udf(INTS)
+def _line_partners(
+    a_left: pd.Series, a_top: pd.Series, a_width: pd.Series, a_height: pd.Series, b_left: pd.Series, b_top: pd.Series, b_width: pd.Series, b_height: pd.Series,
+) -> pd.Series:
+    if not len(a_left):
+        return pd.Series([], dtype=object)
+    counts = [np.array([len(v) for v in side]) for side in (a_left, b_left)]
+    flat = lambda c: np.concatenate([np.asarray(v, dtype=float) for v in c])
+    boxes = [np.stack((x, y, x + w, y + h)) for x, y, w, h in (map(flat, c) for c in ((a_left, a_top, a_width, a_height), (b_left, b_top, b_width, b_height)))]
+    line_a, line_b = (np.repeat(np.arange(len(n)), n) for n in counts)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        i, j, score = _overlapping(line_a, boxes[0], line_b, boxes[1])
+    partner = np.full(len(line_a), -1, dtype=np.int64)
+    alone = (np.bincount(i, minlength=len(line_a))[i] == 1) & (np.bincount(j, minlength=len(line_b))[j] == 1)
+    partner[i[alone]] = j[alone]
+    if not alone.all():
+        left = pd.DataFrame({"line": line_a[i], "i": i, "j": j, "score": score})[~alone]
+        chosen = pair_optimal(["line"])(left)
+        partner[chosen["i"].to_numpy()] = chosen["j"].to_numpy()
+    starts = np.cumsum(counts[1]) - counts[1]
+    partner = np.where(partner >= 0, partner - starts[line_a], -1).astype(np.int32)
+    return pd.Series(np.split(partner, np.cumsum(counts[0])[:-1]), dtype=object)
+
+
+def line_partners(apart: DataFrame, text: str = "text") -> DataFrame:
+    """Words of side ``a`` of lines that lie apart with the words of side ``b`` they overlap, one to one with the largest total IoU.
+
+    Sides are arrays ``a_left`` to ``b_height``, ``a_<text>`` and ``b_<text>``. Rows are the other columns of the line, ``truth_text`` and
+    ``found_text`` (null: no partner); no rows move.
+    """
+    arrays = [f"{s}_{c}" for s in "ab" for c in SIDES]
+    kept = [c for c in apart.columns if c not in (*arrays, f"a_{text}", f"b_{text}")]
+    whole = F.coalesce(f"b_{text}", F.array().cast("array<string>"))
+    empty = F.array().cast("array<double>")
+    at = apart.withColumn("_at", _line_partners(*[F.coalesce(c, empty) for c in arrays]))
+    found = F.transform("_at", lambda k: F.when(k >= 0, F.get(whole, k)))
+    return at.select(*kept, F.inline(F.arrays_zip(F.col(f"a_{text}").alias("truth_text"), found.alias("found_text")))).toDF(*kept, "truth_text", "found_text")
+
+
 def line_word_pairs(lines: DataFrame, by: Sequence[str], line: str, word: str) -> DataFrame:
     """``word_pairs`` of words that come as arrays of their lines (see ``split_apart``); same rows.
 

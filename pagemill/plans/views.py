@@ -73,13 +73,13 @@ class Tables:
 
     @cached_property
     def word_lines(self) -> DataFrame:
-        """The boxes of the words as arrays of their line."""
+        """The boxes and texts of the words as arrays of their line."""
         times = lambda c, factor: F.transform(c, lambda v: v * factor)
         each = lambda value: F.array_repeat(value, F.size("word_no"))
         return with_cuts(self.textlines).select(
             "doc_id", "line_no", "word_no",
             times("start", 6.0).alias("left"), each(F.col("line_no") * 20.0).alias("top"),
-            times("length", 6.0).alias("width"), each(F.lit(10.0)).alias("height"),
+            times("length", 6.0).alias("width"), each(F.lit(10.0)).alias("height"), F.array_remove(F.split("text", " "), "").alias("text"),
         )
 
     @cached_property

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill.operators import matching as mt
 from pagemill.operators import words as wd
+from pagemill.plans.catalog import QUERIES
 from pagemill.plans.match_queries import word_components
 from pagemill.plans.views import Tables
 
@@ -60,3 +62,24 @@ def test_line_runs_are_components(spark, lines):
     got = sorted(map(tuple, wd.line_runs(apart, ["doc_id"], "line_no", "word_no").select(*columns).collect()))
     want = sorted(map(tuple, word_components(wd.in_boxes(apart, "word_no")).withColumnRenamed("first_word", "first").select(*columns).collect()))
     assert got == want and any(r[2] != r[3] for r in want)
+
+
+def test_overlapping_words_are_those_of_loose_words(spark, lines, monkeypatch):
+    draw = random.Random(6)
+    rows = []
+    for r in lines.where("doc_id < 99").collect():
+        n = draw.randrange(0, 12)
+        moved = [[float(draw.randrange(0, 150)) for _ in range(n)], [draw.choice([0.0, 0.4]) + r.line_no * (20.0, 10.0, 0.4)[r.doc_id % 3] for _ in range(n)]]
+        texts = [[f"{side}{r.line_no}-{k}" for k in range(m)] for side, m in (("a", len(r.word_no)), ("b", n))]
+        rows.append((r.doc_id, r.line_no, r.word_no, texts[0], r.left, r.top, r.width, r.height, list(range(n)), texts[1], *moved, [20.5 + k for k in range(n)], [10.0] * n))
+    kinds = ", ".join(f"{s}_word_no array<int>, {s}_text array<string>, " + ", ".join(f"{s}_{c} array<double>" for c in wd.SIDES) for s in "ab")
+    both = spark.createDataFrame(rows, f"doc_id long, line_no int, {kinds}")
+    found = lambda: sorted(map(str, mt.overlapping_words(both, ["doc_id"], "line_no", "word_no").collect()))
+    got = found()
+    monkeypatch.setattr(wd, "PAIRS_IN_A_LINE", -1)  # all words meet in cells
+    assert got == found() and len(got) == sum(len(r[2]) for r in rows) and any("None" in r for r in got)
+
+
+def test_word_errors_move_no_words(spark, folder):
+    plan = QUERIES["a16_mean_normalized_cer"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
