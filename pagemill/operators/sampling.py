@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,27 +44,73 @@ def subsample_pairs(df: DataFrame, by: Sequence[str], item: str, n: int, ratio:
     return rows.withColumn("role", role).where("role IS NOT NULL").select(*by, item, "role", "rank"), few.withColumnRenamed("_n", "available")
 
 
+P1, P2, P3, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+
+
+def _draws(start: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """``uniform`` of keys that end in an int: ``start`` is the hash of all before it."""
+    h = start.view(np.uint64) + P5 + np.uint64(4)
+    h ^= number.astype(np.uint64) * P1
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * P2 + P3
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return ((h ^ (h >> np.uint64(32))) & np.uint64((1 << 53) - 1)) / float(1 << 53)
+
+
+def _numbered(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every character of texts of these sizes, and its number in the text."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(t) for t in texts], dtype=np.int64)
+
+
 def mutate_text(text: str | Column, key: Sequence[str | Column], rate: float, alphabet: str, seed: int) -> Column:
-    """Insert, then delete, then substitute characters, each with probability ``rate``."""
-    text = F.col(text) if isinstance(text, str) else text
-    letters = F.lit(alphabet)
-
-    def pick(step: str, i: Column) -> Column:
-        at = F.floor(uniform(seed, *key, F.lit(step + " letter"), i) * len(alphabet)).cast("int")
-        return F.substr(letters, at + 1, F.lit(1))
-
-    def hit(step: str, i: Column) -> Column:
-        return uniform(seed, *key, F.lit(step), i) <= rate
-
-    def each(value: Column, change) -> Column:
-        chars = F.filter(F.split(value, ""), lambda c: F.length(c) > 0)
-        return F.array_join(F.transform(chars, change), "")
-
-    # the blank at the end lets a character be inserted after the last one
-    grown = each(F.concat(text, F.lit(" ")), lambda c, i: F.when(hit("insert", i), F.concat(pick("insert", i), c)).otherwise(c))
-    grown = F.substr(grown, F.lit(1), F.length(grown) - 1)
-    cut = each(grown, lambda c, i: F.when(hit("delete", i), F.lit("")).otherwise(c))
-    return each(cut, lambda c, i: F.when(hit("substitute", i), pick("substitute", i)).otherwise(c))
+    """Insert, then delete, then substitute characters, each with probability ``rate``.
+
+    The hash of seed, key and step is one value of the text; from it the draws of all characters of a batch of texts follow at once.
+    """
+    letters = _code_points([alphabet])[0]
+
+    @F.pandas_udf("string")
+    def mutated(texts: pd.Series, insert: pd.Series, insert_letter: pd.Series, delete: pd.Series, substitute: pd.Series, substitute_letter: pd.Series) -> pd.Series:
+        known = texts.notna().to_numpy()
+        # the blank at the end lets a character be inserted after the last one
+        chars, size = _code_points([t + " " for t in texts[known]])
+        starts = [np.ascontiguousarray(h.to_numpy()[known], dtype=np.int64) for h in (insert, insert_letter, delete, substitute, substitute_letter)]
+
+        def hit(step: int, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return _draws(starts[step][row], at) <= rate
+
+        def pick(step: int, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return letters[(_draws(starts[step][row], at) * len(letters)).astype(np.int64)]
+
+        row, at = _numbered(size)
+        new = hit(0, row, at)
+        place = np.arange(len(chars)) + np.cumsum(new)
+        grown, kept = np.empty(len(chars) + new.sum(), dtype=np.uint32), np.ones(len(chars) + new.sum(), dtype=bool)
+        grown[place] = chars
+        grown[place[new] - 1] = pick(1, row[new], at[new])
+        kept[place[np.cumsum(size) - 1]] = False
+        size = size + np.bincount(row[new], minlength=len(size)) - 1
+        grown = grown[kept]
+
+        row, at = _numbered(size)
+        stays = ~hit(2, row, at)
+        grown, size = grown[stays], np.bincount(row[stays], minlength=len(size))
+
+        row, at = _numbered(size)
+        other = hit(3, row, at)
+        grown[other] = pick(4, row[other], at[other])
+        whole, ends = grown.tobytes().decode("utf-32-le"), np.cumsum(size).tolist()
+        out = np.full(len(texts), None, dtype=object)
+        out[known] = [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+        return pd.Series(out, dtype=object)
+
+    steps = ("insert", "insert letter", "delete", "substitute", "substitute letter")
+    return mutated(F.col(text) if isinstance(text, str) else text, *[F.xxhash64(F.lit(seed), *key, F.lit(step)) for step in steps])
 
 
 def crop_text(text: str | Column, start: Column, end: Column) -> Column:
