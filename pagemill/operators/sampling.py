@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.operators.ordered import with_positions
-from pagemill.operators.polylines import interpolate_line
+from pagemill.operators.polylines import blended, line_arrays
 from pagemill.session import staged
 
 
@@ -158,11 +158,11 @@ def add_distractors(points: DataFrame, lines: DataFrame, by: Sequence[str], rati
     plan = first.join(mates, [*by, "_mate"]).select(
         *by, "line_id", "mate_id", width.alias("width"), (0.25 + 0.5 * uniform(seed + 2, "line_id", "mate_id")).alias("_alpha"),
     )
-    dense = interpolate_line(points, n)
-    mate = dense.select(F.col("line_id").alias("mate_id"), "k", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    rows = plan.join(dense, "line_id").join(mate, ["mate_id", "k"])
-    mix = lambda a, b: (1 - F.col("_alpha")) * F.col(a) + F.col("_alpha") * F.col(b)
-    return rows.select(*by, F.concat(F.lit("distractor-"), "line_id").alias("line_id"), "k", mix("x", "_x").alias("x"), mix("y", "_y").alias("y"), "width")
+    shapes = line_arrays(points, n)
+    side = lambda s, key: shapes.select(F.col("line_id").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("xs", "ys", "dense")])
+    rows = plan.join(side("a", "line_id"), "line_id").join(side("b", "mate_id"), "mate_id")
+    made = rows.select(*by, F.concat(F.lit("distractor-"), "line_id").alias("line_id"), "width", F.inline(blended(F.col("_alpha"), n)))
+    return made.select(*by, "line_id", "k", "x", "y", "width")
 
 
 def assign_tiles(boxes: DataFrame, height: int, width: int, layers: int, overlap: float) -> DataFrame:
