@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.scalars import box_distance
+from pagemill.operators.ordered import joined_back, large_groups
 from pagemill.session import staged
 
 BOX = ("x0", "y0", "x1", "y1")
 TARGETS_PER_CELL = 512
+GROUP_TARGETS = 64  # of a group with at most so many, a query is held against every one
 PARTS = 64  # columns of a group, and rows of a column, at most
 FRACTIONS = [k / PARTS for k in range(1, PARTS)]
 
@@ -39,17 +41,37 @@ def nearest(
     """For every query box the target with the least distance; ties go to the least id.
 
     Both sides carry box columns (queries ``qx0..qy1``, targets ``x0..y1``; points have
-    equal corners). Targets are cut into columns at quantiles of x and each column at quantiles of y, so cells hold about
+    equal corners). In a group of few targets every query meets all of them, by one join on the group. Targets of larger groups are
+    cut into columns at quantiles of x and each column at quantiles of y, so cells hold about
     as many targets wherever they lie. Both sides are summarised by cell first. A target cell is opened for a query only
     if its lower distance bound does not exceed the least upper bound over all cells, so
     the answer is exact while most targets of a large group are never compared.
     ``distance`` may refine the box distance; it must not be smaller than it, nor
-    exceed the distance to the farthest corner of the target box.
+    exceed the distance to the farthest corner of the target box. Rows carry the box of the query, too.
     """
     by, query_id, target_id = list(by), list(query_id), list(target_id)
     q = [F.col(f"q{c}") for c in BOX]
     exact = distance() if distance else box_distance(q, BOX)
 
+    def best_of(pairs: DataFrame) -> DataFrame:
+        best = F.min(F.struct(exact.alias("_d"), *target_id, F.struct(*BOX, *keep, *q).alias("_t"))).alias("_best")
+        return pairs.groupBy(*by, *query_id).agg(best).select(
+            *by, *query_id, F.col("_best._d").alias("distance"), *[F.col(f"_best.{c}").alias(c) for c in target_id],
+            *[F.col(f"_best._t.{c}").alias(c) for c in (*BOX, *keep, *[f"q{c}" for c in BOX])],
+        )
+
+    large = large_groups(targets, by, min(GROUP_TARGETS, TARGETS_PER_CELL))
+    if large is None:
+        return best_of(queries.join(targets, by))
+    small = best_of(joined_back(queries, large, by, "left_anti").join(joined_back(targets, large, by, "left_anti"), by))
+    # each side is read several times below, so it is computed once
+    queries, targets = [staged(joined_back(side, large, by, "left_semi"), name) for side, name in ((queries, "queries"), (targets, "targets"))]
+    return small.unionByName(best_of(_met(queries, targets, by, query_id)))
+
+
+def _met(queries: DataFrame, targets: DataFrame, by: list[str], query_id: list[str]) -> DataFrame:
+    """Pairs of each query and the targets of the cells that may hold its nearest one."""
+    q = [F.col(f"q{c}") for c in BOX]
     x_edges = targets.groupBy(*by).agg(F.percentile_approx("x0", FRACTIONS).alias("_e"), F.count(F.lit(1)).alias("_c"))
     x_edges = staged(x_edges.select(*by, _edges("_e", "_c", 2).alias("_xe"), "_c"), "columns")
     columns = targets.join(x_edges, by).select(*targets.columns, _cell("x0", "_xe").alias("_cx"))
@@ -80,9 +102,4 @@ def nearest(
     near = near.select(*by, "_qx", "_qy", "_cx", "_cy", *[f"_{c}" for c in BOX])
     opened = within_reach(asked.join(near, [*by, "_qx", "_qy"]), q, query_id).select(*queries.columns, "_cx", "_cy")
 
-    pairs = opened.join(placed, [*by, "_cx", "_cy"]).withColumn("_d", exact)
-    best = F.min(F.struct(F.col("_d"), *target_id, F.struct(*BOX, *keep).alias("_t"))).alias("_best")
-    return pairs.groupBy(*by, *query_id).agg(best).select(
-        *by, *query_id, F.col("_best._d").alias("distance"), *[F.col(f"_best.{c}").alias(c) for c in target_id],
-        *[F.col(f"_best._t.{c}").alias(c) for c in (*BOX, *keep)],
-    )
+    return opened.join(placed, [*by, "_cx", "_cy"])

@@ -32,6 +32,15 @@ def joined_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: s
     return rows.join(right, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def large_groups(df: DataFrame, by: Sequence[str], limit: int, name: str = "large") -> DataFrame | None:
+    """Keys of the groups of more than ``limit`` rows, staged; None where there are none, as in most tables.
+
+    The count reads the group columns only, so that rows of small groups need not be written to tell them apart.
+    """
+    found = staged(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*by), name)
+    return None if found.isEmpty() else found
+
+
 def with_positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], name: str = "pos", whole_group_rows: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in its group.
 

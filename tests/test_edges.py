@@ -1,6 +1,7 @@
 """Literal edge cases of single operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -378,3 +379,46 @@ def test_border_and_length_predicates(spark):
     df = spark.createDataFrame([([(0.01, 0.2), (0.02, 0.9)],), ([(0.01, 0.2), (0.5, 0.9)],)], "p array<struct<x:double,y:double>>")
     got = df.select(fn.is_border("p", 0.05).alias("b"), fn.is_horizontal("p").alias("h")).collect()
     assert [tuple(r) for r in got] == [(True, False), (False, False)]
+
+
+def staged_names(monkeypatch, *modules):
+    """Names of the tables written while the test runs."""
+    names = []
+    for module in modules:
+        monkeypatch.setattr(module, "staged", lambda df, name="stage", write=module.staged: (names.append(name), write(df, name))[1])
+    return names
+
+
+def plain_similarity(a, b):
+    """``(a, b, similarity)`` of boxes ``{id: (x0, y0, x1, y1)}`` of one group."""
+    out = set()
+    for i, p in a.items():
+        over = {j: max(0, min(p[2], q[2]) - max(p[0], q[0])) * max(0, min(p[3], q[3]) - max(p[1], q[1])) for j, q in b.items()}
+        area = lambda r: (r[2] - r[0]) * (r[3] - r[1])
+        hits = {(i, j, round(o / (area(p) + area(b[j]) - o), 9)) for j, o in over.items() if o > 0}
+        gap = lambda q: math.hypot(max(0, q[0] - p[2], p[0] - q[2]), max(0, q[1] - p[3], p[1] - q[3]))  # noqa: B023, E731
+        near = min((gap(q), j) for j, q in b.items())
+        out |= hits or {(i, near[1], round(-near[0] + 0.0, 9))}
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(5, 9, 30), (5, 90, 9)])
+def test_similarity_in_small_and_large_groups(spark, monkeypatch, sizes):
+    from pagemill.operators import boxes, nearest, ordered
+
+    draw = random.Random(sum(sizes))
+    sides = [[], []]
+    for g, size in enumerate(sizes):
+        for side in sides:
+            for k in range(size):
+                x, y = draw.randint(0, 60), draw.randint(0, 60)
+                side.append((g, k, float(x), float(y), float(x + draw.randint(1, 9)), float(y + draw.randint(1, 9))))
+    frames = [spark.createDataFrame(side, "g int, k int, x0 double, y0 double, x1 double, y1 double") for side in sides]
+    names = staged_names(monkeypatch, boxes, nearest, ordered)
+    got = boxes.box_similarity(*frames, ["g"], "k").collect()
+    # groups that are small take one join: but for the keys of large groups nothing is written
+    assert set(names) == {"large"} if max(sizes) <= nearest.GROUP_TARGETS else {"large", "similar", "left", "right"} <= set(names)
+    for g in range(3):
+        a, b = [{r[1]: r[2:] for r in side if r[0] == g} for side in sides]
+        rows = [r for r in got if r.g == g]
+        assert {(r.a_k, r.b_k, round(r.similarity, 9)) for r in rows} == plain_similarity(a, b) and len(rows) == len(plain_similarity(a, b))
