@@ -266,17 +266,103 @@ def nearest_in_rows(by: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
             known, missing = row[row["cy"].notna()], row[row["missing"]]
             if not len(known):
                 continue
-            x, cy, y = [int(v) for v in known["x"]], [int(v) for v in known["cy"]], int(row[by[-1]].iloc[0])
-            stack, starts = envelope(x, [(y - c) ** 2 for c in cy])
-            at, picked = 0, []
-            for t in map(int, missing["x"]):
-                while at + 1 < len(stack) and starts[at + 1][0] < t * starts[at + 1][1]:
-                    at += 1
-                end = at
-                while end + 1 < len(stack) and starts[end + 1][0] == t * starts[end + 1][1]:
-                    end += 1  # all of these are equally near
-                picked.append(min(stack[at : end + 1], key=lambda k: (cy[k], x[k])))
+            picked = _along_envelope([int(v) for v in known["x"]], [int(v) for v in known["cy"]], int(row[by[-1]].iloc[0]), [int(v) for v in missing["x"]])
             out.append(missing.assign(value=known["value"].to_numpy()[picked]))
         return pd.concat(out) if out else rows.iloc[:0]
 
     return fold
+
+
+PAIRS = 1 << 20  # of cells and columns that are looked at together
+SHORT_ROW = 64  # known columns of a row that each of its missing cells is held against
+FAR = 1 << 30  # spans below this keep squares within 64 bits
+
+
+def _nearest_in_columns(column: np.ndarray, y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """For cells sorted by column and ``y`` the nearest known cell of the own column (ties: the least ``y``), -1 where there is none."""
+    n = len(y)
+    at = np.arange(n)
+    up = np.maximum.accumulate(np.where(known, at, -1))
+    down = np.minimum.accumulate(np.where(known, at, n)[::-1])[::-1]
+    has_up = (up >= 0) & (column[up] == column)
+    has_down = (down < n) & (column[np.minimum(down, n - 1)] == column)
+    above, below = y - y[up], y[np.minimum(down, n - 1)] - y
+    return np.where(has_up & (~has_down | (above <= below)), up, np.where(has_down, down, -1))
+
+
+def _nearest_in_short_rows(size: np.ndarray, first: np.ndarray, x: np.ndarray, y: np.ndarray, at_x: np.ndarray, at_y: np.ndarray) -> np.ndarray:
+    """For missing cells at ``(at_x, at_y)`` the best of the ``size`` columns (at least one) from ``first`` on, which stand at ``x`` with known cells at ``y``."""
+    start = np.cumsum(size) - size
+    cell = np.repeat(np.arange(len(size)), size)
+    option = np.arange(len(cell)) - np.repeat(start - first, size)
+    d2, cy = (at_x[cell] - x[option]) ** 2 + (at_y[cell] - y[option]) ** 2, y[option]
+    best = d2 == np.minimum.reduceat(d2, start)[cell]
+    cy = np.where(best, cy, np.iinfo(np.int64).max)
+    best &= cy == np.minimum.reduceat(cy, start)[cell]
+    return np.minimum.reduceat(np.where(best, option, len(x)), start)  # columns rise along a row
+
+
+def nearest_in_grids(by: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Whole grids ``(by, y, x, value, missing)`` with the value of the nearest known cell in missing ones (ties: least ``y``, then ``x``).
+
+    ``missing`` stays set where a grid has no known cell. All grids of a table are done together: nearest known cells of columns first, then
+    every missing cell is held against the columns of its row. Rows of many columns are walked along their lower envelope.
+    """
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return rows
+        group = _codes(rows[by])[0]
+        y, x = (rows[c].to_numpy(dtype=np.int64) for c in ("y", "x"))
+        known = ~rows["missing"].to_numpy(dtype=bool)
+        order = np.lexsort((y, x, group))
+        column = np.cumsum(np.append(True, (np.diff(group[order]) != 0) | (np.diff(x[order]) != 0)))
+        near = np.empty(len(rows), dtype=np.int64)
+        found = _nearest_in_columns(column, y[order], known[order])
+        near[order] = np.where(found >= 0, order[found], -1)
+
+        order = np.lexsort((x, y, group))
+        group, y, x, known, near = group[order], y[order], x[order], known[order], near[order]
+        row = np.cumsum(np.append(True, (np.diff(group) != 0) | (np.diff(y) != 0))) - 1
+        columns = np.flatnonzero(near >= 0)
+        source = near[columns]
+        cx, cy = x[columns], rows["y"].to_numpy(dtype=np.int64)[source]
+        size = np.bincount(row[columns], minlength=row[-1] + 1)
+        first = np.cumsum(size) - size
+        holes = np.flatnonzero(~known & (size[row] > 0))
+        picked = np.empty(len(holes), dtype=np.int64)
+        near_enough = max(int(x.max()) - int(x.min()), int(y.max()) - int(y.min())) < FAR
+        short = size[row[holes]] <= SHORT_ROW if near_enough else np.zeros(len(holes), dtype=bool)
+        few = np.flatnonzero(short)
+        step = PAIRS // SHORT_ROW
+        for k in range(0, len(few), step):
+            part = holes[few[k : k + step]]
+            picked[few[k : k + step]] = _nearest_in_short_rows(size[row[part]], first[row[part]], cx, cy, x[part], y[part])
+        many = np.flatnonzero(~short)
+        ends = np.flatnonzero(np.append(True, np.diff(row[holes[many]]) != 0)) if len(many) else []
+        for part in np.split(many, ends[1:]) if len(many) else []:
+            r = row[holes[part[0]]]
+            at = slice(first[r], first[r] + size[r])
+            picked[part] = first[r] + np.array(_along_envelope(cx[at].tolist(), cy[at].tolist(), int(y[holes[part[0]]]), x[holes[part]].tolist()))
+        filled, missing = rows["value"].to_numpy(copy=True), ~known
+        filled[order[holes]] = filled[source[picked]]
+        missing[holes] = False
+        left = np.empty(len(rows), dtype=bool)
+        left[order] = missing
+        return rows.assign(value=filled, missing=left)
+
+    return fold
+
+
+def _along_envelope(x: list[int], cy: list[int], y: int, missing: list[int]) -> list[int]:
+    """Numbers of the columns nearest to the missing places of a row, both rising; ties go to the least ``cy``, then to the least column."""
+    stack, starts = envelope(x, [(y - c) ** 2 for c in cy])
+    at, picked = 0, []
+    for t in missing:
+        while at + 1 < len(stack) and starts[at + 1][0] < t * starts[at + 1][1]:
+            at += 1
+        end = at
+        while end + 1 < len(stack) and starts[end + 1][0] == t * starts[end + 1][1]:
+            end += 1  # all of these are equally near
+        picked.append(min(stack[at : end + 1], key=lambda k: (cy[k], x[k])))
+    return picked

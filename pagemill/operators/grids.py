@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
-from pagemill.operators.folds import folded, nearest_in_rows, sized
-from pagemill.operators.ordered import after, before, joined_back, neighbours, rolling, running_sum, scan
+from pagemill.operators.folds import folded, nearest_in_grids, nearest_in_rows, sized
+from pagemill.operators import folds
+from pagemill.operators.ordered import after, before, joined_back, large_groups, neighbours, rolling, running_sum, scan
 from pagemill.session import staged
 
 KEY = "sample"
@@ -274,11 +276,23 @@ def fill_grid(grid: DataFrame, by: str = KEY, passes: int | None = None) -> Data
 def fill_nearest(grid: DataFrame, by: str = KEY) -> DataFrame:
     """Give missing cells the value of the nearest known cell (ties: least y, then x).
 
-    First every cell learns the nearest known cell of its column, by a scan each way. Along a row, each column then stands
+    Grids that fit a task are filled there, many at once. In larger ones every cell first learns the nearest known cell of its
+    column, by a scan each way. Along a row, each column then stands
     for a parabola over x, and the lower envelope of a row's parabolas gives the nearest cell of all its missing cells in one pass
     inside a task. Rows with more cells than fit a task ask for columns within a growing radius instead, with the same result.
     """
     cells = grid.select(by, "y", "x", "value")
+    large = large_groups(cells, [by], folds.FOLD_ROWS)
+    small = (cells if large is None else joined_back(cells, large, [by], "left_anti")).withColumn("missing", F.col("value").isNull())
+    whole = folded(small, [by], nearest_in_grids([by]), [by, "y", "x", "value", "missing"])
+    value = F.col("value")
+    if cells.schema["value"].dataType in (DoubleType(), FloatType()):
+        value = F.coalesce(value, F.lit(float("nan")).cast(cells.schema["value"].dataType))  # tables of a fold have no other sign for null
+    whole = whole.select(by, "y", "x", F.when(~F.col("missing"), value).alias("value"))
+    return whole if large is None else whole.unionByName(_fill_large(joined_back(cells, large, [by], "left_semi"), by))
+
+
+def _fill_large(cells: DataFrame, by: str) -> DataFrame:
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("y").alias("y"), F.col("value").alias("value")))
     columns = scan(cells, [by, "x"], "y", {"_up": before(known, inclusive=True), "_down": after(known, inclusive=True)})
     up, down = F.col("y") - F.col("_up.y"), F.col("_down.y") - F.col("y")

@@ -206,6 +206,23 @@ def test_nearest_fill(spark, monkeypatch, limit):
     assert {r[:3]: r[3] for r in map(tuple, got.select("sample", "y", "x", "value").collect())} == {r[:3]: r[3] for r in nearest_known(data)}
 
 
+@pytest.mark.parametrize("short", [64, 2])
+def test_fill_of_many_small_grids_writes_nothing(spark, monkeypatch, short):
+    """Grids that fit a task go through one fold; rows of few and of many columns alike, NaN is a known value."""
+    from pagemill.operators import grids
+
+    names = []
+    for module in (grids, folds, od):
+        monkeypatch.setattr(module, "staged", lambda df, name="stage", write=module.staged: (names.append(name), write(df, name))[1])
+    monkeypatch.setattr(folds, "SHORT_ROW", short)
+    draw = random.Random(short)
+    data = holes(draw, range(30), 5, 6, 0.7) + [(40, 0, 0, None), (40, -9, 1 << 30, float("nan")), (40, 0, -(1 << 30), 3.0), (41, 0, 0, None)]
+    got = {r[:3]: r[3] for r in map(tuple, grids.fill_nearest(spark.createDataFrame(data, "sample int, y int, x int, value double")).collect())}
+    assert set(names) == {"large"} and len(got) == len(data)
+    assert repr(got.pop((40, -9, 1 << 30))) == "nan"
+    assert got == {r[:3]: r[3] for r in nearest_known(data) if r[:3] != (40, -9, 1 << 30)}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_envelope(seed):
     """Every parabola that is least somewhere stays, those that only touch the envelope included."""
