@@ -176,16 +176,39 @@ def drop_steep(by: list[str], low: float, high: float) -> Callable[[pd.DataFrame
         slope = (y[b] - y[a]) / (x[b] - x[a])
         return int(slope < low or slope > high)
 
+    def gaining(code: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which points have a gain, of lines one after another."""
+
+        def steep(far: int) -> np.ndarray:
+            out = np.zeros(len(x), dtype=np.int64)
+            dx = x[far:] - x[:-far]
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                slope = (y[far:] - y[:-far]) / dx
+            out[far:] = ((slope < low) | (slope > high)) & (dx != 0) & (code[far:] == code[:-far])
+            return out
+
+        one, two = steep(1), steep(2)
+        return one + np.append(one[1:], 0) - np.append(two[1:], 0) > 0
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept = []
-        for _, group in rows.sort_values("seq", kind="stable").groupby(by, sort=False, dropna=False):
-            x, y, n = group["x"].tolist(), group["y"].tolist(), len(group)
+        if not len(rows):
+            return rows
+        rows = rows.sort_values("seq", kind="stable")
+        code = _codes(rows[by])[0]
+        order = np.argsort(code, kind="stable")
+        rows, code = rows.iloc[order], code[order]
+        whole_x, whole_y = (rows[c].to_numpy(dtype=float) for c in ("x", "y"))
+        kept = np.ones(len(rows), dtype=bool)
+        # a line where no point has a gain stays as it is
+        some = np.unique(code[gaining(code, whole_x, whole_y)])
+        for first, last in zip(np.searchsorted(code, some).tolist(), np.searchsorted(code, some, side="right").tolist(), strict=True):
+            x, y, n = whole_x[first:last].tolist(), whole_y[first:last].tolist(), last - first
             before, after = list(range(-1, n - 1)), [*range(1, n), -1]
             gain = lambda k: bad(x, y, before[k], k) + bad(x, y, k, after[k]) - bad(x, y, before[k], after[k])  # noqa: B023, E731
             now = [gain(k) for k in range(n)]
             heap = [(-g, k) for k, g in enumerate(now) if g > 0]
             heapq.heapify(heap)
-            alive = np.ones(n, dtype=bool)
+            alive = kept[first:last]
             while heap:
                 g, k = heapq.heappop(heap)
                 if not alive[k] or now[k] != -g:
@@ -201,8 +224,7 @@ def drop_steep(by: list[str], low: float, high: float) -> Callable[[pd.DataFrame
                         now[m] = gain(m)
                         if now[m] > 0:
                             heapq.heappush(heap, (-now[m], m))
-            kept.append(group[alive])
-        return pd.concat(kept) if kept else rows
+        return rows[kept]
 
     return fold
 

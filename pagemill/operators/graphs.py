@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.operators import folds
 from pagemill.operators.folds import drop_steep, drop_worse, folded, longest_paths, sized
-from pagemill.operators.ordered import joined_back, neighbours, running_sum, scan, with_positions
+from pagemill.operators.ordered import joined_back, large_groups, neighbours, running_sum, scan, with_positions
 from pagemill.session import forget, staged
 
 CONTRACT_ROWS = 1 << 19
@@ -294,11 +295,12 @@ def eliminate(df: DataFrame, by: Sequence[str], low: float, high: float) -> Data
     """
     by = list(by)
     columns = [*by, "seq", "x", "y"]
-    small, large = sized(df.select(*columns), by, "points")
-    kept = folded(small, by, drop_steep(by, low, high), columns)
-    if large.isEmpty():
+    df = df.select(*columns)
+    many = large_groups(df, by, folds.FOLD_ROWS)
+    kept = folded(df if many is None else joined_back(df, many, by, "left_anti"), by, drop_steep(by, low, high), columns)
+    if many is None:
         return kept
-    rows = staged(_stretches(large, by, low, high), "stretches")
+    rows = staged(_stretches(staged(joined_back(df, many, by, "left_semi"), "points"), by, low, high), "stretches")
     fixed = rows.where("_free = 0").select(*columns).distinct()
     stretch = [*by, "_stretch"]
     small, large = sized(rows.where("_stretch IS NOT NULL"), stretch, "points")

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,22 @@ def test_eliminate(spark, limit):
     assert rows(graphs.eliminate(df, ["g"], -2.0, 2.0), "g", "seq") == want
 
 
+def test_lines_without_a_gain_are_not_walked(spark, monkeypatch):
+    """Only lines where some point has a gain take the heap, and none is written first; equal and missing places are no slope."""
+    names, walked = [], []
+    for module in (graphs, folds, od):
+        monkeypatch.setattr(module, "staged", lambda df, name="stage", write=module.staged: (names.append(name), write(df, name))[1])
+    nan = float("nan")
+    data = [(g, k, float(k), float(k % 2)) for g in range(40) for k in range(5)]
+    data += [(50, 0, 0.0, 0.0), (50, 1, 0.0, 9.0), (50, 2, 1.0, nan), (51, 0, 0.0, 0.0), (51, 1, 1.0, 9.0), (51, 2, 2.0, 0.0), (52, 0, 0.0, 9.0)]
+    df = spark.createDataFrame(data, "g int, seq int, x double, y double")
+    assert rows(graphs.eliminate(df, ["g"], -2.0, 2.0), "g", "seq") == sorted(r[:2] for r in data if r[:2] != (51, 1))
+    assert set(names) == {"large"}
+    monkeypatch.setattr(folds.heapq, "heapify", walked.append)
+    folds.drop_steep(["g"], -2.0, 2.0)(pd.DataFrame(data, columns=["g", "seq", "x", "y"]))
+    assert len(walked) == 1
+
+
 def test_paths(spark, limit):
     edges = [(1, 2), (2, 3), (3, 4), (3, 9), (20, 21), (30, 31), (31, 32), (32, 30)]
     df = spark.createDataFrame(edges, "a long, b long")
