@@ -161,7 +161,7 @@ def add_distractors(points: DataFrame, lines: DataFrame, by: Sequence[str], rati
     shapes = line_arrays(points, n)
     side = lambda s, key: shapes.select(F.col("line_id").alias(key), *[F.col(c).alias(f"{s}_{c}") for c in ("xs", "ys", "dense")])
     rows = plan.join(side("a", "line_id"), "line_id").join(side("b", "mate_id"), "mate_id")
-    made = rows.select(*by, F.concat(F.lit("distractor-"), "line_id").alias("line_id"), "width", F.inline(blended(F.col("_alpha"), n)))
+    made = blended(rows, [*by, F.concat(F.lit("distractor-"), "line_id").alias("line_id"), "width"], F.col("_alpha"), n)
     return made.select(*by, "line_id", "k", "x", "y", "width")
 
 

@@ -448,3 +448,16 @@ def test_suppress_in_small_and_large_groups(spark, monkeypatch, size):
         if not any(drops(k, r) for k in kept):
             kept.append(r)
     assert got == sorted(r[:2] for r in kept)
+
+
+def test_blends_of_whole_short_long_and_empty_lines(spark, monkeypatch):
+    """Points come as plain columns, and a column that is not asked for is not made."""
+    monkeypatch.setattr(pl, "LINE_POINTS", 4)
+    a = [("p", k, float(k), 0.0) for k in range(3)] + [("q", k, 1.0, 1.0) for k in range(3)] + [("r", k, float(k), float(k)) for k in range(9)] + [("s", 0, 1.0, 1.0)]
+    b = [(line, k, x + 2.0, y + 4.0) for line, k, x, y in a]
+    frame = lambda d: spark.createDataFrame(d, "line_id string, seq int, x double, y double")
+    out = pl.blend_lines(frame(a), frame(b), 0.5, 5)
+    got = {(r.line_id, r.k): (round(r.x, 9), round(r.y, 9)) for r in out.collect()}
+    assert got == {("p", k): (k / 2 + 1, 2.0) for k in range(5)} | {("r", k): (2.0 * k + 1, 2.0 * k + 2) for k in range(5)}
+    counted = out.groupBy("line_id").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in counted and "inline" not in counted
