@@ -37,6 +37,7 @@ def nearest(
     target_id: Sequence[str],
     distance: Callable[[], Column] | None = None,
     keep: Sequence[str] = (),
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """For every query box the target with the least distance; ties go to the least id.
 
@@ -48,6 +49,7 @@ def nearest(
     the answer is exact while most targets of a large group are never compared.
     ``distance`` may refine the box distance; it must not be smaller than it, nor
     exceed the distance to the farthest corner of the target box. Rows carry the box of the query, too.
+    Groups are told apart by the rows of ``counted``, where that is given: a table with no fewer rows in a group than targets.
     """
     by, query_id, target_id = list(by), list(query_id), list(target_id)
     q = [F.col(f"q{c}") for c in BOX]
@@ -60,7 +62,7 @@ def nearest(
             *[F.col(f"_best._t.{c}").alias(c) for c in (*BOX, *keep, *[f"q{c}" for c in BOX])],
         )
 
-    large = large_groups(targets, by, min(GROUP_TARGETS, TARGETS_PER_CELL))
+    large = large_groups(targets if counted is None else counted, by, min(GROUP_TARGETS, TARGETS_PER_CELL))
     if large is None:
         return best_of(queries.join(targets, by))
     small = best_of(joined_back(queries, large, by, "left_anti").join(joined_back(targets, large, by, "left_anti"), by))

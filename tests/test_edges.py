@@ -461,3 +461,33 @@ def test_blends_of_whole_short_long_and_empty_lines(spark, monkeypatch):
     assert got == {("p", k): (k / 2 + 1, 2.0) for k in range(5)} | {("r", k): (2.0 * k + 1, 2.0 * k + 2) for k in range(5)}
     counted = out.groupBy("line_id").count()._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" in counted and "inline" not in counted
+
+
+def test_places_on_short_and_long_lines(spark, monkeypatch):
+    """Lines of few points take no scan and no written table; gaps of numbers part a line, and both ways give the same segments."""
+    from pagemill.operators import nearest as nr
+    from pagemill.operators import ordered
+
+    draw = random.Random(11)
+    data = [(f"l{g}", k, draw.uniform(0, 9), draw.uniform(0, 9)) for g in range(6) for k in range(g * 3)] + [("gap", k, float(k), None if k == 9 else 0.0) for k in (0, 1, 4, 5, 8, 9)]
+    df = spark.createDataFrame(data, "line_id string, seq int, x double, y double")
+    names = staged_names(monkeypatch, pl, nr, ordered)
+    got = sorted(map(str, pl.segments(df).collect()))
+    asked = df.select("line_id", F.col("seq").alias("p"), (F.col("x") + 1).alias("x"), F.col("y")).where("y IS NOT NULL")
+    found = {(r.line_id, r.p): (r.segment, round(r.distance, 9)) for r in pl.locate_along(asked, df.where("line_id <> 'gap'"), ["p"]).collect()}
+    assert set(names) == {"large"} and len([r for r in got if "gap" in r]) == 3
+    by_line = {}
+    for line, k, x, y in data:
+        by_line.setdefault(line, []).append((x, y))
+
+    def gap(p, a, b):
+        d = (b[0] - a[0], b[1] - a[1])
+        t = max(0, min(1, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / (d[0] ** 2 + d[1] ** 2)))
+        return math.hypot(p[0] - a[0] - d[0] * t, p[1] - a[1] - d[1] * t)
+
+    for line, k, x, y in data:
+        if line != "gap":
+            pts = by_line[line]
+            assert found[(line, k)][1] == round(min(gap((x + 1, y), a, b) for a, b in zip(pts, pts[1:], strict=False)), 9)
+    monkeypatch.setattr(pl, "CHUNK_ROWS", 4)
+    assert sorted(map(str, pl.segments(df).collect())) == got and "points" in names
