@@ -81,12 +81,17 @@ def coco_records(images: DataFrame, annotations: DataFrame, order: Sequence[str]
 
     ``annotations`` has ``(image, category, bbox, area)``. Ids run over the whole set in order.
     """
-    from pagemill.operators.ordered import with_positions
-
-    image_ids = with_positions(images, [], ["image"], "image_id")
-    categories = with_positions(annotations.select("category").distinct(), [], ["category"], "category_id")
-    numbered = with_positions(annotations, [], ["image", *order], "id")
-    rows = numbered.join(categories, "category").join(image_ids, "image")
+    from pagemill.operators.ordered import running_sum, scan, with_positions
+
+    kept = annotations.where("category IS NOT NULL")
+    categories = with_positions(kept.select("category").distinct(), [], ["category"], "category_id")
+    # an annotation's id is the number of annotations of earlier images and its place in its own, so only images are sorted as a whole
+    counts = kept.groupBy("image").agg(F.count(F.lit(1)).alias("_n"))
+    known = images.join(counts, "image", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    starts = scan(with_positions(known, [], ["image"], "image_id"), [], "image_id", {"_start": running_sum(F.col("_n"), inclusive=False)})
+    image_ids = starts.select("image", "image_id")
+    placed = with_positions(kept, ["image"], list(order), "_place")
+    rows = placed.join(categories, "category").join(starts.drop("_n"), "image").withColumn("id", F.col("_start") + F.col("_place"))
     return {
         "images": image_ids,
         "annotations": rows.select("id", "image", "image_id", "category_id", "bbox", "area", F.lit(0).alias("iscrowd")),

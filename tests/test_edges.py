@@ -491,3 +491,26 @@ def test_places_on_short_and_long_lines(spark, monkeypatch):
             assert found[(line, k)][1] == round(min(gap((x + 1, y), a, b) for a, b in zip(pts, pts[1:], strict=False)), 9)
     monkeypatch.setattr(pl, "CHUNK_ROWS", 4)
     assert sorted(map(str, pl.segments(df).collect())) == got and "points" in names
+
+
+def test_annotations_that_lie_by_image_are_not_sorted_as_a_whole(spark, monkeypatch):
+    """Only images and categories are written to be numbered; annotations without a category take no id."""
+    from pyspark.sql import Window
+
+    from pagemill.operators import ordered
+
+    names = []
+    monkeypatch.setattr(ordered, "staged", lambda df, name="stage", write=ordered.staged: (names.append(df.columns), write(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = [(i, k, "ab"[(i + k) % 2]) for i in range(30) for k in range(3)]
+        data.append((3, -1, None))
+        by_image = spark.createDataFrame(data, "image long, k int, category string").withColumn("n", F.row_number().over(Window.partitionBy("image").orderBy("k")))
+        boxes = by_image.select("image", "n", "category", F.struct(F.lit(1.0).alias("x")).alias("bbox"), F.lit(1.0).alias("area"))
+        images = boxes.select("image").distinct().union(spark.createDataFrame([(-5,)], "image long")).where("image <> -5")
+        made = ag.coco_records(images, boxes, ["n"])["annotations"]
+        got = sorted((r.id, r.image, r.image_id, r.category_id) for r in made.collect())
+        assert got == [(j, i, i, (i + k) % 2) for j, (i, k, _) in enumerate(data[:-1])]
+        assert len(names) == 2 and all("bbox" not in columns for columns in names)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
