@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
 from pagemill.operators.folds import pair_optimal
 from pagemill.operators.graphs import least_connected
@@ -20,18 +23,45 @@ GAP = 1.2
 INTS = ArrayType(IntegerType())
 
 
-@F.pandas_udf(StructType().add("word_no", INTS).add("start", INTS).add("length", INTS))
-def _cuts(texts: pd.Series) -> pd.DataFrame:
-    found: list[tuple] = []
-    for text in texts:
-        if text is None:
-            found.append((None, None, None))
-            continue
-        ends = np.flatnonzero(np.append(np.frombuffer(text.encode("utf-32-le"), np.uint32), 32) == 32).astype(np.int32)
-        starts = np.append(np.int32(0), ends[:-1] + np.int32(1))
-        kept = np.flatnonzero(ends > starts).astype(np.int32)
-        found.append((kept, starts[kept], (ends - starts)[kept]))
-    return pd.DataFrame(found, columns=["word_no", "start", "length"])
+CUT_BYTES = 1 << 22  # of texts that are cut together
+
+
+def _cut(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts that lie one after another in ``data`` (UTF-8), cut at ``ends``: how many each has, their numbers, starts and lengths."""
+    whole = data[ends[0] : ends[-1]]
+    at = ends - ends[0]
+    blank = np.append(whole == 32, True)
+    edge = np.zeros(len(blank), dtype=bool)
+    edge[at] = True  # a text begins, or the last one is over
+    first = np.flatnonzero(~blank & (edge | np.append(True, blank[:-1])))
+    last = np.flatnonzero(~blank[:-1] & (edge[1:] | blank[1:])) + 1
+    blanks = np.append(0, np.cumsum(blank[:-1], dtype=np.int32))
+    signs = (whole & 0xC0) != 0x80
+    places = np.arange(len(blank), dtype=np.int32) if signs.all() else np.append(np.int32(0), np.cumsum(signs, dtype=np.int32))
+    upto = np.searchsorted(first, at)
+    counts = np.diff(upto)
+    start = np.repeat(at[:-1], counts)
+    return counts, blanks[first] - blanks[start], places[first] - places[start], places[last] - places[first]
+
+
+def _together(sizes: np.ndarray, most: int) -> list[slice]:
+    """Neighbouring rows in parts of about ``most`` in all, a larger row alone."""
+    part = np.cumsum(sizes) // most
+    cuts = np.append(0, np.flatnonzero(np.diff(part)) + 1)
+    return [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True)]
+
+
+@F.arrow_udf(StructType().add("word_no", INTS).add("start", INTS).add("length", INTS))
+def _cuts(texts: pa.Array) -> pa.Array:
+    texts = texts.cast(pa.large_string())
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
+    data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+    found = [_cut(data, ends[part.start : part.stop + 1]) for part in _together(np.diff(ends), CUT_BYTES)] if len(texts) else []
+    counts, *columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, dtype=np.int32)] * 4
+    upto = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    none = texts.is_null()
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(upto, pa.array(c, pa.int32()), mask=none) for c in columns], ["word_no", "start", "length"])
 
 
 def with_cuts(lines: DataFrame, text: str = "text") -> DataFrame:
@@ -93,16 +123,17 @@ def split_apart(lines: DataFrame, by: Sequence[str], line: str, sides: Sequence[
 
     ``lines`` has the boxes of its words as arrays ``left``, ``top``, ``width`` and ``height``, once per prefix in ``sides``. Words of lines that lie
     apart meet words of their own line only. Just one row per line is moved to find out. With ``most``, lines in which more pairs of words
-    could be made are among the others.
+    of both sides meet along the line are among the others.
     """
     by = list(by)
     bottom = lambda s: F.array_max(F.zip_with(f"{s}top", f"{s}height", lambda t, h: t + h))
     ends = [[F.array_min(f"{s}top") for s in sides], [bottom(s) for s in sides]]
     first, last = (f(*c) if len(c) > 1 else c[0] for f, c in zip((F.least, F.greatest), ends, strict=True))
-    pairs = F.lit(1).cast("long")
-    for s in sides:
-        pairs = pairs * F.size(f"{s}top")
-    many = F.lit(False) if most is None else pairs > most
+    many = F.lit(False)
+    if most is not None:
+        could = reduce(Column.__mul__, [F.size(f"{s}top").cast("long") for s in sides]) > most
+        # only lines where more pairs could be made are looked into
+        many = could & (_pairs_met(*[F.when(could, F.col(f"{s}{c}")) for s in sides for c in ("left", "width")]) > most)
     extents = staged(lines.select(*by, line, first.alias("_y0"), last.alias("_y1"), many.alias("_many")).where("_y0 IS NOT NULL"), "extents")
     rows = neighbours(with_positions(extents, by, ["_y0", line], "_pos"), by, "_pos", nxt=["_y0"])
     rows = scan(rows, by, "_pos", {"_above": running_max(F.col("_y1"), inclusive=False)})
@@ -159,7 +190,40 @@ def in_boxes(lines: DataFrame, word: str) -> DataFrame:
     return lines.select(*[c for c in lines.columns if c not in (word, *SIDES)], F.inline(zipped))
 
 
-PAIRS_IN_A_LINE = 1 << 20  # lines with more pairs of words meet in cells instead
+PAIRS_IN_A_LINE = 1 << 20  # lines with more pairs of words that meet along the line meet in cells instead
+WORDS_TOGETHER, PAIRS_TOGETHER = 1 << 17, 1 << 21  # of neighbouring lines that are done together
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of lists one after another (NaN for nulls), and how many each list has."""
+    return lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+def _placed(line: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One number per place, in the order of lines and of ``x`` inside them."""
+    place = np.empty(len(x), dtype=np.complex128)
+    place.real, place.imag = line, x
+    return place
+
+
+def _starts(line: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in their order, and where in the input they stand. Words mostly come in order already."""
+    step, same = np.diff(x), np.diff(line) == 0
+    order = np.lexsort((x, line)) if (same & (step < 0)).any() else np.arange(len(x))
+    return _placed(line, x)[order], order
+
+
+def _meetings(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where the boxes of the other side begin that start inside a box of their line: ``first`` and ``last`` place in the other side's order,
+    for ``a`` (starts at its own start included) and for ``b`` (left out), and both orders. Rows of boxes are ``x0`` and ``x1``.
+
+    One of two boxes that meet starts inside the other, so these are all the pairs that meet along the line, each once.
+    """
+    a_starts, by_a = _starts(line_a, a[0])
+    b_starts, by_b = _starts(line_b, b[0])
+    in_a = [np.searchsorted(b_starts, _placed(line_a, x)) for x in a]
+    in_b = [np.searchsorted(a_starts, _placed(line_b, x), side) for x, side in zip(b, ("right", "left"), strict=True)]
+    return (*in_a, *in_b, by_a, by_b)
 
 
 def _stretch(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,50 +232,78 @@ def _stretch(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nd
     return np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
 
 
-def _overlapping(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the boxes of the same line that share some area, and their IoU. Boxes are columns ``x0, y0, x1, y1``.
+def _overlapping(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lines, places of the boxes of the same line that share some area, and their IoU, a stretch of whole lines at a time.
 
-    One of two boxes starts inside the other, so both kinds of starts are looked up in sorted order.
+    Boxes are columns ``x0, y0, x1, y1`` in the order of their lines.
     """
-    values, rank = np.unique(np.concatenate((a[0], a[2], b[0], b[2])), return_inverse=True)
-    a0, a1, b0, b1 = np.split(rank.astype(np.int64), np.cumsum((len(line_a), len(line_a), len(line_b))))
-    size = np.int64(len(values) + 1)
-    a0, a1, b0, b1 = line_a * size + a0, line_a * size + a1, line_b * size + b0, line_b * size + b1
-    by_b, by_a = np.argsort(b0, kind="stable"), np.argsort(a0, kind="stable")
-    i, k = _stretch(np.arange(len(a0)), np.searchsorted(b0[by_b], a0), np.searchsorted(b0[by_b], a1))
-    m, n = _stretch(np.arange(len(b0)), np.searchsorted(a0[by_a], b0, "right"), np.searchsorted(a0[by_a], b1))
-    i, j = np.concatenate((i, by_a[n])), np.concatenate((by_b[k], m))
-    p, q = a[:, i], b[:, j]
-    w, h = np.minimum(p[2], q[2]) - np.maximum(p[0], q[0]), np.minimum(p[3], q[3]) - np.maximum(p[1], q[1])
-    inter = np.maximum(0.0, w) * np.maximum(0.0, h)
-    union = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - inter
-    score = np.where(union > 0, inter / union, 0.0)
-    kept = (w > 0) & (h > 0) & (score > 1e-10)
-    return i[kept], j[kept], score[kept]
+    known_a, known_b = (np.flatnonzero(~np.isnan(side).any(axis=0)) for side in (a, b))  # a box without a side shares nothing
+    line_a, line_b, a, b = line_a[known_a], line_b[known_b], a[:, known_a], b[:, known_b]
+    first_a, last_a, first_b, last_b, by_a, by_b = _meetings(line_a, a[::2], line_b, b[::2])
+    lines = max(line_a.max(initial=-1), line_b.max(initial=-1)) + 1
+    count = lambda line, first, last: np.bincount(line, np.maximum(last - first, 0), minlength=lines)
+    sizes = count(line_a, first_a, last_a) + count(line_b, first_b, last_b)
+    for part in _together(sizes.astype(np.int64), PAIRS_TOGETHER) if lines else []:
+        at_a, at_b = (slice(*np.searchsorted(line, (part.start, part.stop))) for line in (line_a, line_b))
+        i, k = _stretch(np.arange(at_a.start, at_a.stop), first_a[at_a], last_a[at_a])
+        m, n = _stretch(np.arange(at_b.start, at_b.stop), first_b[at_b], last_b[at_b])
+        i, j = np.concatenate((i, by_a[n])), np.concatenate((by_b[k], m))
+        p, q = a[:, i], b[:, j]
+        w, h = np.minimum(p[2], q[2]) - np.maximum(p[0], q[0]), np.minimum(p[3], q[3]) - np.maximum(p[1], q[1])
+        inter = np.maximum(0.0, w) * np.maximum(0.0, h)
+        union = (p[2] - p[0]) * (p[3] - p[1]) + (q[2] - q[0]) * (q[3] - q[1]) - inter
+        score = np.where(union > 0, inter / union, 0.0)
+        kept = (w > 0) & (h > 0) & (score > 1e-10)
+        i, j = i[kept], j[kept]
+        yield line_a[i], known_a[i], known_b[j], score[kept]
+
+
+@F.arrow_udf(LongType())
+def _pairs_met(a_left: pa.Array, a_width: pa.Array, b_left: pa.Array, b_width: pa.Array) -> pa.Array:
+    """Pairs of words of a line that meet along it."""
+    sides = []
+    for left, width in ((a_left, a_width), (b_left, b_width)):
+        (x, counts), w = _flat(left), _flat(width)[0]
+        known = ~np.isnan(x + w)
+        sides += [np.repeat(np.arange(len(counts)), counts)[known], np.stack((x, x + w))[:, known]]
+    first_a, last_a, first_b, last_b, _, _ = _meetings(*sides)
+    count = lambda line, first, last: np.bincount(line, np.maximum(last - first, 0), minlength=len(a_left))
+    return pa.array((count(sides[0], first_a, last_a) + count(sides[2], first_b, last_b)).astype(np.int64))
+
+
+def _partners(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of the box of ``b`` that each box of ``a`` is paired with, -1 for none: the largest total IoU of every line."""
+    partner = np.full(len(line_a), -1, dtype=np.int64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for line, i, j, score in _overlapping(line_a, a, line_b, b):
+            alone = (np.bincount(i)[i] == 1) & (np.bincount(j)[j] == 1)
+            partner[i[alone]] = j[alone]
+            if not alone.all():
+                left = pd.DataFrame({"line": line, "i": i, "j": j, "score": score})[~alone]
+                chosen = pair_optimal(["line"])(left)
+                partner[chosen["i"].to_numpy()] = chosen["j"].to_numpy()
+    return partner
 
 
-@F.pandas_udf(INTS)
+@F.arrow_udf(INTS)
 def _line_partners(
-    a_left: pd.Series, a_top: pd.Series, a_width: pd.Series, a_height: pd.Series, b_left: pd.Series, b_top: pd.Series, b_width: pd.Series, b_height: pd.Series,
-) -> pd.Series:
-    if not len(a_left):
-        return pd.Series([], dtype=object)
-    counts = [np.array([len(v) for v in side]) for side in (a_left, b_left)]
-    flat = lambda c: np.concatenate([np.asarray(v, dtype=float) for v in c])
-    boxes = [np.stack((x, y, x + w, y + h)) for x, y, w, h in (map(flat, c) for c in ((a_left, a_top, a_width, a_height), (b_left, b_top, b_width, b_height)))]
-    line_a, line_b = (np.repeat(np.arange(len(n)), n) for n in counts)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        i, j, score = _overlapping(line_a, boxes[0], line_b, boxes[1])
-    partner = np.full(len(line_a), -1, dtype=np.int64)
-    alone = (np.bincount(i, minlength=len(line_a))[i] == 1) & (np.bincount(j, minlength=len(line_b))[j] == 1)
-    partner[i[alone]] = j[alone]
-    if not alone.all():
-        left = pd.DataFrame({"line": line_a[i], "i": i, "j": j, "score": score})[~alone]
-        chosen = pair_optimal(["line"])(left)
-        partner[chosen["i"].to_numpy()] = chosen["j"].to_numpy()
-    starts = np.cumsum(counts[1]) - counts[1]
-    partner = np.where(partner >= 0, partner - starts[line_a], -1).astype(np.int32)
-    return pd.Series(np.split(partner, np.cumsum(counts[0])[:-1]), dtype=object)
+    a_left: pa.Array, a_top: pa.Array, a_width: pa.Array, a_height: pa.Array, b_left: pa.Array, b_top: pa.Array, b_width: pa.Array, b_height: pa.Array,
+) -> pa.Array:
+    flat = [[_flat(c) for c in side] for side in ((a_left, a_top, a_width, a_height), (b_left, b_top, b_width, b_height))]
+    sides = [(side[0][1], *[v for v, _ in side]) for side in flat]
+    counts = [side[0] for side in sides]
+    ends = [np.append(0, np.cumsum(n)) for n in counts]
+    partner = [np.zeros(0, dtype=np.int64)]
+    for part in _together(counts[0] + counts[1], WORDS_TOGETHER) if len(a_left) else []:
+        lines, boxes = [], []
+        for (n, *columns), end in zip(sides, ends, strict=True):
+            x, y, w, h = (c[end[part.start] : end[part.stop]] for c in columns)
+            lines.append(np.repeat(np.arange(part.stop - part.start), n[part]))
+            boxes.append(np.stack((x, y, x + w, y + h)))
+        found = _partners(lines[0], boxes[0], lines[1], boxes[1])
+        starts = (ends[1][part] - ends[1][part.start])[lines[0]]
+        partner.append(np.where(found >= 0, found - starts, -1))
+    return pa.ListArray.from_arrays(pa.array(ends[0], pa.int32()), pa.array(np.concatenate(partner), pa.int32()))
 
 
 def line_partners(apart: DataFrame, text: str = "text") -> DataFrame:
@@ -222,11 +314,10 @@ def line_partners(apart: DataFrame, text: str = "text") -> DataFrame:
     """
     arrays = [f"{s}_{c}" for s in "ab" for c in SIDES]
     kept = [c for c in apart.columns if c not in (*arrays, f"a_{text}", f"b_{text}")]
-    whole = F.coalesce(f"b_{text}", F.array().cast("array<string>"))
     empty = F.array().cast("array<double>")
-    at = apart.withColumn("_at", _line_partners(*[F.coalesce(c, empty) for c in arrays]))
-    found = F.transform("_at", lambda k: F.when(k >= 0, F.get(whole, k)))
-    return at.select(*kept, F.inline(F.arrays_zip(F.col(f"a_{text}").alias("truth_text"), found.alias("found_text")))).toDF(*kept, "truth_text", "found_text")
+    at = apart.select(*kept, f"a_{text}", F.col(f"b_{text}").alias("_whole"), _line_partners(*[F.coalesce(c, empty) for c in arrays]).alias("_at"))
+    pairs = at.select(*kept, "_whole", F.inline(F.arrays_zip(f"a_{text}", "_at"))).toDF(*kept, "_whole", "truth_text", "_at")
+    return pairs.select(*kept, "truth_text", F.get("_whole", "_at").alias("found_text"))
 
 
 def line_word_pairs(lines: DataFrame, by: Sequence[str], line: str, word: str) -> DataFrame:

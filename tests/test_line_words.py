@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,6 +27,23 @@ def test_cuts_count_characters(spark):
     assert lengths == {1: [1, 2, 2], 2: [], 3: [], 4: None, 5: [1]}
 
 
+def test_batches_are_cut_as_single_texts(monkeypatch):
+    """Texts of a batch are cut together, in parts of any size."""
+    draw = random.Random(1)
+    texts = [None if k % 9 == 0 else "".join(draw.choice(" aä😀b  ") for _ in range(draw.choice([0, 1, 2, 5, 30]))) for k in range(200)]
+    want = []
+    for text in texts:
+        pieces, at, found = (text or "").split(" "), 0, []
+        for no, piece in enumerate(pieces):
+            found += [(no, at, len(piece))] if piece else []
+            at += len(piece) + 1
+        want.append(dict.fromkeys(("word_no", "start", "length")) if text is None else {c: [f[k] for f in found] for k, c in enumerate(("word_no", "start", "length"))})
+    for most in (1, 40, 1 << 22):
+        monkeypatch.setattr(wd, "CUT_BYTES", most)
+        assert wd._cuts.func(pa.array(texts)).to_pylist() == want
+        assert wd._cuts.func(pa.array(texts)[3:-2]).to_pylist() == want[3:-2]
+
+
 @pytest.fixture(scope="module")
 def lines(spark):
     """Pages whose lines lie apart, touch, or lie in each other; words in no order, of several heights, some missing."""
@@ -80,6 +99,57 @@ def test_overlapping_words_are_those_of_loose_words(spark, lines, monkeypatch):
     assert got == found() and len(got) == sum(len(r[2]) for r in rows) and any("None" in r for r in got)
 
 
+def one_line_of_words(spark, n, step):
+    """Two sides of one line; every word meets those of the other side that start within its width of 5."""
+    sides = [[step * k + moved for k in range(n)] for moved in (0.0, 1.0)]
+    row = [1, 0]
+    for left in sides:
+        row += [list(range(n)), [f"w{k}" for k in range(n)], left, [0.0] * n, [5.0] * n, [10.0] * n]
+    kinds = ", ".join(f"{s}_word_no array<int>, {s}_text array<string>, " + ", ".join(f"{s}_{c} array<double>" for c in wd.SIDES) for s in "ab")
+    return spark.createDataFrame([tuple(row)], f"doc_id long, line_no int, {kinds}")
+
+
+def test_long_lines_with_few_meetings_stay_whole(spark):
+    """1,100 words a side could make more pairs than a line may, but just 1,100 meet."""
+    args = (["doc_id"], "line_no", ("a_", "b_"), wd.PAIRS_IN_A_LINE)
+    assert wd.split_apart(one_line_of_words(spark, 1100, 10.0), *args)[1] is None
+    assert wd.split_apart(one_line_of_words(spark, 1100, 0.0), *args)[1].count() == 1
+    got = mt.overlapping_words(one_line_of_words(spark, 1100, 10.0), ["doc_id"], "line_no", "word_no").collect()
+    assert len(got) == 1100 and all(r.truth_text == r.found_text for r in got)
+
+
+def test_partners_of_parts_are_those_of_the_whole(monkeypatch):
+    """Boxes with a missing side have no partner; parts of any size give the same pairs as all combinations."""
+    draw = random.Random(8)
+    number = lambda: draw.choice([None, float("nan"), *[float(draw.randrange(40)) for _ in range(20)]])
+    sizes = [(draw.randrange(0, 7), draw.randrange(0, 7)) for _ in range(60)]
+    args = [pa.array([[number() for _ in range(n[side])] for n in sizes], pa.list_(pa.float64())) for side in (0, 1) for _ in range(4)]
+    flat = [np.nan_to_num(wd._flat(c)[0], nan=-1e9) for c in args]
+    want = {(line, i, j) for line, i, j in _combinations(sizes, flat)}
+    got = set()
+    for words, pairs in ((1, 1), (9, 3), (1 << 17, 1 << 21)):
+        monkeypatch.setattr(wd, "WORDS_TOGETHER", words)
+        monkeypatch.setattr(wd, "PAIRS_TOGETHER", pairs)
+        found = wd._line_partners.func(*args).to_pylist()
+        assert [len(f) for f in found] == [n[0] for n in sizes]
+        pairs = {(line, i, j) for line, f in enumerate(found) for i, j in enumerate(f) if j >= 0}
+        assert pairs <= want and (not got or pairs == got)
+        got = pairs
+    met = wd._pairs_met.func(args[0], args[2], args[4], args[6]).to_pylist()
+    assert sum(met) >= len(want) and {line for line, *_ in want} == {line for line, *_ in got}
+
+
+def _combinations(sizes, flat):
+    at = [0, 0]
+    for line, (n, m) in enumerate(sizes):
+        for i in range(n):
+            for j in range(m):
+                a, b = [c[at[0] + i] for c in flat[:4]], [c[at[1] + j] for c in flat[4:]]
+                if min(*a, *b) >= 0 and all(min(a[k] + a[k + 2], b[k] + b[k + 2]) > max(a[k], b[k]) for k in (0, 1)):
+                    yield line, i, j
+        at = [at[0] + n, at[1] + m]
+
+
 def test_word_errors_move_no_words(spark, folder):
     plan = QUERIES["a16_mean_normalized_cer"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
