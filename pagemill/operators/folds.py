@@ -12,34 +12,57 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pagemill.operators.ordered import joined_back
+from pagemill.operators.ordered import joined_back, large_groups, may_exceed
 from pagemill.session import staged
 
 FOLD_ROWS = 1 << 17
 
 
+BUCKET = "_bucket"
+
+
 def sized(df: DataFrame, by: Sequence[str], name: str) -> tuple[DataFrame, DataFrame]:
     """Staged rows of the groups that fit a task, and of those that do not."""
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rows = staged(joined_back(df, counts, list(by)), name)
-    return rows.where(F.col("_n") <= FOLD_ROWS).drop("_n"), rows.where(F.col("_n") > FOLD_ROWS).drop("_n")
+    rows = staged(df, name)
+    large = large_groups(rows, by, FOLD_ROWS) if may_exceed(rows, by, FOLD_ROWS) else None
+    if large is None:
+        return rows, rows.where(F.lit(False))
+    return joined_back(rows, large, by, "left_anti"), joined_back(rows, large, by, "left_semi")
 
 
-def folded(df: DataFrame, by: Sequence[str], fold: Callable[[pd.DataFrame], pd.DataFrame], columns: Sequence[str]) -> DataFrame:
-    """Apply ``fold`` to tables of whole groups; a table holds many groups, and about ``FOLD_ROWS`` rows. Returns ``columns`` of ``df``."""
+def in_buckets(df: DataFrame, by: Sequence[str]) -> GroupedData:
+    """Rows dealt to tables of whole groups, with their number; a table holds many groups, and about ``FOLD_ROWS`` rows."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, df.count() // FOLD_ROWS + 1)
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*by), F.lit(buckets))).groupBy(BUCKET)
+
+
+def folded(df: DataFrame, by: Sequence[str], fold: Callable[[pd.DataFrame], pd.DataFrame], columns: Sequence[str]) -> DataFrame:
+    """Apply ``fold`` to tables of whole groups (see ``in_buckets``). Returns ``columns`` of ``df``."""
     schema = StructType([df.schema[c] for c in columns])
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*by), F.lit(buckets)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return fold(rows.drop(columns="_bucket"))[list(columns)]
+        return fold(rows.drop(columns=BUCKET))[list(columns)]
+
+    return in_buckets(df, by).applyInPandas(run, schema)
+
+
+def together(sizes: np.ndarray, most: int) -> list[slice]:
+    """Neighbouring rows in parts of about ``most`` in all, a larger row alone."""
+    part = np.cumsum(sizes) // most
+    cuts = np.append(0, np.flatnonzero(np.diff(part)) + 1)
+    return [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True)]
+
 
-    return dealt.groupBy("_bucket").applyInPandas(run, schema)
+def placed(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One number per place, in the order of groups and of ``x`` inside them."""
+    place = np.empty(len(x), dtype=np.complex128)
+    place.real, place.imag = group, x
+    return place
 
 
 def _codes(*tables: pd.DataFrame) -> list[np.ndarray]:

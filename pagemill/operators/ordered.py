@@ -32,6 +32,15 @@ def joined_back(rows: DataFrame, summary: DataFrame, keys: Sequence[str], how: s
     return rows.join(right, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
+CELLS = 1 << 18  # that groups are counted in first
+
+
+def may_exceed(df: DataFrame, by: Sequence[str], limit: int) -> bool:
+    """Can a group have more than ``limit`` rows? Counts hash cells of groups, so it moves few rows, however many groups there are."""
+    cells = df.groupBy(F.pmod(F.xxhash64(*by), F.lit(CELLS)).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    return (cells.agg(F.max("_n")).first()[0] or 0) > limit
+
+
 def large_groups(df: DataFrame, by: Sequence[str], limit: int, name: str = "large") -> DataFrame | None:
     """Keys of the groups of more than ``limit`` rows, staged; None where there are none, as in most tables.
 
@@ -45,7 +54,7 @@ def with_positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Colum
     """Add the 0-based position of each row in its group.
 
     ``order`` must be a total order inside a group. The largest group is measured first (a
-    combined count that reads only the group columns). If it fits one task, a window
+    combined count that reads only the group columns, see ``may_exceed``). If it fits one task, a window
     numbers the rows. Otherwise rows are range-partitioned on (group, order), so a hot group
     spreads over many tasks, and a row's position is its number in its range plus the
     rows of the group in earlier ranges. Both ways give the same rows; null keys are a group.
@@ -54,8 +63,8 @@ def with_positions(df: DataFrame, by: Sequence[str], order: Sequence[str | Colum
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     limit = WHOLE_GROUP_ROWS if whole_group_rows is None else whole_group_rows
     if by:
-        largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-        if largest <= limit:
+        exact = lambda: df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+        if not may_exceed(df, by, limit) or exact() <= limit:
             return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
     keys = [F.col(c) for c in by] + order
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from pagemill.operators.folds import pair_optimal
+from pagemill.operators.folds import pair_optimal, placed, together
 from pagemill.operators.graphs import least_connected
 from pagemill.operators.ordered import neighbours, running_max, scan, with_positions
 from pagemill.session import staged
@@ -44,20 +44,13 @@ def _cut(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return counts, blanks[first] - blanks[start], places[first] - places[start], places[last] - places[first]
 
 
-def _together(sizes: np.ndarray, most: int) -> list[slice]:
-    """Neighbouring rows in parts of about ``most`` in all, a larger row alone."""
-    part = np.cumsum(sizes) // most
-    cuts = np.append(0, np.flatnonzero(np.diff(part)) + 1)
-    return [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True)]
-
-
 @F.arrow_udf(StructType().add("word_no", INTS).add("start", INTS).add("length", INTS))
 def _cuts(texts: pa.Array) -> pa.Array:
     texts = texts.cast(pa.large_string())
     _, ends, data = texts.buffers()
     ends = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
     data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
-    found = [_cut(data, ends[part.start : part.stop + 1]) for part in _together(np.diff(ends), CUT_BYTES)] if len(texts) else []
+    found = [_cut(data, ends[part.start : part.stop + 1]) for part in together(np.diff(ends), CUT_BYTES)] if len(texts) else []
     counts, *columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, dtype=np.int32)] * 4
     upto = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
     none = texts.is_null()
@@ -199,18 +192,11 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
 
 
-def _placed(line: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """One number per place, in the order of lines and of ``x`` inside them."""
-    place = np.empty(len(x), dtype=np.complex128)
-    place.real, place.imag = line, x
-    return place
-
-
 def _starts(line: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in their order, and where in the input they stand. Words mostly come in order already."""
     step, same = np.diff(x), np.diff(line) == 0
     order = np.lexsort((x, line)) if (same & (step < 0)).any() else np.arange(len(x))
-    return _placed(line, x)[order], order
+    return placed(line, x)[order], order
 
 
 def _meetings(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -221,8 +207,8 @@ def _meetings(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.ndarr
     """
     a_starts, by_a = _starts(line_a, a[0])
     b_starts, by_b = _starts(line_b, b[0])
-    in_a = [np.searchsorted(b_starts, _placed(line_a, x)) for x in a]
-    in_b = [np.searchsorted(a_starts, _placed(line_b, x), side) for x, side in zip(b, ("right", "left"), strict=True)]
+    in_a = [np.searchsorted(b_starts, placed(line_a, x)) for x in a]
+    in_b = [np.searchsorted(a_starts, placed(line_b, x), side) for x, side in zip(b, ("right", "left"), strict=True)]
     return (*in_a, *in_b, by_a, by_b)
 
 
@@ -243,7 +229,7 @@ def _overlapping(line_a: np.ndarray, a: np.ndarray, line_b: np.ndarray, b: np.nd
     lines = max(line_a.max(initial=-1), line_b.max(initial=-1)) + 1
     count = lambda line, first, last: np.bincount(line, np.maximum(last - first, 0), minlength=lines)
     sizes = count(line_a, first_a, last_a) + count(line_b, first_b, last_b)
-    for part in _together(sizes.astype(np.int64), PAIRS_TOGETHER) if lines else []:
+    for part in together(sizes.astype(np.int64), PAIRS_TOGETHER) if lines else []:
         at_a, at_b = (slice(*np.searchsorted(line, (part.start, part.stop))) for line in (line_a, line_b))
         i, k = _stretch(np.arange(at_a.start, at_a.stop), first_a[at_a], last_a[at_a])
         m, n = _stretch(np.arange(at_b.start, at_b.stop), first_b[at_b], last_b[at_b])
@@ -294,7 +280,7 @@ def _line_partners(
     counts = [side[0] for side in sides]
     ends = [np.append(0, np.cumsum(n)) for n in counts]
     partner = [np.zeros(0, dtype=np.int64)]
-    for part in _together(counts[0] + counts[1], WORDS_TOGETHER) if len(a_left) else []:
+    for part in together(counts[0] + counts[1], WORDS_TOGETHER) if len(a_left) else []:
         lines, boxes = [], []
         for (n, *columns), end in zip(sides, ends, strict=True):
             x, y, w, h = (c[end[part.start] : end[part.stop]] for c in columns)
